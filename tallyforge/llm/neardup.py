@@ -10,12 +10,16 @@ similarity of the sets).
 
 Candidates. Registers are cut into bands; texts that share a band are candidates.
 Equal texts are one node of the graph from the start. Within a band's bucket every
-node meets only the bucket's leader; the links found are closed to components; then
-nodes of one bucket that are still in different components meet each other. So every
-pair of a bucket is verified or already known to be in one class, without all pairs
-of a large group. A pair is verified by the exact Jaccard similarity of its sets of
-shingles, after dropping pairs whose registers agree in fewer than ``LEAST`` places
-(five standard deviations below the threshold).
+node meets the bucket's leader, the node that shares most bands with others (in a
+group of copies the text that they vary). A pair is dropped if its registers agree
+in fewer than ``LEAST`` places (five standard deviations below the threshold), else
+verified by the exact Jaccard similarity of the sets of shingles.
+
+The rest. Nodes that share a leader form a group, and some may still be in another
+component than the leader. These meet every node of the group, in blocks of bounded
+size that yield only links, so no pair of a bucket is left out unless both are known
+to be in one class, and pairs are not made into rows. This costs the product of such
+nodes and their group, where all pairs would cost the square of the group.
 
 Classes are the connected components of the links, found with large-star and
 small-star rounds, each stored in the shared folder.
@@ -24,7 +28,6 @@ small-star rounds, each stored in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Registers of 96 that agree at least: 0.8 less five standard deviations of 0.041.
 LEAST = 57
+#: Texts, and bytes of texts, on either side of a block.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 SKETCH = "struct<bands:array<bigint>,registers:binary>"
 
 
@@ -123,6 +128,57 @@ def jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(np.concatenate(out))
 
 
+def block_links(seeks: list[tuple], group: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links between rows (node, root, text) of ``seeks`` and of ``group`` with other roots.
+
+    Shared shingles are counted as a product of 0/1 matrices over the shingles that
+    occur in more than one of the texts, some columns at a time.
+    """
+    both = [*seeks, *group]
+    doc, hashes, _ = shingles([t for *_, t in both])
+    sizes = np.bincount(doc, minlength=len(both))
+    _, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    doc, column = doc[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    m, total, width = len(seeks), int(shared.sum()), 2048
+    common_count = np.zeros((m, len(group)), np.float32)
+    for a in range(0, total, width):
+        i, j = np.searchsorted(column, [a, a + width])
+        table = np.zeros((len(both), width), np.float32)
+        table[doc[i:j], column[i:j] - a] = 1
+        common_count += table[:m] @ table[m:].T
+    union = sizes[:m, None] + sizes[None, m:] - common_count
+    found = (common_count >= THRESHOLD * union - 1e-6) & (common_count > 0)
+    roots = {r: k for k, r in enumerate(dict.fromkeys(r for _, r, _ in both))}
+    number = np.array([roots[r] for _, r, _ in both])
+    found &= number[:m, None] != number[None, m:]
+    return [(seeks[x][0], group[y][0]) for x, y in zip(*np.nonzero(found))]
+
+
+def links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, seeks, node, root, text) sorted by block; one block is held at a time."""
+    now, rows = None, ([], [])
+
+    def done():
+        links = block_links(*rows) if rows[0] and rows[1] else []
+        return pa.record_batch({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    for batch in batches:
+        for part_at in range(0, batch.num_rows, 512):
+            for block, seeks, node, root, text in zip(*(c.to_pylist() for c in batch.slice(part_at, 512).columns)):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now, rows = block, ([], [])
+                rows[0 if seeks else 1].append((node, root, (text or "").encode()))
+    if now is not None:
+        yield done()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root: least node."""
     now = common.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -154,47 +210,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked to nothing else. ``class_id`` is the least doc_id of the class, and
     ``leader`` marks the rows with that doc_id and its first text. Rows may repeat.
     """
-    text = F.col("text")
+    spark, text = docs.sparkSession, F.col("text")
     rows = common.stored(docs.select("doc_id", text_node(text).alias("node"), sketch(F.coalesce(text, F.lit(""))).alias("k"), (F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(common.BLANKS))) > 0).alias("full")).select("doc_id", "node", "full", "k.bands", "k.registers"), "sketch")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     filled = rows.where("full").groupBy("node").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     filled = common.stored(filled, "nodes")
 
     banded = filled.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader.node", F.col("n"))
-    buckets = common.stored(banded.join(leaders.withColumnRenamed("node", "leader").drop("n"), "band"), "buckets")
-    registers = filled.select("node", "registers")
+    counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = common.stored(banded.join(counts, "band"), "buckets")
+    shares = buckets.groupBy("node").agg(F.sum("n").alias("shares"))
+    leaders = buckets.join(shares, "node").groupBy("band").agg(F.max(F.struct("shares", F.xxhash64("node").alias("order"), "node"))["node"].alias("leader"))
+    members = common.stored(buckets.join(leaders, "band").select("leader", "node").distinct(), "members")
+
+    # the text of each member, once, from the row of its least doc_id
+    wanted = members.select("node").distinct().join(nodes, "node")
+    held = docs.select("doc_id", "text").withColumn("node", text_node(F.col("text")))
+    held = held.join(wanted, (held["node"] == wanted["node"]) & held["doc_id"].eqNullSafe(wanted["first"])).select(held["node"], "text")
+    one = Window.partitionBy("node").orderBy(F.lit(0))
+    held = common.stored(held.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i"), "texts")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sketches agree enough."""
-        x = pairs.join(registers.withColumnRenamed("node", "a").withColumnRenamed("registers", "ra"), "a")
-        x = x.join(registers.withColumnRenamed("node", "b").withColumnRenamed("registers", "rb"), "b")
-        return x.where(agreement("ra", "rb") >= LEAST).select("a", "b")
-
-    stars = common.stored(alike(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), "stars")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose texts are alike; each node's text is read once, at its least doc_id."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
-        held = docs.select("doc_id", "text").withColumn("node", text_node(F.col("text")))
-        held = held.join(ends, (held["node"] == ends["node"]) & held["doc_id"].eqNullSafe(ends["first"])).select(held["node"], "text")
-        one = Window.partitionBy("node").orderBy(F.lit(0))
-        held = common.stored(held.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i"), "texts")
-        x = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return common.stored(x.where(jaccard("ta", "tb") >= THRESHOLD).select("a", "b"), "links")
-
-    links = [verified(stars)]
-    roots = components(links[0])
-    placed = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = common.stored(placed.join(split, "band"), "rest")
-    left, right = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "band").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    met = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = common.stored(alike(across.join(met, ["a", "b"], "left_anti")), "across")
+    registers = filled.select("node", "registers")
+    stars = members.where("node <> leader").join(registers, "node").join(registers.select(F.col("node").alias("leader"), F.col("registers").alias("other")), "leader")
+    stars = common.stored(stars.where(agreement("registers", "other") >= LEAST).select("leader", "node"), "stars")
+    pairs = stars.join(held, "node").join(held.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
+    links = common.stored(pairs.where(jaccard("text", "other") >= THRESHOLD).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+    roots = components(links)
+
+    placed = members.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    heads = placed.where("node = leader").select("leader", F.col("root").alias("head"))
+    placed = common.stored(placed.join(heads, "leader").withColumn("apart", F.col("root") != F.col("head")), "placed")
+    sizes = held.select("node", F.octet_length("text").cast("long").alias("size"))
+    groups = placed.join(sizes, "node").groupBy("leader").agg(
+        F.sum(F.col("apart").cast("long")).alias("m"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("m_size"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_size")
+    ).where("m > 0")
+    chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_BYTES))
+    groups = groups.select("leader", chunks("m", "m_size").alias("m_chunks"), chunks("n", "n_size").alias("n_chunks"))
+    rest = placed.join(groups, "leader").select("*", F.xxhash64("node").alias("h"))
+    seeks = rest.where("apart").select("leader", F.pmod("h", "m_chunks").alias("x"), F.explode(F.expr("sequence(0, n_chunks - 1)")).alias("y"), F.lit(True).alias("seeks"), "node", "root")
+    sought = rest.select("leader", F.explode(F.expr("sequence(0, m_chunks - 1)")).alias("x"), F.pmod("h", "n_chunks").alias("y"), F.lit(False).alias("seeks"), "node", "root")
+    blocks = seeks.union(sought).join(held, "node").select(F.struct("leader", "x", "y").alias("block"), "seeks", "node", "root", "text")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks.repartition(parts, "block").sortWithinPartitions("block").select(F.to_json(F.struct(F.hex("block.leader").alias("l"), "block.x", "block.y")).alias("block"), "seeks", "node", "root", "text")
+    more = common.stored(blocks.mapInArrow(links_of_blocks, "a binary, b binary"), "more")
     if more.limit(1).count():
-        links.append(verified(more))
-        roots = components(reduce(DataFrame.union, links))
+        roots = components(links.union(more))
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     head = classes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("head"))
     classes = common.stored(classes.join(head, "root").select("node", F.col("head.first").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head")), "classes")
