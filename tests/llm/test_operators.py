@@ -1,0 +1,329 @@
+"""Corpus operators on small tables of awkward rows, against plain versions."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import common, decontaminate, linededup, media, mixing, neardup, quality, secrets, sharding, tokencount, urlfilter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, hits string, stats int, gone int, media int, mix_plan int"
+PASSAGE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from the old oak tree in the garden"
+LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
+
+
+def awkward(spark):
+    """Nulls, empty and long texts, ties, repeats and columns of clashing names."""
+    texts = [None, "", " \n\t ", "one", LONG, LONG + " end", PASSAGE, PASSAGE, PASSAGE.upper(), "é" * 40 + "\n" + "é" * 40, "a b c d", "a b c d e f"]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"s{i % 3}", None, 1, 1.0, "h", 1, 1, 1, 1) for i, t in enumerate(texts)]
+    rows += [(None, "no id", None, None, None, 1, 1.0, "h", 1, 1, 1, 1), rows[6], rows[6], rows[7]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(r):
+    return tuple(str(x) for x in r)
+
+
+@pytest.mark.parametrize("bucket", [1 << 30, 300_000, 50])
+def test_sharding_is_a_balanced_permutation(spark, bucket):
+    df = awkward(spark)
+    out = sharding.shuffle_into_shards(df, 5, bucket_bytes=bucket)
+    assert out.columns == [*df.columns, "shard_", "slot"]
+    rows = out.collect()
+    assert sorted(key(r[:-2]) for r in rows) == sorted(map(key, df.collect()))
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard_"]].append(r["slot"])
+    sizes = [len(slots[k]) for k in range(5)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shuffle_into_shards(empty(spark), 5).count() == 0
+
+
+def test_sharding_splits_a_hot_row_and_agrees_with_itself(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"))
+    out = [sorted(map(tuple, sharding.shuffle_into_shards(df, 4, bucket_bytes=800).collect())) for _ in range(2)]
+    assert out[0] == out[1] and Counter(r[1] for r in out[0]) == {k: 750 for k in range(4)}
+
+
+def plain_targets(sizes, share=1.5):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), set(names), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 2 * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("block", [10_000_000, 200])
+def test_mixing_meets_targets(spark, block):
+    data = [(i, "w " * (1 + i * 7 % 23), None if i % 11 == 0 else f"s{i % 5}") for i in range(900)] + [(900, None, "empty"), (901, "", "empty")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    run = lambda: mixing.mix(df, F.col("source"), mixing.words_of(F.col("text")), [F.col("doc_id")], block_words=block).collect()
+    rows = run()
+    assert sorted(map(key, rows)) == sorted(map(key, run())) and len(rows) == len(data)
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        n = len(re.findall(common.WORD, r["text"] or ""))
+        assert r["mix"]["size"] == n and r["mix"]["taken"] in (0, n, 2 * n) and len(r["mix"]["shards"]) == r["mix"]["copies"]
+        sizes[r["source"]] += n
+        taken[r["source"]] += r["mix"]["taken"]
+    wanted = plain_targets(sizes)
+    for r in rows:
+        assert r["mix"]["source_size"] == sizes[r["source"]] and r["mix"]["target"] == pytest.approx(wanted[r["source"]])
+    assert all(abs(taken[s] - wanted[s]) <= 23 for s in sizes)
+
+
+def test_mixing_tree_has_exact_shares_and_awkward_rows(spark):
+    units = spark.range(160).select(F.col("id").cast("string").alias("key"), F.lit(0).alias("block"), F.lit(0).alias("copy"))
+    assert Counter(r["shard"] for r in mixing.split_tree(units, 16).collect()) == {k: 10 for k in range(16)}
+    got = mixing.stage(spark, awkward(spark), "")
+    assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").replace(" double", "").split(", ")
+    assert got.count() > 0 and mixing.stage(spark, empty(spark), "").count() == 0
+
+
+def test_secrets_match_the_patterns(spark):
+    texts = [None, "", "token=secret: abcdefghijklmnop", 'api_key = "ABCDEFGHIJKL" x password:abc', "AKIA" + "A1" * 9, "é\U0001f600 " + "0af" * 9 + "z" + "b" * 16, "TOKEN='x" + "y" * 30, "id 123e4567-e89b-12d3-a456-426614174000 ok", "key q7Rk2LxP9vTzW4mNc8Yb" "s", "a" * 60, LONG]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id int, text string, base_spans int, extra_spans int")
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    assign = re.compile(secrets.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert [tuple(s) for s in rows[i]["secrets"] if s["k"] < 3] == sorted(spans), t[:80]
+        assert rows[i]["base_spans"] == 1
+    assert [s["k"] for s in rows[8]["secrets"]] == [3] and not [s for s in rows[7]["secrets"] if s["k"] == 3]
+    word = "q7Rk2LxP9vTzW4mNc8YbaaaaabQ1"
+    plain = max(-sum(c / 20 * np.log2(c / 20) for c in Counter(word[i : i + 20]).values()) for i in range(len(word) - 19))
+    assert spark.range(1).select(secrets.window_entropy(F.lit(word))).first()[0] == pytest.approx(plain)
+
+
+def test_tokens_equal_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [None, "", " ", "\n", "a  b\n\n c", "▁x ▁", "<s> </s> <unk>\t\x00", "  \n  end ", "é\U0001f600漢字" * 3, LONG, "x" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    rows = {r["doc_id"]: r["t"] for r in df.select("doc_id", tokencount.count_tokens()("text").alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert (rows[i]["n_bytes"], rows[i]["n_tokens"]) == (len((t or "").encode()), len(model.encode(t or ""))), repr(t)[:60]
+    counts = tokencount.Counts(public_tokenizers.path("piece_bpe_32k.model"))
+    counts.table = 3
+    assert [counts.of(t or "") for t in texts] == [len(model.encode(t or "")) for t in texts]
+
+
+def plain_classes(texts):
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    shingle, root = [sets(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = shingle[i], shingle[j]
+            if (texts[i] or "") == (texts[j] or "") or a and b and len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    out = defaultdict(set)
+    for i in range(len(texts)):
+        out[find(i)].add(i)
+    return {frozenset(v) for v in out.values()}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "a", "a b", "A b", "one two three four", "one two three four", LONG, LONG + " end"]
+    for n in (40, 80, 200):
+        base = [f"t{n}w{i}" for i in range(n)]
+        for k in range(40):  # more and more edits, so that some copies link only to others than the first
+            words = list(base)
+            for at in rng.integers(0, n, k * n // 300):
+                words[at] = f"e{rng.integers(5)}"
+            texts.append(" ".join(words))
+    texts += ["rep " * 300, "rep " * 310, " ".join(["x y z"] * 60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(set)
+    for r in neardup.near_duplicates(df).collect():
+        found[r["class_id"]].add(r["doc_id"])
+    assert {frozenset(v) for v in found.values()} == plain_classes(texts)
+    assert all(k == min(v) for k, v in found.items())
+
+
+def test_near_duplicate_blocks_give_the_same_links():
+    rng = np.random.default_rng(5)
+    rows = [(bytes([i]), bytes([i]), " ".join(f"w{j if rng.random() > 0.03 else 1000 + j}" for j in range(60)).encode()) for i in range(30)]
+    links = {frozenset(x) for x in neardup.block_links(rows, rows)}
+    plain = {frozenset((a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and neardup.similarity([a[2]], [b[2]])[0] >= 0.8}
+    assert links == plain and links
+
+
+def test_prob_minhash_estimates_probability_jaccard():
+    e = np.arange(1, 61, dtype=np.uint64)
+    wa, wb = np.where(e < 40, 3.0, 1.0), np.where(e < 20, 1.0, 2.0)
+    doc = np.repeat([0, 1], 60)
+    r = neardup.prob_minhash(doc, np.concatenate([e, e]), np.concatenate([wa, wb]), 2, 4096)
+    exact = sum(1 / sum(max(wa[y] / wa[x], wb[y] / wb[x]) for y in range(60)) for x in range(60))
+    assert (r[0] == r[1]).mean() == pytest.approx(exact, abs=0.03)
+
+
+def test_near_duplicate_stage_keeps_one_of_each(spark):
+    df = awkward(spark)
+    kept = neardup.stage(spark, df, "").collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["0", "2", "3", "4", "6", "9", "10", "11", "None"])
+    assert neardup.stage(spark, empty(spark), "").count() == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    item = PASSAGE
+    edited = item.replace("quick", "quikc").replace("owls", "owl")
+    torn = item[:50]
+    texts = [None, "", item, "x " + item.upper().replace(" ", "\n") + " y", "pre " + edited + " post", torn, "pre " + item[5:] + " z", "nothing here", LONG + " " + edited]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "lost"), (4, "some other item that occurs nowhere in them")], "item_id long, text string")
+
+    def distance(p, t):
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(p, 1):
+            new = [i]
+            for j, b in enumerate(t, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    for block in (1 << 20, 10):
+        rows = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits_"]] for r in decontaminate.with_hits(docs, bench, block_bytes=block).collect()}
+        for i, t in enumerate(texts):
+            d = distance(item, decontaminate.plain(t)[-400:]) if t else 999
+            assert rows[i] == ([(1, d)] if d <= decontaminate.budget(item) else []), i
+    assert decontaminate.with_hits(empty(spark), bench.limit(0)).count() == 0
+
+
+def test_line_dedup_equals_plain(spark):
+    line = "a repeated line of some length"
+    texts = [None, "", line, "x\n  " + line.upper() + "\t\ny", line + "\n" + line, "é" * 19, "é" * 19, "é" * 19, "ß" * 20, "ß" * 20 + "\r", "ß" * 20, LONG, LONG, LONG]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, line, 1)], "doc_id long, text string, gone int")
+    ids, lines = defaultdict(list), {}
+    for i, t in [*enumerate(texts), (-1, line)]:
+        keys = [x.strip(common.BLANKS).translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
+        lines[i] = list(zip((t or "").split("\n"), keys))
+        for k in {k for k in keys if len(k) >= 20}:
+            ids[k].append(i)
+    for block in (1 << 20, 1):
+        for r in linededup.dedup_lines(docs, block_bytes=block).collect():
+            i = -1 if r["doc_id"] is None else r["doc_id"]
+            kept = [x for x, k in lines[i] if len(ids[k]) < 3 or i == max(ids[k])]
+            assert (r["lines"]["text"], r["lines"]["n_dropped"]) == ("\n".join(kept), len(lines[i]) - len(kept)), i
+            assert r["lines"]["sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert linededup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_minimal_perfect_hash_fills_its_slots():
+    place = linededup.mixed(np.arange(5000, dtype=np.uint64))
+    d = linededup.build(place)
+    at = linededup.slots(place, d[(place % np.uint64(len(d))).astype(np.int64)], len(place))
+    assert sorted(at) == list(range(5000))
+
+
+def test_media_round_trip(spark):
+    df = awkward(spark)
+    for r in media.with_media(df).collect():
+        t = (r["text"] or "").encode()
+        payload = t + b"\xff" * (576 - len(t) if len(t) < 576 else -len(t) % 576)
+        m = r["media_"]
+        assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"], m["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        frames, fps = media.read_avi(m["media"])
+        assert media.decode_frames(frames).tobytes() == payload and fps == 25
+        assert media.decode_block_frame(*media.split_frame(frames[0]))[::8, ::8].tobytes() == payload[:576]
+        clips = [(c["first"], c["end"]) for c in m["clips"]]
+        assert clips[0][0] == 0 and clips[-1][1] == len(frames) and all(a[1] == b[0] for a, b in zip(clips, clips[1:]))
+    assert media.clip_rows(empty(spark)).count() == 0
+
+
+def test_every_byte_difference_and_shots():
+    rng = np.random.default_rng(0)
+    frames = rng.integers(0, 256, (50, 576), np.uint8)
+    assert (media.decode_frames(media.encode_frames(frames)) == frames).all()
+    still = np.concatenate([np.full((9, 576), 10, np.uint8), np.full((7, 576), 200, np.uint8)])
+    assert media.shots(still) == [(0, 9), (9, 16)]
+
+
+def test_a_frame_with_ac_terms_is_decoded():
+    head = media.jpeg_head([8] + [4] * 63, (bytes([0, 0, 0, 9] + [0] * 12), bytes(range(9))), (bytes([0, 2] + [0] * 14), bytes([0, 2])), 8, 8)
+    # DC category 3, value 5; AC run 0 size 2, value 3 at the first place; end of block
+    bits = "0011" + "101" + "01" + "11" + "00"
+    data = int(bits.ljust(16, "1"), 2).to_bytes(2, "big")
+    x = np.arange(8)
+    wave = 0.5 * np.sqrt(1 / 8) * 12 * np.cos((2 * x + 1) * np.pi / 16) + 40 / 8 + 128
+    assert (media.decode_block_frame(head, data) == np.tile(np.rint(wave), (8, 1))).all()
+    frame = head + data + b"\xff\xd9"
+    assert media.decode_frames([frame])[0, 0] == int(np.rint(wave[0]))
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://WWW.Example.NET/en/1?x#y", "http://a.example.net/de/", "x://net", "x://net/", "x://anet/", "http://example.com/de/1://2", "http://b.org/fr/?q", "http://org?fr/", "http://free-pills.example.com/buy/1\n2"]
+    df = spark.createDataFrame([(i, u, "<title>free pills</title>", 1) for i, u in enumerate(urls)], "page_id int, url string, html string, odds int")
+    rules = {"net/": ("net", "/", "block"), "example.net/en/": ("example.net", "/en/", "allow"), "example.com/de/": ("example.com", "/de/", "block"), "org/fr/": ("org", "/fr/", "allow")}
+    for r in urlfilter.judge_urls(df).collect():
+        u, j = r["url"], r["judged"]
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = max((k for k, (h, p, _) in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)), key=len, default=None)
+        assert (j["host"], j["path"], j["rule"]) == (host, path, fit)
+        assert j["verdict"] == rules[fit][2] if fit else j["verdict"] in ("allow", "block")
+    assert urlfilter.judge_urls(df.limit(0)).count() == 0
+    model = urlfilter.Segmenter({"cheap": 50, "pills": 40, "che": 2, "ap": 2})
+    assert model.split("cheappills") == ["cheap", "pills"] and model.split("") == [] and model.split("zq") == ["z", "q"]
+
+
+def test_quality_learns_rules_and_handles_awkward_rows(spark):
+    good = [(i, " ".join(f"word{(i * 7 + j * j) % 60}" for j in range(40))) for i in range(300)]
+    bad = [(1000 + i, " ".join(f"word{(i + j) % 60}***" for j in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad] + [(None, 1), (5, None), (6, 1)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    rows = quality.with_score(docs, model).collect()
+    assert all((r["score"] >= 0.3) == (r["doc_id"] < 1000) for r in rows) and all(0 <= r["score"] <= 1 for r in rows)
+    assert model[1] and len(model[1]) < 60
+    out = quality.with_score(awkward(spark), model)
+    assert out.columns[-1] == "score_" and out.where("score_ is null").count() == 0
+    assert quality.with_score(empty(spark), quality.learn(empty(spark), labels.limit(0))).count() == 0
+
+
+def test_pipeline_runs_on_the_small_tables(spark):
+    import os
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs = common.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = common.stored(stage(spark, docs, sf), name)
+        assert after.columns == docs.columns
+        assert after.exceptAll(docs).count() == 0 and 0.5 * docs.count() < after.count() <= docs.count()
+        docs = after
+    out = corpus_pipeline.run(spark, sf)
+    assert set(out.columns) == {*docs.columns, "shard", "slot"} and out.count() > 0
