@@ -70,3 +70,13 @@ def softmax(logits: list[Column], temperature: float = 1.0) -> Column:
     parts = [F.exp((x - most) / temperature) for x in logits]
     total = sum(parts[1:], parts[0])
     return F.array(*[p / total for p in parts])
+
+
+def candidate_logit(parts: list[Column], weights: list[float]) -> Column:
+    """Weighted sum of a candidate's evidence; a contradiction has a negative weight."""
+    return sum((p * w for p, w in zip(parts[1:], weights[1:])), parts[0] * weights[0])
+
+
+def antisymmetric(forward: Column, swapped: Column) -> Column:
+    """A score that changes its sign when the two boxes change places."""
+    return (forward - swapped) / 2

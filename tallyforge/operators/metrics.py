@@ -114,3 +114,50 @@ def coverage(expected: DataFrame, attempts: DataFrame, key: list[str], failed: C
         F.coalesce(F.sum(F.col("tries") - 1), F.lit(0)).alias("extra_attempts"),
         count_if(F.col("tries") == F.col("failures")).alias("never_succeeded"),
     ).withColumn("complete", (F.col("missing") == 0) & (F.col("never_succeeded") == 0))
+
+
+def typed_rates(df: DataFrame, kind: str, condition: Column) -> DataFrame:
+    """The mean of the types' rates beside the pooled rate, and the number of types."""
+    r = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), count_if(condition).alias("k"))
+    return r.agg(F.avg(F.col("k") / F.col("n")).alias("macro"), F.try_divide(F.sum("k"), F.sum("n")).alias("pooled"), F.count(F.lit(1)).alias("types"))
+
+
+def most_common(df: DataFrame, value: str, position: str, limit: int) -> DataFrame:
+    """The most frequent values; of equal ones the first to appear."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("_seen"))
+    return counts.orderBy(F.desc("n"), "_seen").limit(limit).drop("_seen")
+
+
+def enumerated(df: DataFrame, value: str, values: list[str]) -> DataFrame:
+    """Counts of fixed values, zeros kept."""
+    fixed = df.sparkSession.createDataFrame([(v,) for v in values], f"{value} string")
+    return fixed.join(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def metric_summary(df: DataFrame, overlap: str, found: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean overlap, share without any, share of one half or more and share found; 0 where empty."""
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    rate = lambda c: value(F.avg(c.cast("double")))
+    v = F.col(overlap)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), value(F.avg(v)).alias("mean_iou"), rate(v <= 0.0).alias("zero_rate"), rate(v >= 0.5).alias("hit_rate"), rate(found).alias("found_rate"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, order: str, by: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """Mean of each group with its 95 % bootstrap interval; groups of fewer than two have none.
+
+    Values are resampled in ``order`` by one generator a group, so a group has to fit in a task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(order)[value].dropna().to_numpy(float)
+        low = high = None
+        if len(x) >= 2:
+            draw = np.random.RandomState(seed)
+            means = np.sort([x[draw.randint(0, len(x), len(x))].mean() for _ in range(rounds)])
+            low, high = means[int(rounds * 0.025)], means[int(rounds * 0.975) - 1]
+        return pd.DataFrame({by: [rows[by].iloc[0]], "mean": [x.mean() if len(x) else None], "ci_lower": [low], "ci_upper": [high]})
+
+    kind = dict(df.dtypes)[by]
+    return df.select(by, order, value).groupBy(by).applyInPandas(interval, f"{by} {kind}, mean double, ci_lower double, ci_upper double")

@@ -379,3 +379,54 @@ def decision_policy(spark, sf_dir):
     b = F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 10)
     p = decisions.policy(b, F.col("l_extendedprice") / 20000, F.lit(2.0) + F.col("l_tax") * 10, 0.5, 0.5)
     return r.select(p.alias("p")).groupBy("p.action", "p.reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def closed_groups(spark, sf_dir):
+    """All lines of an order that has a returned one."""
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    return joins.closed_groups(r, ["l_orderkey"], F.col("l_returnflag") == "R")
+
+
+@query(
+    """SELECT user_id, event_id, event_type, min(event_type) OVER (PARTITION BY user_id) <> max(event_type) OVER (PARTITION BY user_id) AS conflict
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1"""
+)
+def first_row_conflicts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return logs.first_unless_conflict(e, ["user_id"], "event_id", "event_type")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey, s_suppkey, 1 / (1 + abs(c_acctbal - s_acctbal)) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey)
+SELECT c_custkey, s_suppkey, round(score, 9) AS score FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) = 1"""
+)
+def nearest_match(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return rounded(joins.best_match(c, s, ["nation"], "c_custkey", 1 / (1 + F.abs(F.col("c_acctbal") - F.col("s_acctbal"))), "s_suppkey"))
+
+
+@query(
+    """WITH r AS (SELECT lang, count(*) AS n, count(*) FILTER (toxic = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT round(avg(k / n), 9) AS macro, round(sum(k) / sum(n), 9) AS pooled, count(*) AS types FROM r"""
+)
+def macro_and_pooled_rates(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rounded(metrics.typed_rates(joined, "lang", F.col("toxic") == 1))
+
+
+@query(
+    """WITH d AS (SELECT event_type, count(*) AS n, min(event_id) AS seen FROM events GROUP BY 1)
+SELECT event_type, n FROM d ORDER BY n DESC, seen LIMIT 3"""
+)
+def most_common_events(spark, sf_dir):
+    return metrics.most_common(table(spark, sf_dir, "events"), "event_type", "event_id", 3)
+
+
+@query(
+    """WITH e AS (SELECT unnest(['purchase', 'signup', 'refund']) AS event_type), c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+SELECT event_type, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (event_type)"""
+)
+def enumerated_counts(spark, sf_dir):
+    return metrics.enumerated(table(spark, sf_dir, "events"), "event_type", ["purchase", "signup", "refund"])

@@ -115,3 +115,14 @@ def test_registered_sql_matches(spark, tmp_path):
         r = con.sql(catalog.ORACLES[name])
         columns = [c[0] for c in r.description]
         assert got == sorted(tuple(str(x[columns.index(c)]) for c in sorted(columns)) for x in r.fetchall()), name
+
+
+def test_typed_rates_bootstrap_and_summary(spark):
+    df = spark.createDataFrame([("a", 1, 0.0, 1), ("a", 0, 0.5, 2), ("b", 1, 1.0, 3)], "t string, y int, v double, pos int")
+    r = metrics.typed_rates(df, "t", F.col("y") == 1).first()
+    assert (r["macro"], r["pooled"]) == (0.75, pytest.approx(2 / 3))
+    b = {x["t"]: x for x in metrics.bootstrap_mean(df, "v", "pos", "t").collect()}
+    assert b["b"]["ci_lower"] is None and (b["a"]["ci_lower"], b["a"]["ci_upper"]) == (0.0, 0.5)
+    s = metrics.metric_summary(df.limit(0), "v", F.col("y") == 1).first()
+    assert (s["n"], s["mean_iou"], s["found_rate"]) == (0, 0.0, 0.0)
+    assert one(spark, decisions.candidate_logit([F.lit(v) for v in (1.0, 2.0, 1.0)], [1, 1, -2])) == 1.0
