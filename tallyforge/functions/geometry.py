@@ -39,8 +39,8 @@ def overlap(a: Column, b: Column) -> Column:
 def iou(a: Column, b: Column, missing: str = "null") -> Column:
     """Intersection over union; an empty union gives 0."""
     shared = overlap(a, b)
-    union = area(a) + area(b) - shared
-    value = F.when(a.isNotNull() & b.isNotNull(), F.when(union > 0, F.try_divide(shared, union)).otherwise(F.lit(0.0)))
+    # the union is never negative, and a division by 0 gives null: no second copy of it in the plan
+    value = F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(shared, area(a) + area(b) - shared), F.lit(0.0)))
     if missing == "zero":
         return F.coalesce(value, F.lit(0.0))
     if missing == "strict":
