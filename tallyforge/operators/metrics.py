@@ -25,37 +25,81 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
 def selected(rows: DataFrame, score: str, threshold: float | Column, unscored: str = "baseline") -> DataFrame:
     """Add ``switched`` (eligible and above the threshold) and the chosen overlap."""
     above = F.coalesce(F.col(score) > threshold, F.lit(unscored == "challenger"))
-    out = rows.withColumn("switched", F.col("selector_eligible") & above)
+    out = rows.withColumn("switched", F.coalesce(F.col("selector_eligible"), F.lit(False)) & above)
     return out.withColumn("selector_iou", F.when(F.col("switched"), F.col("challenger_iou")).otherwise(F.col("baseline_iou")))
 
 
 def selector_metrics(rows: DataFrame, score: str, threshold: float = 0.0, unscored: str = "baseline", by: tuple[str, ...] = (), zero: float = 1e-12) -> DataFrame:
-    """One aggregation: means, oracle gap and capture, zero changes and action accuracy."""
-    r = selected(rows, score, threshold, unscored)
-    b, s, kept = F.col("baseline_iou"), F.col("selector_iou"), F.when(F.col("selector_eligible"), F.col("challenger_iou")).otherwise(F.col("baseline_iou"))
-    gain = F.avg("two_box_oracle_iou") - F.avg(b)
-    return r.groupBy(*by).agg(
+    """One aggregation: means, gap to the oracle from either fixed choice, zero changes and action accuracy.
+
+    Missing overlaps count as 0. Accuracy is over the rows that are eligible and scored.
+    """
+    r = selected(rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("baseline_iou", "challenger_iou")}), score, threshold, unscored)
+    b, c, s = F.col("baseline_iou"), F.col("challenger_iou"), F.col("selector_iou")
+    can = F.coalesce(F.col("selector_eligible"), F.lit(False))
+    kept, best = F.when(can, c).otherwise(b), F.when(can, F.greatest(b, c)).otherwise(b)
+    scored, right = can & F.col(score).isNotNull(), (F.col("selector_action") == "switch") == F.col("switched")
+    out = r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        count_if(F.col("selector_eligible")).alias("eligible"),
+        count_if(scored).alias("scored_eligible"),
         count_if(F.col("switched")).alias("switches"),
         F.avg(b).alias("baseline_miou"),
-        F.avg("challenger_iou").alias("raw_challenger_miou"),
+        F.avg(c).alias("raw_challenger_miou"),
         F.avg(kept).alias("challenger_miou"),
         F.avg(s).alias("selector_miou"),
-        F.avg("two_box_oracle_iou").alias("oracle_miou"),
-        (F.avg("two_box_oracle_iou") - F.avg(s)).alias("oracle_gap"),
-        F.when(gain > 0, F.try_divide(F.avg(s) - F.avg(b), gain)).alias("capture"),
+        F.avg(best).alias("oracle_miou"),
         count_if(s >= 0.5).alias("hits_at_half"),
         count_if(b <= zero).alias("baseline_zero"),
         count_if(s <= zero).alias("selector_zero"),
         count_if((b > zero) & (s <= zero)).alias("regressions"),
+        count_if(can & (b > zero) & (c <= zero)).alias("unconditional_regressions"),
         count_if((b <= zero) & (s > zero)).alias("recoveries"),
-        count_if(s > b).alias("improved"),
-        count_if(s < b).alias("degraded"),
-        F.avg(F.when(F.col("selector_eligible"), ((F.col("selector_action") == "switch") == F.col("switched")).cast("double"))).alias("action_accuracy"),
+        count_if(s - b > zero).alias("improved"),
+        count_if(s - b < -zero).alias("degraded"),
+        count_if(F.abs(s - b) <= zero).alias("tied"),
+        F.avg(F.when(scored, right.cast("double"))).alias("action_accuracy"),
+    )
+    return with_gaps(out)
+
+
+def with_gaps(means: DataFrame) -> DataFrame:
+    """Gap to the oracle and the part of it that the selector takes, from the baseline and from the better fixed choice."""
+    top, low, got = F.col("oracle_miou"), F.col("baseline_miou"), F.col("selector_miou")
+    out = means.withColumn("strongest_fixed_miou", F.greatest("baseline_miou", "challenger_miou"))
+    strong = F.col("strongest_fixed_miou")
+    return out.withColumns(
+        {
+            "oracle_gap": top - low,
+            "gap_captured": got - low,
+            "capture": F.when(top - low > 0, F.try_divide(got - low, top - low)),
+            "gap_from_strongest": top - strong,
+            "gain_over_strongest": got - strong,
+            "capture_from_strongest": F.when(top - strong > 0, F.try_divide(got - strong, top - strong)),
+            "switch_rate": F.try_divide(F.col("switches"), F.col("n")),
+            "hit_rate": F.try_divide(F.col("hits_at_half"), F.col("n")),
+        }
     )
 
 
+def sums_above(steps: DataFrame, position: str, sums: list[str], by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Replace each of ``sums`` by its total over the rows of greater ``position``.
+
+    Positions are cut into buckets at approximate quantiles, so no task sorts all of
+    them: sums of whole buckets are added first, then the rows within a bucket. The
+    quantiles only place the cuts; totals are exact wherever those lie.
+    """
+    cuts = steps.where(F.abs(position) < float("inf")).agg(F.percentile_approx(position, [i / buckets for i in range(1, buckets)])).first()[0]
+    bucket = sum((F.when(F.col(position) > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
+    parts = steps.withColumn("_b", bucket)
+    later = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    whole = whole.select(*by, "_b", *[F.coalesce(F.sum(f"_{c}").over(later), F.lit(0)).alias(f"_{c}") for c in sums])
+    above = Window.partitionBy(*by, "_b").orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
+    within = parts.withColumns({c: F.coalesce(F.sum(c).over(above), F.lit(0)) for c in sums})
+    out = within.join(whole, [*by, "_b"])
+    return out.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else F.col(c) for c in steps.columns])
+
+
 def threshold_sweep(rows: DataFrame, score: str, by: tuple[str, ...] = (), zero: float = 1e-12) -> DataFrame:
     """For each threshold (each distinct score, just below the least, infinity) the switches, regressions and summed gain.
 
@@ -70,9 +114,7 @@ def threshold_sweep(rows: DataFrame, score: str, by: tuple[str, ...] = (), zero:
     most = steps.groupBy(*by).agg(F.lit(float("inf")).alias("threshold"))
     nothing = [F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("lost"), F.lit(0).cast("long").alias("moved")]
     steps = steps.unionByName(least.select(*by, "threshold", *nothing)).unionByName(most.select(*by, "threshold", *nothing))
-    above = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c)
-    return steps.select(*by, "threshold", total("gain"), total("lost"), total("moved"))
+    return sums_above(steps, "threshold", ["gain", "lost", "moved"], by)
 
 
 def safe_threshold(rows: DataFrame, score: str, budget: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -85,6 +127,57 @@ def safe_threshold(rows: DataFrame, score: str, budget: int, by: tuple[str, ...]
     return best.select(*by, "t.*")
 
 
+def joint_threshold(rows: DataFrame, score: str, suite: str, budgets: dict[str, int] | None = None, unscored: str = "baseline", zero: float = 1e-12) -> DataFrame:
+    """One threshold for all suites: the mean capture from the better fixed choice is greatest.
+
+    Each suite keeps to its regression budget; without ``budgets`` that is half of its
+    unconditional regressions. Ties: greater sum of the selectors' means, fewer
+    regressions, fewer switches, lower threshold. None feasible: no row.
+    """
+    can, b, c = F.coalesce(F.col("selector_eligible"), F.lit(False)), F.coalesce("baseline_iou", F.lit(0.0)), F.coalesce("challenger_iou", F.lit(0.0))
+    gone, silent = can & (b > zero) & (c <= zero), F.col(score).isNull() & (unscored == "challenger")
+    gain = F.when(can, c - b).otherwise(0.0)
+    fixed = rows.groupBy(suite).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(b).alias("base"), F.sum(F.when(can, c).otherwise(b)).alias("challenger"), F.sum(F.when(can, F.greatest(b, c)).otherwise(b)).alias("oracle"),
+        count_if(gone).alias("all_lost"), F.sum(F.when(silent, gain).otherwise(0.0)).alias("gain0"), count_if(silent & gone).alias("lost0"), count_if(silent & can).alias("moved0"),
+    )
+    steps = rows.where(F.col(score).isNotNull()).groupBy(suite, F.col(score).alias("threshold")).agg(F.sum(gain).alias("gain"), count_if(gone).alias("lost"), count_if(can).alias("moved"))
+    names = [r[0] for r in rows.select(suite).distinct().limit(65).collect()]
+    if len(names) > 64:
+        raise ValueError("a joint threshold is for at most 64 suites")
+    least = steps.agg((F.min("threshold") - 1e-9).alias("threshold"))
+    every = steps.select("threshold").union(least).union(least.select(F.lit(float("inf")))).distinct().withColumn(suite, F.explode(F.array(*[F.lit(x) for x in names])))
+    steps = every.join(steps, [suite, "threshold"], "left").na.fill(0, ["gain", "lost", "moved"])
+    at = sums_above(steps, "threshold", ["gain", "lost", "moved"], (suite,)).join(F.broadcast(fixed), suite)  # at most 64 rows
+    at = at.withColumns({"gain": F.col("gain") + F.col("gain0"), "lost": F.col("lost") + F.col("lost0"), "moved": F.col("moved") + F.col("moved0")})
+    if budgets is None:
+        limit = F.floor(F.col("all_lost") / 2)
+    else:
+        limit = F.coalesce(*[F.when(F.col(suite) == k, F.lit(v)) for k, v in budgets.items()])
+    strong = F.greatest("base", "challenger")
+    capture = F.when(F.col("oracle") > strong, (F.col("base") + F.col("gain") - strong) / (F.col("oracle") - strong))
+    total = at.groupBy("threshold").agg(
+        F.avg(capture).alias("mean_capture"), F.sum((F.col("base") + F.col("gain")) / F.col("n")).alias("selector_miou_sum"), F.sum("lost").alias("lost"), F.sum("moved").alias("moved"),
+        F.bool_and(F.coalesce(F.col("lost") <= limit, F.lit(True))).alias("feasible"),
+    ).where("feasible")
+    order = F.struct("mean_capture", "selector_miou_sum", -F.col("lost"), -F.col("moved"), -F.col("threshold"))
+    return total.agg(F.max_by(F.struct("threshold", "mean_capture", "selector_miou_sum", "lost", "moved"), order).alias("t")).where("t is not null").select("t.*")
+
+
+def blended(rows: DataFrame, parts: dict[str, float], variants: dict[str, dict[str, float]]) -> DataFrame:
+    """One row a variant: the weighted sum of scores, each over its scale (``parts``: score to scale)."""
+    made = [
+        F.struct(F.lit(name).alias("variant"), sum((F.col(p) / parts[p] * w for p, w in weights.items()), F.lit(0.0)).alias("score"))
+        for name, weights in variants.items()
+    ]
+    return rows.select("*", F.inline(F.array(*made)))
+
+
+def scale_of(rows: DataFrame, score: str) -> float:
+    """Population deviation of a score, at least 1e-6."""
+    return rows.agg(F.greatest(F.stddev_pop(score), F.lit(1e-6))).first()[0] or 1e-6
+
+
 def confusion(df: DataFrame, truth: Column, predicted: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, rates and intervals of a yes/no task; a missing prediction counts as no."""
     p = F.coalesce(predicted, F.lit(False))

@@ -87,14 +87,19 @@ WITH b AS (
 @query(
     _BOXES
     + """
-SELECT count(*) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (switched) AS switches,
+SELECT count(*) AS n, count(*) FILTER (eligible) AS scored_eligible, count(*) FILTER (switched) AS switches,
   round(avg(b_iou), 9) AS baseline_miou, round(avg(c_iou), 9) AS raw_challenger_miou, round(avg(kept), 9) AS challenger_miou,
-  round(avg(s_iou), 9) AS selector_miou, round(avg(oracle), 9) AS oracle_miou, round(avg(oracle) - avg(s_iou), 9) AS oracle_gap,
-  round((avg(s_iou) - avg(b_iou)) / (avg(oracle) - avg(b_iou)), 9) AS capture,
+  round(avg(s_iou), 9) AS selector_miou, round(avg(oracle), 9) AS oracle_miou,
+  round(greatest(avg(b_iou), avg(kept)), 9) AS strongest_fixed_miou, round(avg(oracle) - avg(b_iou), 9) AS oracle_gap,
+  round(avg(s_iou) - avg(b_iou), 9) AS gap_captured, round((avg(s_iou) - avg(b_iou)) / (avg(oracle) - avg(b_iou)), 9) AS capture,
+  round(avg(oracle) - greatest(avg(b_iou), avg(kept)), 9) AS gap_from_strongest, round(avg(s_iou) - greatest(avg(b_iou), avg(kept)), 9) AS gain_over_strongest,
+  round((avg(s_iou) - greatest(avg(b_iou), avg(kept))) / (avg(oracle) - greatest(avg(b_iou), avg(kept))), 9) AS capture_from_strongest,
+  round(count(*) FILTER (switched) / count(*), 9) AS switch_rate, round(count(*) FILTER (s_iou >= 0.5) / count(*), 9) AS hit_rate,
   count(*) FILTER (s_iou >= 0.5) AS hits_at_half, count(*) FILTER (b_iou <= 1e-12) AS baseline_zero,
   count(*) FILTER (s_iou <= 1e-12) AS selector_zero, count(*) FILTER (b_iou > 1e-12 AND s_iou <= 1e-12) AS regressions,
-  count(*) FILTER (b_iou <= 1e-12 AND s_iou > 1e-12) AS recoveries, count(*) FILTER (s_iou > b_iou) AS improved,
-  count(*) FILTER (s_iou < b_iou) AS degraded,
+  count(*) FILTER (eligible AND b_iou > 1e-12 AND c_iou <= 1e-12) AS unconditional_regressions,
+  count(*) FILTER (b_iou <= 1e-12 AND s_iou > 1e-12) AS recoveries, count(*) FILTER (s_iou - b_iou > 1e-12) AS improved,
+  count(*) FILTER (s_iou - b_iou < -1e-12) AS degraded, count(*) FILTER (abs(s_iou - b_iou) <= 1e-12) AS tied,
   round(avg(CASE WHEN eligible THEN CAST((action = 'switch') = switched AS INT) END), 9) AS action_accuracy
 FROM m
 """
@@ -430,3 +435,35 @@ SELECT event_type, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (event_type)"""
 )
 def enumerated_counts(spark, sf_dir):
     return metrics.enumerated(table(spark, sf_dir, "events"), "event_type", ["purchase", "signup", "refund"])
+
+
+@query(
+    _BOXES
+    + """
+, f AS (SELECT l_returnflag AS u, count(*) AS n, sum(b_iou) AS base, greatest(sum(b_iou), sum(kept)) AS strong, sum(oracle) AS best,
+        count(*) FILTER (eligible AND b_iou > 1e-12 AND c_iou <= 1e-12) // 2 AS allowed FROM m GROUP BY 1),
+t AS (SELECT DISTINCT score AS t FROM m UNION ALL SELECT min(score) - 1e-9 FROM m UNION ALL SELECT CAST('inf' AS DOUBLE)),
+a AS (SELECT t, u, n, base, strong, best, allowed, sum(CASE WHEN eligible THEN c_iou - b_iou ELSE 0 END) AS gain,
+        count(*) FILTER (eligible AND b_iou > 1e-12 AND c_iou <= 1e-12) AS lost, count(*) FILTER (eligible) AS moved
+      FROM t CROSS JOIN f LEFT JOIN m ON m.l_returnflag = u AND m.score > t GROUP BY ALL),
+j AS (SELECT t, avg((base + coalesce(gain, 0) - strong) / (best - strong)) AS c, sum((base + coalesce(gain, 0)) / n) AS s, sum(lost) AS lost, sum(moved) AS moved
+      FROM a GROUP BY 1 HAVING bool_and(lost <= allowed))
+SELECT round(t, 9) AS threshold, round(c, 6) AS mean_capture, round(s, 6) AS selector_miou_sum, CAST(lost AS BIGINT) AS lost, CAST(moved AS BIGINT) AS moved
+FROM j ORDER BY c DESC, s DESC, lost, moved, t LIMIT 1"""
+)
+def joint_threshold(spark, sf_dir):
+    out = metrics.joint_threshold(labelled(spark, sf_dir), "score", "l_returnflag")
+    return out.select(F.round("threshold", 9).alias("threshold"), F.round("mean_capture", 6).alias("mean_capture"), F.round("selector_miou_sum", 6).alias("selector_miou_sum"), "lost", "moved")
+
+
+@query(
+    _BOXES
+    + """
+, v AS (SELECT l_orderkey, l_linenumber, score / 0.5 AS x, l_tax / 0.02 AS y FROM m)
+SELECT 'action' AS variant, round(avg(x), 9) AS mean, round(max(x), 9) AS top FROM v UNION ALL SELECT 'quality', round(avg(y), 9), round(max(y), 9) FROM v
+UNION ALL SELECT 'even', round(avg(0.5 * x + 0.5 * y), 9), round(max(0.5 * x + 0.5 * y), 9) FROM v"""
+)
+def blended_scores(spark, sf_dir):
+    r = box_rows(spark, sf_dir).select(F.col("score").alias("action"), F.col("l_tax").alias("quality"))
+    out = metrics.blended(r, {"action": 0.5, "quality": 0.02}, {"action": {"action": 1.0}, "quality": {"quality": 1.0}, "even": {"action": 0.5, "quality": 0.5}})
+    return rounded(out.groupBy("variant").agg(F.avg("score").alias("mean"), F.max("score").alias("top")))
