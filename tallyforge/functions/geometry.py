@@ -79,10 +79,150 @@ def hardness(target: Column, other: Column, diagonal: Column) -> Column:
     return 0.6 * F.exp(-F.abs(F.ln(ratio))) + 0.4 * F.greatest(F.lit(0.0), 1 - F.try_divide(away, diagonal))
 
 
+def ordered(b: Column) -> Column:
+    """Four numbers as corners in order; null unless there are four."""
+    return F.when(F.size(b) == 4, F.array(F.least(b[0], b[2]), F.least(b[1], b[3]), F.greatest(b[0], b[2]), F.greatest(b[1], b[3])))
+
+
+def clamped(b: Column, width: Column, height: Column) -> Column:
+    """Corners in order and within the image; an empty box stays."""
+    x = lambda v: F.least(F.greatest(v, F.lit(0.0)), width.cast("double"))
+    y = lambda v: F.least(F.greatest(v, F.lit(0.0)), height.cast("double"))
+    return ordered(F.array(x(b[0]), y(b[1]), x(b[2]), y(b[3])))
+
+
+def normalised(b: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Ordered and, where the size of the image is given, clamped; null for an empty or non-finite box."""
+    out = ordered(b) if width is None else clamped(b, width, height)
+    finite = F.size(F.filter(b, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))) == 4
+    return F.when(finite & valid(out), out)
+
+
+def from_text(cell: Column) -> Column:
+    """A JSON cell, else the first four numbers of the text, as an ordered box."""
+    found = F.transform(F.regexp_extract_all(cell, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda v: v.try_cast("double"))
+    listed = F.from_json(F.when(F.trim(cell).startswith("["), cell), "array<double>")
+    return ordered(F.when(F.size(listed) >= 0, listed).when(F.size(found) >= 4, F.slice(found, 1, 4)))
+
+
+def pixels(b: Column, width: Column, height: Column) -> Column:
+    """Whole pixels, halves to even, within the image and at least one pixel on each side."""
+    low = lambda v, most: F.greatest(F.lit(0), F.least(most - 1, F.bround(v).cast("int")))
+    x1, y1 = low(b[0], width), low(b[1], height)
+    high = lambda v, start, most: F.greatest(start + 1, F.least(most, F.bround(v).cast("int")))
+    return F.array(x1, y1, high(b[2], x1, width), high(b[3], y1, height))
+
+
+def shifted(b: Column, dx: Column, dy: Column, width: Column, height: Column) -> Column:
+    """Move a box; a step beyond the image is taken the other way, then the box is held inside."""
+
+    def start(at: Column, size: Column, step: Column, most: Column) -> Column:
+        moved = F.when(at + step + size > most, at - step).otherwise(at + step)
+        return F.least(F.greatest(moved, F.lit(0.0)), most.cast("double") - size)
+
+    w, h = b[2] - b[0], b[3] - b[1]
+    x, y = start(b[0], w, dx, width), start(b[1], h, dy, height)
+    return F.array(x, y, x + w, y + h)
+
+
+#: The kept part, the added context and the shift, each as a share of a side.
+PARTIAL, CONTEXT, JITTER = 0.55, 0.4, 0.35
+
+
+def perturbed(truth: Column, width: Column, height: Column) -> Column:
+    """array<struct<kind, box, iou>>: cuts, context and shifts of a box that overlap it by less than 0.95.
+
+    A box equal to the truth or, at ten decimals, to an earlier one is left out.
+    """
+    x1, y1, x2, y2 = (truth[i] for i in range(4))
+    w, h, zero = x2 - x1, y2 - y1, F.lit(0.0)
+    made = {
+        "partial_horizontal": F.array(x1, y1, x1 + w * PARTIAL, y2),
+        "partial_vertical": F.array(x1, y1, x2, y1 + h * PARTIAL),
+        "oversized_context": F.array(
+            F.greatest(zero, x1 - w * CONTEXT), F.greatest(zero, y1 - h * CONTEXT), F.least(width.cast("double"), x2 + w * CONTEXT), F.least(height.cast("double"), y2 + h * CONTEXT)
+        ),
+        "jitter_horizontal": shifted(truth, w * JITTER, zero, width, height),
+        "jitter_vertical": shifted(truth, zero, h * JITTER, width, height),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("box"), iou(truth, v).alias("iou")) for k, v in made.items()])
+    key = lambda b: F.transform(b, lambda v: F.round(v, 10))
+    fresh = F.filter(rows, lambda r, i: (key(r["box"]) != truth) & ~F.exists(F.slice(rows, 1, i), lambda e: key(e["box"]) == key(r["box"])))
+    return F.filter(fresh, lambda r: r["iou"] < 0.95)
+
+
+def _log_ratio(a: Column, b: Column) -> Column:
+    return F.ln((a + 1e-6) / (b + 1e-6))
+
+
 def box_features(b: Column, width: Column, height: Column) -> Column:
-    """Ten numbers relative to the image: corners, centre, size, area and aspect."""
+    """Ten numbers relative to the image: corners, size, centre, area and log aspect."""
     x1, y1, x2, y2 = b[0] / width, b[1] / height, b[2] / width, b[3] / height
-    return F.array(x1, y1, x2, y2, (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1, (x2 - x1) * (y2 - y1), F.try_divide(x2 - x1, y2 - y1))
+    return F.array(x1, y1, x2, y2, x2 - x1, y2 - y1, (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) * (y2 - y1), _log_ratio(x2 - x1, y2 - y1))
+
+
+def pair_features(b: Column, other: Column, width: Column, height: Column) -> Column:
+    """18 numbers of one box of a pair: its own ten, its distance to each edge, and its relation to the other."""
+    own, far = box_features(b, width, height), box_features(other, width, height)
+    one = F.lit(1.0)
+    edges = F.array(F.least(own[0], one), F.least(own[1], one), F.least(1 - own[2], one), F.least(1 - own[3], one))
+    between = F.array(iou(b, other), own[6] - far[6], own[7] - far[7], _log_ratio(own[8], far[8]))
+    return F.concat(own, edges, between)
+
+
+def reference_features(b: Column, reference: Column, score: Column, width: Column, height: Column) -> Column:
+    """32 numbers of a box and one reference: ten of each, the score, offsets and shared parts."""
+    own, ref = box_features(b, width, height), box_features(reference, width, height)
+    dx, dy = own[6] - ref[6], own[7] - ref[7]
+    shared_x = F.greatest(F.lit(0.0), F.least(own[2], ref[2]) - F.greatest(own[0], ref[0]))
+    shared_y = F.greatest(F.lit(0.0), F.least(own[3], ref[3]) - F.greatest(own[1], ref[1]))
+    shared = shared_x * shared_y
+    part = lambda whole: F.coalesce(F.try_divide(shared, whole), F.lit(0.0))
+    return F.concat(
+        own, ref,
+        F.array(
+            score.cast("double"), dx, dy, F.abs(dx), F.abs(dy), F.hypot(dx, dy), _log_ratio(own[8], ref[8]), iou(F.slice(own, 1, 4), F.slice(ref, 1, 4)),
+            part(own[8]), part(ref[8]), shared_x / F.least(own[4], ref[4]), shared_y / F.least(own[5], ref[5]),
+        ),
+    )
+
+
+def context_features(b: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
+    """One-hot relation, score-weighted mean and maximum of the reference features, number, best and mean score.
+
+    ``proposals``: array<struct<box, score>>, not empty (else null). Scores below 0 weigh
+    nothing; where all do, proposals weigh the same. With 18 relations, 85 numbers.
+    """
+    hot = F.array(*[(relation == r).cast("double") for r in relations])
+    rows = F.transform(proposals, lambda p: reference_features(b, p["box"], p["score"], width, height))
+    scores = F.transform(proposals, lambda p: F.greatest(F.lit(0.0), p["score"].cast("double")))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+    n, total = F.size(proposals), add(scores)
+    weights = F.transform(scores, lambda s: F.when(total > 0, s / total).otherwise(1.0 / n))
+    weighted = F.zip_with(weights, rows, lambda w, r: F.transform(r, lambda v: v * w))
+    mean = F.aggregate(weighted, F.array_repeat(F.lit(0.0), 32), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
+    most = F.aggregate(rows, F.array_repeat(F.lit(float("-inf")), 32), lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
+    return F.when(n > 0, F.concat(hot, mean, most, F.array(n / 5.0, F.array_max(scores), total / n)))
+
+
+def utility_features(b: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
+    """Own features and context of a box without the relation's one-hot part."""
+    context = context_features(b, proposals, relation, relations, width, height)
+    return F.concat(box_features(b, width, height), F.slice(context, len(relations) + 1, 67))
+
+
+def comparison_features(first: Column, second: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
+    """One-hot relation, then second minus first utility features: changing places changes their sign."""
+    hot = F.array(*[(relation == r).cast("double") for r in relations])
+    a, b = (utility_features(x, proposals, relation, relations, width, height) for x in (first, second))
+    return F.concat(hot, F.zip_with(a, b, lambda x, y: y - x))
+
+
+def best_index(truths: Column, b: Column, least: float = 0.5) -> Column:
+    """0-based position of the greatest overlap, the first of equal ones; null below ``least``."""
+    values = F.transform(truths, lambda t: iou(t, b, "zero"))
+    most = F.array_max(values)
+    return F.when(most >= least, F.array_position(values, most) - 1)
 
 
 def suppressed(boxes: Column, limit: float = 0.95) -> Column:
