@@ -147,7 +147,9 @@ def perturbed(truth: Column, width: Column, height: Column) -> Column:
     }
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("box"), iou(truth, v).alias("iou")) for k, v in made.items()])
     key = lambda b: F.transform(b, lambda v: F.round(v, 10))
-    fresh = F.filter(rows, lambda r, i: (key(r["box"]) != truth) & ~F.exists(F.slice(rows, 1, i), lambda e: key(e["box"]) == key(r["box"])))
+    start = F.array().cast("array<struct<kind:string,box:array<double>,iou:double>>")
+    # an accumulator, as a lambda that names ``rows`` would compute them again for each element
+    fresh = F.aggregate(rows, start, lambda seen, r: F.when((key(r["box"]) == truth) | F.exists(seen, lambda e: key(e["box"]) == key(r["box"])), seen).otherwise(F.concat(seen, F.array(r))))
     return F.filter(fresh, lambda r: r["iou"] < 0.95)
 
 

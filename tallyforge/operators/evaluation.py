@@ -147,7 +147,7 @@ def _summary(value: str, found: str, prefix: str) -> list[Column]:
 
 
 def group_candidates(records: DataFrame, key: str, truth: str, source: str, boxes: str, sources: list[str], order: str) -> DataFrame:
-    """One row a group: for each source its first and best overlap and number of boxes, and the pool of all.
+    """One row a group: for each source its first and best overlap and number of boxes, the pool of all, and whether its truths conflict.
 
     Records of other sources are left out. Boxes of a source are in ``order``; a group's
     boxes are the few candidates of one query.
@@ -159,9 +159,9 @@ def group_candidates(records: DataFrame, key: str, truth: str, source: str, boxe
     for s in sources:
         mine = F.sort_array(F.collect_list(F.when(F.col(source) == s, F.struct(order, "_boxes"))))
         per.append(F.flatten(F.transform(mine, lambda r: r["_boxes"])).alias(f"_{s}"))
-    rows = kept.groupBy(key).agg(F.first("_gt", ignorenulls=True).alias("_gt"), *per)
+    rows = kept.groupBy(key).agg(F.min("_gt").alias("_gt"), (reduce(lambda a, b: a | b, [F.max(F.col("_gt")[i]) - F.min(F.col("_gt")[i]) > 1e-6 for i in range(4)])).alias("conflict"), *per)
     out = rows.withColumn("_pool", F.concat(*[F.col(f"_{s}") for s in sources]))
-    cols = [F.col(key)]
+    cols = [F.col(key), F.coalesce("conflict", F.lit(True)).alias("conflict")]
     for name, c in [(s, f"_{s}") for s in sources] + [("pool", "_pool")]:
         values = F.transform(F.col(c), lambda b: iou(b, F.col("_gt"), "zero"))
         cols += [F.coalesce(F.get(values, F.lit(0)), F.lit(0.0)).alias(f"{name}_top1"), F.coalesce(F.array_max(values), F.lit(0.0)).alias(f"{name}_best"), F.size(c).alias(f"{name}_n")]
@@ -173,7 +173,7 @@ def candidate_oracle(groups: DataFrame, sources: list[str], baseline: str) -> Da
     base, best = F.col(f"{baseline}_best"), F.col("pool_best")
     parts = [x for s in sources for x in (*_summary(f"{s}_top1", f"{s}_n", f"{s}_top1"), *_summary(f"{s}_best", f"{s}_n", f"{s}_oracle"), F.coalesce(F.avg(f"{s}_n"), F.lit(0.0)).alias(f"{s}_mean_candidates"))]
     out = groups.agg(
-        F.count(F.lit(1)).alias("n_groups"), *parts, *_summary("pool_best", "pool_n", "oracle"),
+        F.count(F.lit(1)).alias("n_groups"), count_if(F.col("conflict")).alias("conflicts"), *parts, *_summary("pool_best", "pool_n", "oracle"),
         F.coalesce(F.avg("pool_n"), F.lit(0.0)).alias("mean_candidates"), F.coalesce(F.avg("unique_n"), F.lit(0.0)).alias("mean_unique_candidates"),
         count_if((base <= 0) & (best > 0)).alias("recovered_zero"), count_if((base < 0.5) & (best >= 0.5)).alias("recovered_to_half"),
     )

@@ -106,4 +106,4 @@ def compute_subset(df: DataFrame, quotas: dict[str, int], seed: str, source: str
             raise ValueError(f"quotas not met: {short}")
         return pd.DataFrame(taken, columns=[source, key, "queue_rank"])
 
-    return pool.groupBy(F.lit(1)).applyInPandas(choose, f"{source} string, {key} string, queue_rank long")
+    return pool.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, f"{source} string, {key} string, queue_rank long")

@@ -71,3 +71,83 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_by_split(df: DataFrame, path: str, *by: str) -> None:
     df.write.partitionBy(*by).mode("errorifexists").parquet(path)
+
+
+def read_references(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Referring expressions from a JSON or Parquet export, one row a sentence; pickled files are not read.
+
+    Rows without sentences keep one row with a null ``sentence``, for the check that follows.
+    """
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_json_lines(spark, path, schema)
+    return df.select("*", F.explode_outer("sentences").alias("sentence")).drop("sentences")
+
+
+def read_instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of an instances document; annotations say whether their box is valid.
+
+    A box is valid with four finite numbers and a positive width and height. A document
+    without any of the three parts is an error.
+    """
+    image, category = "array<struct<id:bigint,file_name:string,width:int,height:int>>", "array<struct<id:bigint,name:string>>"
+    annotation = "array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,iscrowd:int>>"
+    whole = spark.read.schema(f"images {image}, annotations {annotation}, categories {category}").option("multiLine", True).json(path)
+    sizes = whole.select(*[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in whole.columns]).agg(*[F.sum(c).alias(c) for c in whole.columns]).first()
+    empty = [c for c in whole.columns if not sizes[c]]
+    if empty:
+        raise ValueError(f"{path}: nothing in {empty}")
+    images, annotations, categories = (whole.select(F.inline(c)) for c in whole.columns)
+    b = F.col("bbox")
+    finite = F.size(F.filter(b, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))) == 4
+    return images, annotations.withColumn("valid", F.coalesce((F.size(b) == 4) & finite & (b[2] > 0) & (b[3] > 0), F.lit(False))), categories
+
+
+def replace_file(path: str, content: str, overwrite: bool = False) -> None:
+    """Write a small manifest beside ``path`` and put it in place in one step; a failure leaves no trace.
+
+    For single files in a shared folder. Tables use Spark's own commit.
+    """
+    import os
+
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    part = f"{path}.tmp"
+    try:
+        with open(part, "w", encoding="utf-8", newline="\n") as f:
+            f.write(content)
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+
+
+def with_flat_intervals(df: DataFrame) -> DataFrame:
+    """Structs of value, ci_lower and ci_upper become three columns."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StructType) and {"value", "ci_lower", "ci_upper"} <= set(f.dataType.names):
+            out += [F.col(f.name)["value"].alias(f.name), F.col(f.name)["ci_lower"].alias(f"{f.name}_ci_lower"), F.col(f.name)["ci_upper"].alias(f"{f.name}_ci_upper")]
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def write_metrics_csv(frames: list[DataFrame], path: str) -> None:
+    """Metrics of several models as one CSV over the union of their columns."""
+    from ..operators.evaluation import union_all
+
+    write_csv(union_all([with_flat_intervals(f) for f in frames]), path)
+
+
+def markdown_table(df: DataFrame, most: int = 200) -> str:
+    """A report table; more than ``most`` rows are an error, not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+    return "\n".join(f"| {' | '.join(line)} |" for line in lines) + "\n"
+
+
+def merged(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Keyed upsert of summaries: rows of ``after`` replace those of their key."""
+    return before.join(after.select(*key).distinct(), key, "left_anti").unionByName(after, allowMissingColumns=True)
