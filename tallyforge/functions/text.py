@@ -159,3 +159,13 @@ def bounded(text: Column, most: int = 4000) -> Column:
 
 def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def first_long_number(name: Column) -> Column:
+    """The first twelve digits in a row, whatever is beside them."""
+    return F.nullif(F.regexp_extract(name, r"(\d{12})", 1), F.lit("")).try_cast("bigint")
+
+
+def compact_items(items: Column, fields: list[str]) -> Column:
+    """JSON of an array of structs with the named fields only; null ones are left out."""
+    return F.to_json(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields])))

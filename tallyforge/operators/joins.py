@@ -48,3 +48,73 @@ def best_match(df: DataFrame, others: DataFrame, group: list[str], key: str, sco
 def closed_groups(df: DataFrame, group: list[str], relevant: Column) -> DataFrame:
     """All rows of a group when any of its rows is relevant."""
     return df.join(df.where(relevant).select(*group).distinct(), group, "left_semi")
+
+
+def assembled(queue: DataFrame, required: dict[str, DataFrame], optional: dict[str, DataFrame], key: list[str], tasks: list[str] | None = None) -> DataFrame:
+    """Queue rows with the parts of other tables, each as a struct column of its name, once for each task.
+
+    A required part that is missing is noted in ``violations`` (see ``assert_clean``); an
+    optional one is null. Parts have one row a key.
+    """
+    out = queue.withColumn("violations", F.array().cast("array<string>"))
+    for name, part in {**required, **optional}.items():
+        fields = [F.col(c) for c in part.columns if c not in key]
+        out = out.join(part.select(*key, F.struct(*fields).alias(name)), key, "left")
+        if name in required:
+            out = out.withColumn("violations", F.when(F.col(name).isNull(), F.array_append("violations", F.lit(f"missing_{name}"))).otherwise(F.col("violations")))
+    return out if tasks is None else out.withColumn("task", F.explode(F.array(*[F.lit(t) for t in tasks])))
+
+
+def by_text(a: DataFrame, b: DataFrame, key: str, text: str, how: str = "inner") -> DataFrame:
+    """Join on an id and a text that may differ in case and white space; ids lose what follows two underscores.
+
+    ``b`` keeps its other columns only.
+    """
+    from ..functions.text import normalised, without_suffix
+
+    side = b.select(without_suffix(F.col(key).cast("string")).alias("_k"), normalised(F.col(text)).alias("_t"), *[c for c in b.columns if c not in (key, text)])
+    mine = a.withColumns({"_k": without_suffix(F.col(key).cast("string")), "_t": normalised(F.col(text))})
+    return mine.join(side, ["_k", "_t"], how).drop("_k", "_t")
+
+
+def pools(expressions: DataFrame, banks: DataFrame, key: list[str], arrays: dict[str, str]) -> DataFrame:
+    """Expressions with their candidate bank, once for each kind whose array isn't empty (kind: array column)."""
+    kinds = F.array(*[F.when(F.coalesce(F.size(c), F.lit(0)) > 0, kind) for kind, c in arrays.items()])
+    return expressions.join(banks, key).withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+
+
+def coverage_union(everything: DataFrame, parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """How many keys each part covers, how many any, how many all, and how many none."""
+    out = everything.select(*key).distinct()
+    for name, part in parts.items():
+        out = out.join(part.select(*key, F.lit(1).alias(name)).distinct(), key, "left")
+    n = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
+    count = lambda c: F.count(F.when(c, 1))
+    return out.agg(*[F.count(p).alias(p) for p in parts], count(n > 0).alias("covered"), count(n == len(parts)).alias("shared"), count(n == 0).alias("unresolved"))
+
+
+def assert_count(df: DataFrame, expected: int) -> DataFrame:
+    found = df.count()
+    if found != expected:
+        raise ValueError(f"{found} rows, not {expected}")
+    return df
+
+
+def group_slice(df: DataFrame, group: list[str], order: str, offset: int, limit: int) -> DataFrame:
+    """All rows of the groups that come at ``offset`` and after by their first row, ``limit`` of them."""
+    firsts = df.groupBy(*group).agg(F.min(order).alias("_first")).orderBy("_first", *group).offset(offset).limit(limit)
+    return df.join(firsts.drop("_first"), group, "left_semi")
+
+
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Rows of each group and a map of a small set of values to their counts, in order of value."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(value, "_n"))))
+    return counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.map_from_entries(entries).alias(f"{value}_counts"))
+
+
+def resolved(df: DataFrame, files: DataFrame, candidates: list[Column]) -> DataFrame:
+    """Rows with ``path``, the first candidate among the listed files (column ``path``); rows without one are left out."""
+    tries = df.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.array(*candidates)).alias("_n", "path"))
+    found = tries.join(files.select("path").distinct(), "path", "left_semi")
+    return found.groupBy("_id").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns], "path"), "_n").alias("r")).select("r.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import parsing, relations, text
-from ..operators import evaluation, records, sampling
+from ..operators import evaluation, joins, records, sampling
 from .catalog import _BOXES, box_rows, labelled, query, rounded, table
 
 
@@ -261,3 +261,50 @@ def caption_cosine(spark, sf_dir):
     """Each turn against itself: the cosine of a caption with words is 1."""
     c = table(spark, sf_dir, "conversations").select("role", text.caption_scores(F.col("text"), F.col("text"), F.lit("cat"), F.lit("dog")).alias("s"))
     return rounded(c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.avg("s.cosine").alias("cosine"), F.avg("s.penalised").alias("penalised")))
+
+
+@query(
+    """WITH n AS (SELECT split_part(CAST(conv_id AS VARCHAR), '__', 1) AS k, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t, turn FROM conversations)
+SELECT CAST(a.k AS BIGINT) AS conv_id, a.turn AS turn, b.turn AS other_turn FROM n a JOIN n b ON a.k = b.k AND a.t = b.t"""
+)
+def text_keyed_join(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    other = c.select("conv_id", F.upper("text").alias("text"), F.col("turn").alias("other_turn"))
+    return joins.by_text(c, other, "conv_id", "text").select("conv_id", "turn", "other_turn")
+
+
+@query(
+    """WITH o AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS a, c_custkey IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) AS b FROM (SELECT DISTINCT c_custkey FROM customer))
+SELECT count(*) FILTER (a) AS ordered, count(*) FILTER (b) AS seen, count(*) FILTER (a OR b) AS covered, count(*) FILTER (a AND b) AS shared, count(*) FILTER (NOT a AND NOT b) AS unresolved FROM o"""
+)
+def coverage_union(spark, sf_dir):
+    o, e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    return joins.coverage_union(table(spark, sf_dir, "customer"), {"ordered": o, "seen": e}, ["c_custkey"])
+
+
+@query(
+    """WITH g AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1 ORDER BY f, user_id LIMIT 10 OFFSET 5)
+SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM g)"""
+)
+def group_slice(spark, sf_dir):
+    return joins.group_slice(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 5, 10)
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey % 7 AS g, o_custkey % 3 AS v, count(*) AS n FROM orders GROUP BY ALL)
+SELECT g, CAST(sum(n) AS BIGINT) AS n, string_agg(v || '=' || n, ',' ORDER BY v) AS v_counts FROM c GROUP BY 1"""
+)
+def emission_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("g"), (F.col("o_custkey") % 3).alias("v"))
+    out = joins.value_counts(o, ["g"], "v")
+    return out.withColumn("v_counts", F.array_join(F.transform(F.map_entries("v_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
+@query(
+    """SELECT o_orderkey, t AS task, c_custkey IS NOT NULL AS known, s_suppkey IS NOT NULL AS supplied FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN supplier ON s_suppkey = o_custkey, (SELECT unnest(['t2', 't4']) AS t)"""
+)
+def assembled_rows(spark, sf_dir):
+    key = lambda n, c: table(spark, sf_dir, n).withColumn("k", F.col(c))
+    out = joins.assembled(key("orders", "o_custkey"), {"customer": key("customer", "c_custkey")}, {"supplier": key("supplier", "s_suppkey")}, ["k"], ["t2", "t4"])
+    return out.select("o_orderkey", "task", (F.size("violations") == 0).alias("known"), F.col("supplier").isNotNull().alias("supplied"))

@@ -144,3 +144,23 @@ def test_instances_reports_and_manifests(spark, tmp_path):
     assert "| m | 0.5000 | 0.1000 | 0.9000 |" in files.markdown_table(files.with_flat_intervals(df))
     up = files.merged(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
     assert sorted(tuple(r) for r in up.collect()) == [(1, "a"), (2, "c")]
+
+
+def test_assembly(spark, tmp_path):
+    from tallyforge.functions import text
+    from tallyforge.operators import joins
+
+    e = spark.createDataFrame([(1, "a"), (2, "b")], "k int, q string")
+    bank = spark.createDataFrame([(1, [1], []), (2, [1], [2])], "k int, x array<int>, y array<int>")
+    got = joins.pools(e, bank, ["k"], {"same": "x", "near": "y"}).select("k", "kind").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "same"), (2, "near"), (2, "same")]
+    with pytest.raises(ValueError):
+        joins.assert_count(e, 3)
+    listed = spark.createDataFrame([("/b/a",), ("/b/b",), ("/a/b",)], "path string")
+    found = joins.resolved(e, listed, [F.concat(F.lit("/a/"), "q"), F.concat(F.lit("/b/"), "q")])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "/b/a"), (2, "b", "/a/b")]
+    with pytest.raises(ValueError, match="missing_bank: 1"):
+        joins.assert_clean(joins.assembled(e, {"bank": bank.where("k = 1")}, {}, ["k"]))
+    assert one(spark, text.first_long_number(F.lit("x1234567890123"))) == 123456789012
+    items = F.from_json(F.lit('[{"a":1,"b":2},{"a":null,"b":3}]'), "array<struct<a:int,b:int>>")
+    assert one(spark, text.compact_items(items, ["a"])) == '[{"a":1},{}]'
