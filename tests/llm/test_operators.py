@@ -120,13 +120,15 @@ def test_tokens_equal_the_library(spark):
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = [None, "", " ", "\n", "a  b\n\n c", "▁x ▁", "<s> </s> <unk>\t\x00", "  \n  end ", "é\U0001f600漢字" * 3, LONG, "x" * 5000]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    rows = {r["doc_id"]: r["t"] for r in df.select("doc_id", tokencount.count_tokens()("text").alias("t")).collect()}
-    for i, t in enumerate(texts):
-        assert (rows[i]["n_bytes"], rows[i]["n_tokens"]) == (len((t or "").encode()), len(model.encode(t or ""))), repr(t)[:60]
-    counts = tokencount.Counts(public_tokenizers.path("piece_bpe_32k.model"))
-    counts.table = 3
-    assert [counts.of(t or "") for t in texts] == [len(model.encode(t or "")) for t in texts]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id int, text string, n_tokens int")
+    for head in (0, 3, 1 << 18):  # all, most or none of the words join by shuffle
+        rows = {r["doc_id"]: r for r in tokencount.count_tokens(df, head=head).collect()}
+        assert rows[0].asDict().keys() == {"doc_id", "n_tokens", "n_bytes", "n_tokens_"} and len(rows) == len(texts)
+        for i, t in enumerate(texts):
+            assert (rows[i]["n_bytes"], rows[i]["n_tokens_"]) == (len((t or "").encode()), len(model.encode(t or ""))), repr(t)[:60]
+    repeated = awkward(spark)
+    assert sorted(r[0] for r in tokencount.count_tokens(repeated, keep=["text"]).select("n_tokens").collect()) == sorted(len(model.encode(r["text"] or "")) for r in repeated.collect())
+    assert tokencount.count_tokens(empty(spark)).count() == 0
 
 
 def plain_classes(texts):
