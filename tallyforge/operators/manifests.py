@@ -9,9 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import iou
 from ..functions.text import normalised
 from ..sources.files import write_json_lines
-from .logs import latest_then, pending
+from .decisions import selector_columns
+from .evaluation import dependency_violations
+from .logs import latest, latest_then, pending
 from .metrics import count_if
 
 
@@ -162,3 +165,33 @@ def write_counted(df: DataFrame, path: str, order: list[str]) -> int:
     """Write JSON lines in order and tell how many; the count is that of the rows written."""
     write_json_lines(df, path, order)
     return df.sparkSession.read.text(path).count()
+
+
+def evaluation_rows(benchmark: DataFrame, candidates: DataFrame, records: DataFrame, tasks: list[str], position: str = "position", margin: float = 0.05) -> DataFrame:
+    """Labelled selector rows of each positive and task from a benchmark, a log of candidates and evaluator records.
+
+    All have ``base_sample_id``; ``benchmark`` image_filename, query and gt_bbox_xyxy, which must
+    agree for each id; ``candidates`` error, parse_valid and candidate_boxes; ``records`` task,
+    query_role, query, parse_valid, pred_found and pred_bbox_xyxy. The last row by ``position``
+    counts, of records only those of positives with the benchmark's text. A candidate that
+    failed, even after a good one, gives no box.
+    """
+    key, fields = "base_sample_id", ["image_filename", "query", "gt_bbox_xyxy"]
+    if wrong := dependency_violations(benchmark, [key], fields).limit(10).collect():
+        raise ValueError(f"rows of one id differ: {[r[key] for r in wrong]}")
+    positives = benchmark.groupBy(key).agg(*[F.first(c).alias(c) for c in fields])
+    good = F.col("error").isNull() & F.coalesce("parse_valid", F.lit(False))
+    box = F.when(good & (F.size("candidate_boxes") > 0), F.get("candidate_boxes", F.lit(0)))
+    pool = latest(candidates, [key], position).select(key, box.alias("challenger_bbox_xyxy"))
+    said = records.where((F.col("query_role") == "positive") & F.col("task").isin(tasks)).withColumn("_t", normalised(F.col("query")))
+    said = said.join(positives.select(key, normalised(F.col("query")).alias("_t")), [key, "_t"], "left_semi")
+    said = latest(said, [key, "task"], position).select(key, "task", F.col("pred_bbox_xyxy").alias("baseline_bbox_xyxy"), "pred_found", "parse_valid")
+    rows = positives.join(pool, key, "left").withColumn("task", F.explode(F.array(*[F.lit(t) for t in tasks]))).join(said, [key, "task"], "left")
+    usable = F.when(F.coalesce("pred_found", F.lit(False)), F.col("baseline_bbox_xyxy"))
+    parsed = F.coalesce("parse_valid", F.lit(False))
+    out = selector_columns(rows.withColumn("_usable", usable), "gt_bbox_xyxy", "_usable", "challenger_bbox_xyxy", margin, baseline_parsed=parsed)
+    # a box that is present but not called found is no choice, yet its overlap is reported
+    return out.withColumn("baseline_iou", iou(F.col("gt_bbox_xyxy"), F.col("baseline_bbox_xyxy"), "zero")).select(
+        F.concat_ws(":", "task", key).alias("query_id"), F.col(key).alias("group_id"), "task", *fields, "baseline_bbox_xyxy", "challenger_bbox_xyxy",
+        "baseline_iou", "challenger_iou", "selector_action", "selector_eligible", "selector_exclusion",
+    )

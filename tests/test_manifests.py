@@ -67,3 +67,23 @@ def test_reparsing_and_counted_files(spark, tmp_path):
     with pytest.raises(Exception, match="not in the queue"):
         manifests.reparsed(log, queue.where("id = 'a'"), "id", F.col("raw"), "w", "h", parsing.read_baseline, "t4").collect()
     assert manifests.write_counted(queue, str(tmp_path / "q"), ["id"]) == 3
+
+
+def test_evaluation_rows(spark):
+    gt, near, far = [0.0, 0.0, 10.0, 10.0], [0.0, 0.0, 10.0, 8.0], [50.0, 50.0, 60.0, 60.0]
+    bench = spark.createDataFrame([("a", "a.jpg", "Red dog", gt), ("a", "a.jpg", "Red dog", gt), ("b", "b.jpg", "cat", gt), ("c", "c.jpg", "cow", gt)], "base_sample_id string, image_filename string, query string, gt_bbox_xyxy array<double>")
+    pool = spark.createDataFrame([("a", 1, None, True, [near, far]), ("b", 1, None, True, [near]), ("b", 2, "failed", None, None)], "base_sample_id string, position int, error string, parse_valid boolean, candidate_boxes array<array<double>>")
+    records = spark.createDataFrame(
+        [
+            ("a", 1, "t2", "positive", "red  DOG", True, True, far), ("a", 2, "t2", "positive", "blue dog", True, True, gt), ("a", 3, "t2", "negative", "red dog", True, True, gt),
+            ("a", 1, "t4", "positive", "red dog", True, False, near), ("b", 1, "t2", "positive", "cat", True, True, near), ("b", 1, "t9", "positive", "cat", True, True, near), ("z", 1, "t2", "positive", "x", True, True, gt),
+        ],
+        "base_sample_id string, position int, task string, query_role string, query string, parse_valid boolean, pred_found boolean, pred_bbox_xyxy array<double>",
+    )
+    rows = {r["query_id"]: r for r in manifests.evaluation_rows(bench, pool, records, ["t2", "t4"]).collect()}
+    assert len(rows) == 6 and (rows["t2:a"]["selector_action"], rows["t2:a"]["baseline_iou"], rows["t2:a"]["challenger_iou"]) == ("switch", 0.0, pytest.approx(0.8))
+    assert rows["t4:a"]["selector_exclusion"] == "baseline_null_locked_stage1" and rows["t4:a"]["baseline_iou"] == pytest.approx(0.8)
+    assert rows["t2:b"]["selector_exclusion"] == "challenger_parse_invalid" and rows["t2:b"]["challenger_bbox_xyxy"] is None
+    assert {rows[k]["selector_exclusion"] for k in ("t4:b", "t2:c", "t4:c")} == {"baseline_parse_invalid"}
+    with pytest.raises(ValueError):
+        manifests.evaluation_rows(bench.union(bench.where("base_sample_id = 'c'").withColumn("query", F.lit("bull"))), pool, records, ["t2"])
