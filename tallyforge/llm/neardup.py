@@ -1,12 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Sketch. The five-word shingles of a text, weighted by how often they occur, are the
-elements. Element ``e`` of weight ``w`` has a Poisson process of rate ``w``; each
-arrival falls into a uniformly drawn register. A register keeps the element of its
-earliest arrival, and an element stops as soon as its next arrival is later than
-every register's earliest. Two texts agree in a register with the probability
-Jaccard similarity of their weights (for shingles that occur once: the Jaccard
-similarity of the sets).
+Sketch. The five-word shingles of a text are the elements. Element ``e`` of weight
+``w`` has a Poisson process of rate ``w``; each arrival falls into a uniformly drawn
+register. A register keeps the element of its earliest arrival, and an element stops
+as soon as its next arrival is later than every register's earliest. Two texts agree
+in a register with the probability Jaccard similarity of their weights. Every shingle
+has weight 1 however often it occurs, so that this is the Jaccard similarity of the
+sets, which is what is verified.
 
 Candidates. Registers are cut into bands; texts that share a band are candidates.
 Equal texts are one node of the graph from the start. Within a band's bucket every
@@ -72,8 +72,8 @@ def prob_minhash(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, n:
 
 def sketches(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (n x BANDS) and 16-bit registers (n x REGISTERS)."""
-    doc, elements, weights = shingles(values)
-    kept = prob_minhash(doc, elements, weights, len(values))
+    doc, elements, _ = shingles(values)
+    kept = prob_minhash(doc, elements, np.ones(len(elements)), len(values))
     bands = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(values), 0)
     for k in range(ROWS):
         bands = mixed(bands * np.uint64(0x9E3779B97F4A7C55) + kept[:, k::ROWS])

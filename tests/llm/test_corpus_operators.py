@@ -173,6 +173,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(k == min(v) for k, v in found.items())
 
 
+def test_near_duplicates_with_differing_repeats_equal_brute_force(spark):
+    texts = []
+    for k in range(20):
+        words, line = " ".join(f"b{k}w{i}" for i in range(200)), " " + " ".join(f"l{k}x{i}" for i in range(12))
+        texts += [words + line, words + line * (10, 20, 50, 100)[k % 4], words + line * 3 + " " + words]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(set)
+    for r in neardup.near_duplicates(df).collect():
+        found[r["class_id"]].add(r["doc_id"])
+    assert {frozenset(v) for v in found.values()} == plain_classes(texts) and len(found) == 20
+
+
 def test_near_duplicate_blocks_give_the_same_links():
     rng = np.random.default_rng(5)
     rows = [(bytes([i]), bytes([i]), " ".join(f"w{j if rng.random() > 0.03 else 1000 + j}" for j in range(60)).encode()) for i in range(30)]
