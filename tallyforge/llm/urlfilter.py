@@ -5,6 +5,10 @@ labelled examples of the model. Host labels are segmented into words by a unigra
 Viterbi search over word frequencies of all page titles; a multinomial naive Bayes
 model with add-one smoothing scores the words of the host and the tokens of the path.
 Tokens are hashed into ``BUCKETS`` counters, so the model's size is fixed.
+
+Distinct hosts are segmented in blocks. Each block gets, by a shuffle join, the words
+that occur in its hosts, whatever their frequency; no task holds all words. A word of
+more than ``LONGEST`` letters is found by its first ``LONGEST``.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from . import common
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The unigram model holds this many words at most, the most frequent, of up to 24 letters.
-VOCABULARY, LONGEST = 50_000, 24
+#: Letters by which words and parts of hosts are joined.
+LONGEST = 24
+#: Hosts of a block.
+BLOCK_HOSTS = 1024
+#: Host tables of at most this many rows are broadcast.
+BROADCAST_ROWS = 20_000
 BUCKETS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,17 +58,20 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def title_words(pages: DataFrame) -> DataFrame:
-    """(word, n) over the titles of all pages, ASCII letters only, lower case."""
+    """(word, n) over the titles of all pages, whole runs of ASCII letters, lower case."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{1,%d}" % LONGEST), F.lit(0))).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Segmenter:
-    """Most likely split of a name into words; what no word covers goes letter by letter."""
+    """Most likely split of a name into words; what no word covers goes letter by letter.
+
+    ``total`` is the number of all words, where ``counts`` has only some of them.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
         self.other = math.log(total) + math.log(10)
         self.longest = max(map(len, counts), default=1)
@@ -81,27 +92,63 @@ class Segmenter:
             end = back[end]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels, marked h, and of the path, marked p; digits become 0."""
+    def tokens(self, host: str) -> list[str]:
+        """Words of the host's labels, marked h; digits become 0."""
         out = []
         for label in host.split("."):
             for run in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9]+", label):
                 out += ["h:" + w for w in self.split(run)] if run.isalpha() and run.isascii() else ["h:0" if run.isdigit() else "h:" + run]
-        return out + ["p:" + re.sub(r"[0-9]+", "0", t) for t in re.findall(r"[^/._\-]+", path.lower())]
+        return out
+
+
+def path_tokens(path: str) -> list[str]:
+    """Tokens of the path, marked p; digits become 0."""
+    return ["p:" + re.sub(r"[0-9]+", "0", t) for t in re.findall(r"[^/._\-]+", path.lower())]
 
 
 def bucket(token: str) -> int:
     return xxhash.xxh64_intdigest(token) % BUCKETS
 
 
-def host_tokens(words: dict[str, int]):
-    @F.arrow_udf("array<int>")
-    def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = Segmenter(words)
-        for hosts, paths in batches:
-            yield pa.array([[bucket(t) for t in model.tokens(h, p)] for h, p in zip(hosts.to_pylist(), paths.to_pylist())], pa.list_(pa.int32()))
+def tokens_of_blocks(total: int):
+    """Rows (block, host, word, n) sorted by block, words before hosts; one block is held at a time."""
 
-    return tokens
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, model = None, {}, None
+        for batch in batches:
+            hosts, found = [], []
+            for block, host, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    now, words, model = block, {}, None
+                if host is None:
+                    words[word] = n
+                    continue
+                model = model or Segmenter(words, total)
+                hosts.append(host)
+                found.append([bucket(t) for t in model.tokens(host)])
+            yield pa.record_batch({"host": pa.array(hosts, pa.string()), "tokens": pa.array(found, pa.list_(pa.int32()))})
+
+    return run
+
+
+def host_tokens(hosts: DataFrame, words: DataFrame, block_hosts: int = BLOCK_HOSTS) -> DataFrame:
+    """(host, tokens) of the distinct ``hosts`` by all ``words`` (word, n)."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-hosts.count() // block_hosts))
+    placed = hosts.select(F.pmod(F.xxhash64("host"), F.lit(blocks)).alias("block"), "host")
+    runs = placed.select("block", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("run")).distinct()
+    rests = runs.select("block", F.explode(F.expr("transform(sequence(1, length(run)), i -> substring(run, i, %d))" % LONGEST)).alias("rest")).distinct()
+    parts = rests.select("block", F.explode(F.expr("transform(sequence(1, length(rest)), k -> left(rest, k))")).alias("part")).distinct()
+    known = parts.join(words.withColumn("part", F.left("word", F.lit(LONGEST))), "part").select("block", F.lit(None).cast("string").alias("host"), "word", "n")
+    rows = known.union(placed.select("block", "host", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
+    rows = rows.repartition(min(blocks, max(1, int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block").sortWithinPartitions("block", F.asc_nulls_first("host"))
+    return rows.mapInArrow(tokens_of_blocks(total), "host string, tokens array<int>")
+
+
+@common.arrow_function("array<int>")
+def path_buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for paths in batches:
+        yield pa.array([[bucket(t) for t in path_tokens(p)] for p in paths.to_pylist()], pa.list_(pa.int32()))
 
 
 def scorer(weights: np.ndarray, prior: float):
@@ -122,21 +169,21 @@ def naive_bayes(counts: list[tuple[int, int, int]], examples: tuple[int, int]) -
     return np.log(table[1]) - np.log(table[0]), math.log(examples[1] + 1) - math.log(examples[0] + 1)
 
 
-def judge_urls(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS) -> DataFrame:
     """``pages`` (url, html, ...) with a struct ``judged``: host, path, rule, verdict, score.
 
     Null urls and urls without ``://`` have empty host and path, no rule and the
     prior's verdict. A tie of the two classes is allowed.
     """
     name = common.free_name(pages, "judged")
-    # bounded by the parameter: at most 50,000 words of 24 letters
-    words = title_words(pages).orderBy(F.desc("n"), "word").limit(vocabulary)
-    segment = host_tokens({r["word"]: r["n"] for r in words.collect()})
     parts = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     urls = pages.select(parts.alias("u")).select("u.host", "u.path")
+    words = common.stored(title_words(pages), "words")
+    hosts = common.stored(urls.select("host").distinct(), "hosts")
+    split = common.small(common.stored(host_tokens(hosts, words, block_hosts), "host_tokens"), BROADCAST_ROWS)
     labelled = urls.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).where("r is not null")
-    labelled = labelled.select((F.col("r.verdict") == "block").cast("int").alias("blocked"), segment("host", "path").alias("tokens"))
+    labelled = labelled.join(split, "host").select((F.col("r.verdict") == "block").cast("int").alias("blocked"), F.concat("tokens", path_buckets("path")).alias("tokens"))
     pairs = labelled.select("blocked", F.explode(F.concat(F.array(F.lit(-1)), "tokens")).alias("at"))
     # at most two rows a bucket; bucket -1 counts the urls
     counts = [tuple(r) for r in pairs.groupBy("at", "blocked").agg(F.count(F.lit(1)).alias("n")).select("at", "blocked", "n").collect()]
@@ -145,8 +192,9 @@ def judge_urls(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> D
 
     taken = pages.withColumn(name, parts)
     host, path = F.col(f"{name}.host"), F.col(f"{name}.path")
-    odds = common.free_name(taken, "odds")
-    taken = taken.withColumn(odds, scorer(weights, prior)(segment(host, path)))
+    odds, known, tokens = (common.free_name(taken, x) for x in ("odds", "known_host", "host_tokens"))
+    taken = taken.join(split.select(F.col("host").alias(known), F.col("tokens").alias(tokens)), host == F.col(known))
+    taken = taken.withColumn(odds, scorer(weights, prior)(F.concat(tokens, path_buckets(path)))).drop(known, tokens)
     rule = ruled(host, path, rules)
     verdict = F.coalesce(rule["verdict"], F.when(F.col(odds) > 0, F.lit("block")).otherwise(F.lit("allow")))
     return taken.withColumn(name, F.struct(host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), verdict.alias("verdict"), F.col(odds).alias("score"))).drop(odds)

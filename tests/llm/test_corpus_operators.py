@@ -311,6 +311,23 @@ def test_urls(spark):
     assert model.split("cheappills") == ["cheap", "pills"] and model.split("") == [] and model.split("zq") == ["z", "q"]
 
 
+def test_rare_and_long_title_words_split_hosts(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rare, long = "zzyzx", "donaudampfschifffahrtsgesellschaft"
+    titles = [" ".join(name(i) for i in range(k, 50_100, 30)) for k in range(30)] * 2 + [f"{rare} {long}"]
+    pages = spark.createDataFrame([(f"http://{rare}{name(7)}.a{long}{rare}.{i % 7}q.com/", f"<title>{t}</title>") for i, t in enumerate(titles)], "url string, html string")
+    words = common.stored(urlfilter.title_words(pages), "words")
+    counts = {r["word"]: r["n"] for r in words.collect()}
+    assert len(counts) == 50_102 and counts[long] == 1
+    hosts = common.stored(pages.select(urlfilter.host_of(F.col("url")).alias("host")).distinct(), "hosts")
+    model = urlfilter.Segmenter(counts)
+    assert model.split(f"a{long}{rare}") == ["a", long, rare]
+    for block in (2, 100):
+        rows = {r["host"]: r["tokens"] for r in urlfilter.host_tokens(hosts, words, block).collect()}
+        assert rows == {r["host"]: [urlfilter.bucket(t) for t in model.tokens(r["host"])] for r in hosts.collect()}
+    assert urlfilter.judge_urls(pages).count() == len(titles)
+
+
 def test_quality_learns_rules_and_handles_awkward_rows(spark):
     good = [(i, " ".join(f"word{(i * 7 + j * j) % 60}" for j in range(40))) for i in range(300)]
     bad = [(1000 + i, " ".join(f"word{(i + j) % 60}***" for j in range(40))) for i in range(300)]
