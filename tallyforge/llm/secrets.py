@@ -7,9 +7,10 @@ of the lengths of pieces and matches gives them. Texts without a match skip that
 Entropy scan. Candidates are runs of 20 or more token characters that hold a letter
 and a digit. A window of ``WINDOW`` characters slides over each; the count of each
 character and the sum of ``c * log2(c)`` are carried from window to window, changed
-by the character that enters and the one that leaves. A candidate is reported where
-its greatest entropy reaches the limit of its character class (hexadecimal or
-mixed), no allow-list pattern holds, and no base span overlaps it.
+by the character that enters and the one that leaves. The limit is that of the
+characters inside the window: windows within a run of hexadecimal digits have a lower
+one, whatever label stands before the run. A candidate is reported where a window
+reaches its limit, no allow-list pattern holds, and no base span overlaps it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WINDOW = 20
 #: Characters that a candidate may hold; the first 16 are the hexadecimal class.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+HEX_RUN = r"[0-9a-fA-F]{20,}"
 #: Bits a character in the window, for each class.
 LIMITS = {"hex": 3.0, "mixed": 3.6}
 #: What looks random and is no secret.
@@ -93,16 +95,19 @@ def window_entropy(word: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates whose entropy reaches their class's limit, beside the ``base`` spans."""
+    """Candidates with a window that reaches its class's limit, beside the ``base`` spans."""
+    both = lambda word: word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+
+    def hex_run(word):
+        return F.exists(F.regexp_extract_all(word, F.lit(HEX_RUN), F.lit(0)), lambda r: F.when(both(r), window_entropy(r) >= LIMITS["hex"]).otherwise(F.lit(False)))
 
     def holds(x):
         word = x["m"]
-        ok = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+        ok = both(word)
         for pattern in ALLOWED:
             ok = ok & ~word.rlike(pattern)
         free = ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        limit = F.when(word.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["mixed"]))
-        return F.when(ok & free, window_entropy(word) >= limit).otherwise(F.lit(False))
+        return F.when(ok & free, hex_run(word) | (window_entropy(word) >= LIMITS["mixed"])).otherwise(F.lit(False))
 
     return F.filter(matches(text, CANDIDATE), holds)
 

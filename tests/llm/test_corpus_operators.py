@@ -114,6 +114,20 @@ def test_secrets_match_the_patterns(spark):
     assert spark.range(1).select(secrets.window_entropy(F.lit(word))).first()[0] == pytest.approx(plain)
 
 
+def found_by_entropy(spark, words):
+    df = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(words)], "doc_id int, text string")
+    rows = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secrets.find_secrets(df).collect()}
+    return [rows[i] == [(4, 3, 4 + len(w))] for i, w in enumerate(words)]
+
+
+def test_labels_do_not_hide_hex_secrets(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda n: "".join(rng.choice(list("0123456789ABCDEF"), n))
+    labelled = [f"{label}{draw(n)}" for label, n in (("k=", 32), ("sig=", 32), ("KEY_", 32), ("id-", 40)) for _ in range(25)]
+    assert sum(found_by_entropy(spark, labelled)) >= 98
+    assert not any(found_by_entropy(spark, ["k=" + "0" * 31 + "A", "KEY_" + "AB12" * 8, "deadbeef-cafe-" + "1" * 24]))
+
+
 def test_tokens_equal_the_library(spark):
     import public_tokenizers
     import sentencepiece
