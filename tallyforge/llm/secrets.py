@@ -35,11 +35,16 @@ LIMITS = {"hex": 3.0, "mixed": 3.6}
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^sha(1|256|384|512)[-_=]",  # integrity digests
-    r"(?i)example|sample|dummy|placeholder|changeme",
     r"^(.)\1+$",
-    r"^/|/.*/.*/",  # paths
     r"^[0-9_=+/-]+$",  # numbers, dates and rules
 )
+#: Words of values that are no secret; a label before ``=`` may hold them.
+ALLOWED_WORDS = r"(?i)example|sample|dummy|placeholder|changeme"
+LABEL = r"^[A-Za-z0-9_=-]*=(?=[^=])"
+#: The shape of a path, and the changes of character class that are rare in its words
+#: (at most one in ``PATH_CHARS`` characters) and frequent in random base64.
+PATH, PATH_CHARS = r"^/|/.*/.*/", 12
+ODD = r"[0-9][A-Za-z]|[a-z][A-Z](?![a-z])|[A-Z][a-z][A-Z]"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -94,6 +99,16 @@ def window_entropy(word: Column) -> Column:
     return F.aggregate(pairs, start, move, lambda s: F.lit(math.log2(WINDOW)) - s["least"] / WINDOW)
 
 
+def harmless(word: Column) -> Column:
+    """Whether an allow-list rule holds: for the whole ``word``, or for the value behind its label."""
+    out = F.lit(False)
+    for pattern in ALLOWED:
+        out = out | word.rlike(pattern)
+    value = F.regexp_replace(word, LABEL, "")
+    path = value.rlike(PATH) & (F.size(F.regexp_extract_all(value, F.lit(ODD), F.lit(0))) * PATH_CHARS <= F.length(value))
+    return out | value.rlike(ALLOWED_WORDS) | path
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     """Candidates with a window that reaches its class's limit, beside the ``base`` spans."""
     both = lambda word: word.rlike("[0-9]") & word.rlike("[A-Za-z]")
@@ -103,9 +118,7 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
     def holds(x):
         word = x["m"]
-        ok = both(word)
-        for pattern in ALLOWED:
-            ok = ok & ~word.rlike(pattern)
+        ok = both(word) & ~harmless(word)
         free = ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
         return F.when(ok & free, hex_run(word) | (window_entropy(word) >= LIMITS["mixed"])).otherwise(F.lit(False))
 

@@ -128,6 +128,16 @@ def test_labels_do_not_hide_hex_secrets(spark):
     assert not any(found_by_entropy(spark, ["k=" + "0" * 31 + "A", "KEY_" + "AB12" * 8, "deadbeef-cafe-" + "1" * 24]))
 
 
+def test_slashes_and_labels_do_not_hide_base64_secrets(spark):
+    rng = np.random.default_rng(2)
+    draw = lambda n: "".join(rng.choice(list(secrets.ALPHABET[:64]), n))
+    keys = [k for k in (draw(86) + "==" for _ in range(400)) if k.count("/") >= 3][:30] + ["/" + draw(39) for _ in range(30)]
+    keys += [f"sample_db_key={draw(40)}" for _ in range(20)]
+    assert len(keys) == 80 and sum(found_by_entropy(spark, keys)) >= 78
+    paths = ["/usr/lib/python3/site-packages/numpy/core", "src/main/java/org/Example/UserService2", "/var/log/2024/11/26/server-01/access", "PATH=/opt/tools/bin/v2/share"]
+    assert not any(found_by_entropy(spark, [*paths, "db_key=sampleQ7rkLxP9vTzW4mNc8Yb5Jd"]))
+
+
 def test_tokens_equal_the_library(spark):
     import public_tokenizers
     import sentencepiece
