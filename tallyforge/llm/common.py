@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every word and line rule: space, tab to carriage return.
@@ -21,28 +22,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set (tests)."""
+    """The session's checkpoint folder, which driver and executors share.
+
+    Where none is set, a local master gets a temporary one (tests); a cluster is an error,
+    as a folder of one machine would lose rows there.
+    """
     found = spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(folder)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where it is counted to have at most ``rows`` rows.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside, at the end.
+
+    For callers that write their result elsewhere: what was read from these tables
+    cannot be computed any more.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _written[before:]
+
+
+def small(df: DataFrame, rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint where it is measured to have at most ``rows`` rows and ``most_bytes``.
 
-    Call it on stored narrow tables only; larger ones join by shuffle.
+    Bytes are those of strings, binaries and arrays and 8 for every other column. Call it
+    on stored narrow tables only; larger ones join by shuffle.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if df.limit(rows + 1).count() > rows:
+        return df
+    cost = F.lit(0).cast("long")
+    for c, kind in df.dtypes:
+        column = F.col(f"`{c}`")
+        wide = F.octet_length(column) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(column))) if "<" in kind else F.lit(8)
+        cost = cost + F.coalesce(wide, F.lit(0))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0] <= most_bytes else df
+
+
+def floor_of(counts: DataFrame, most: int) -> int:
+    """Smallest power of two so that at most ``most`` rows have a count ``n`` of it or more."""
+    size = F.char_length(F.bin("n"))
+    found, floor = 0, 1 << 62
+    for power, n in sorted(map(tuple, counts.groupBy(size).count().collect()), reverse=True):
+        found += n
+        if found > most:
+            break
+        floor = 1 << (power - 1)
+    return floor
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -53,6 +104,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` computed once however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def arrow_function(kind: str):
     """Like ``F.arrow_udf``, for functions of a module: the type is read when a column is made.
 

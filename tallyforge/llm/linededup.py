@@ -1,16 +1,18 @@
 """Line dedup with a sharded minimal perfect hash.
 
-Keys of lines that repeat in ``LEAST`` documents or more are hashed to 128 bits and
-dealt to shards. Each shard gets a minimal perfect hash (hash and displace): a
-displacement for every four keys on average sends its keys to distinct slots. The
-slots index three arrays: a 64-bit fingerprint, the number of documents and the
-greatest doc_id. Documents look their lines up in these arrays while they are
-scanned, so lines and texts are never joined or shuffled. Other lines meet a slot
-too, and its fingerprint tells them apart.
-
-The arrays are 21 bytes a repeated line. Up to ``BLOCK_BYTES`` of them are sent to
-the tasks at once; a larger index is taken in blocks of shards, each block's pass
-over the documents marking the lines to drop.
+The key of each line is hashed to 128 bits, and each distinct hash is dealt to a shard.
+A shard has a minimal perfect hash (hash and displace): a displacement for every four
+keys on average sends its keys to distinct slots. The slots index three arrays: a 64-bit
+fingerprint, the number of documents and the greatest doc_id. Documents look their lines
+up in these arrays, and the count that is read decides; lines and texts are never joined.
+A hash of one document alone needs no slot: where no fingerprint is found, the count is one.
+
+The arrays are 21 bytes a hash. Those of the most frequent hashes, ``HEAD_BYTES`` of them,
+go to every task, and documents probe them while they are scanned. If there are more, the
+hashes that were not found go to their shards instead, 16 bytes and two numbers each, and
+are probed there; the numbers of the lines to drop come back by row. A hash that goes to a
+shard is rarer than each of the head, so no shard is hot. Which hashes are in the head is a
+power of two of their counts and changes no result.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ from .shingles import mixed
 LEAST, LENGTH = 3, 20
 #: Keys of a shard, and keys that share a displacement, on average.
 SHARD_KEYS, SHARE = 20_000, 4
-#: Bytes of arrays that a task holds at once.
-BLOCK_BYTES = 48 << 20
+#: Lines that a shard is asked for on average, where lines go to the shards.
+SHARD_PROBES = 1_000_000
+#: Bytes of arrays that every task holds.
+HEAD_BYTES = 48 << 20
+KEY_BYTES = 21
 _STRIP = common.BLANKS.encode()
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+NO_ID = -(2**63)
 
 
 def line_key(line: bytes, length: int = LENGTH) -> bytes | None:
@@ -55,13 +61,20 @@ def halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def places(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of both halves; hashes that differ get other places under another seed."""
+    return mixed(a ^ mixed(b + np.uint64(seed)))
+
+
 def slots(place: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
     return ((mixed(place ^ (displacement.astype(np.uint64) * _GOLD)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def build(place: np.ndarray) -> np.ndarray:
-    """Displacements that send the distinct hashes ``place`` to slots 0 to n - 1."""
-    n = len(place)
+def build(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
+    """A seed, and displacements that send distinct hashes to slots 0 to n - 1."""
+    n, seed = len(a), 0
+    while len(np.unique(place := places(a, b, seed))) < n:
+        seed += 1  # equal places can never be told apart; another seed has others
     groups = max(1, -(-n // SHARE))
     group = (place % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
@@ -85,46 +98,64 @@ def build(place: np.ndarray) -> np.ndarray:
                 out[g], taken[at[k]] = first + k, True
                 break
             first, width = first + width, min(width * 2, 4096)
-    return out
+    return seed, out
+
+
+class Shard:
+    """The arrays of one shard."""
+
+    def __init__(self, seed: int, displacements: bytes, prints: bytes, counts: bytes, most: bytes):
+        self.seed, self.displacements, self.prints = seed, np.frombuffer(displacements, np.uint32), np.frombuffer(prints, np.uint64)
+        self.counts, self.most = np.frombuffer(counts, np.uint32), np.frombuffer(most, np.int64)
+
+    def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of documents (1 where the hash has no slot) and greatest doc_id of each hash."""
+        place = places(a, b, self.seed)
+        at = slots(place, self.displacements[(place % np.uint64(len(self.displacements))).astype(np.int64)], len(self.prints))
+        known = self.prints[at] == b
+        return np.where(known, self.counts[at], 1), np.where(known, self.most[at], NO_ID)
 
 
 class Index:
-    """Shards of arrays; ``probe`` gives the count and greatest doc_id of known keys."""
+    """Some shards of ``n_shards``; hashes of other shards count as unknown."""
 
-    def __init__(self, shards: dict[int, tuple], n_shards: int):
-        self.n_shards = n_shards
-        self.shards = {s: (np.frombuffer(d, np.uint32), np.frombuffer(f, np.uint64), np.frombuffer(m, np.int64)) for s, d, f, m in shards}
+    def __init__(self, shards: list[tuple], n_shards: int):
+        self.n_shards, self.shards = n_shards, {s: Shard(*arrays) for s, *arrays in shards}
 
     def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key (two halves) is known, and its greatest doc_id."""
-        known, most = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+        counts, most = np.ones(len(a), np.int64), np.full(len(a), NO_ID)
         shard = (a % np.uint64(self.n_shards)).astype(np.int64)
         for s in np.unique(shard):
             if int(s) in self.shards:
-                displacements, prints, ids = self.shards[int(s)]
                 of = np.flatnonzero(shard == s)
-                place = mixed(a[of])
-                at = slots(place, displacements[(place % np.uint64(len(displacements))).astype(np.int64)], len(prints))
-                known[of], most[of] = prints[at] == b[of], ids[at]
-        return known, most
+                counts[of], most[of] = self.shards[int(s)].probe(a[of], b[of])
+        return counts, most
 
 
-SHARD = "shard long, displacements binary, prints binary, counts binary, most binary"
+ARRAYS = "seed long, displacements binary, prints binary, counts binary, most binary"
 
 
 def build_shard(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    shard = keys[0].as_py()
     a, b = (np.array(table[c].to_pylist(), np.int64).view(np.uint64) for c in ("a", "b"))
-    place = mixed(a)
-    displacements = build(place)
+    seed, displacements = build(a, b)
+    place = places(a, b, seed)
     at = slots(place, displacements[(place % np.uint64(len(displacements))).astype(np.int64)], len(a))
     prints, counts, most = np.empty(len(a), np.uint64), np.empty(len(a), np.uint32), np.empty(len(a), np.int64)
     prints[at], counts[at], most[at] = b, np.minimum(table["n"].to_numpy(), 2**32 - 1), table["most"].to_numpy()
-    return pa.table({"shard": pa.array([shard], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("displacements", displacements), ("prints", prints), ("counts", counts), ("most", most))}})
+    arrays = {"displacements": displacements, "prints": prints, "counts": counts, "most": most}
+    return pa.table({"shard": pa.array([keys[0].as_py()], pa.int64()), "seed": pa.array([seed], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()}})
+
+
+def shard_of(n_shards: int) -> F.Column:
+    """The shard of a hash by its first half, as numpy takes it unsigned."""
+    return F.pmod(F.pmod("a", F.lit(n_shards)) + F.when(F.col("a") < 0, F.lit(2**64 % n_shards)).otherwise(0), F.lit(n_shards))
 
 
-def line_index(docs: DataFrame, least: int = LEAST, length: int = LENGTH, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The stored shards of the keys that occur in ``least`` rows or more, and their number."""
+def line_counts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Stored table (a, b, n, most) of the hashes of more than one document.
+
+    ``n`` counts distinct doc_ids; rows without one count as one document.
+    """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,37 +171,60 @@ def line_index(docs: DataFrame, least: int = LEAST, length: int = LENGTH, shard_
                     a, b = halves(keys)
                     yield pa.record_batch({"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": pa.array(ids, pa.int64())})
 
-    lines = docs.select("doc_id", "text").mapInArrow(distinct, "a long, b long, doc_id long")
-    counted = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("most"))
-    counted = common.stored(counted.where(F.col("n") >= least), "lines")
-    n_shards = max(1, math.ceil(counted.count() / shard_keys))
-    # the shard of an unsigned hash, as numpy takes it
-    shard = F.pmod(F.pmod("a", F.lit(n_shards)) + F.when(F.col("a") < 0, F.lit(2**64 % n_shards)).otherwise(0), F.lit(n_shards))
-    return common.stored(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(build_shard, SHARD), "shards"), n_shards
+    lines = docs.select("doc_id", "text").mapInArrow(distinct, "a long, b long, doc_id long").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    counted = lines.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("most"))
+    return common.stored(counted.where("n > 1"), "lines")
 
 
-def probed(docs: DataFrame, text: str, doc_id: str, index: Index, length: int = LENGTH):
-    """Column: the numbers of the lines of each text that go."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def shards_of(counted: DataFrame, n_shards: int) -> DataFrame:
+    return common.stored(counted.withColumn("shard", shard_of(n_shards)).groupBy("shard").applyInArrow(build_shard, f"shard long, {ARRAYS}"), "shards")
 
-    @F.arrow_udf("array<int>")
-    def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held = shared.value
+
+MARKED = "struct<gone:array<int>,rest:array<struct<line:int,a:bigint,b:bigint>>>"
+
+
+def marker(index, least: int, length: int, ask: bool):
+    """Arrow function of (text, doc_id): lines that the head drops, and those to ask the shards for."""
+
+    @F.arrow_udf(MARKED)
+    def mark(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held = index.value
         for values, ids in batches:
-            out, at = [], 0
+            gone, rest, at = [], [], 0
             for part in common.pieces(values):
                 for i, value in zip(ids.slice(at, len(part)).to_pylist(), common.texts(part)):
                     keys = text_keys(value, length)
-                    where = [k for k, x in enumerate(keys) if x]
-                    gone = []
-                    if where:
-                        known, most = held.probe(*halves([keys[k] for k in where]))
-                        gone = [where[k] for k in np.flatnonzero(known & (most != (-(2**63) if i is None else i)))]
-                    out.append(gone)
+                    where = np.array([k for k, x in enumerate(keys) if x], np.int32)
+                    out, asked = [], []
+                    if len(where):
+                        a, b = halves([keys[k] for k in where])
+                        counts, most = held.probe(a, b)
+                        out = where[(counts >= least) & (most != (NO_ID if i is None else i))].tolist()
+                        if ask:
+                            other = counts < 2
+                            asked = [{"line": x, "a": y, "b": z} for x, y, z in zip(where[other].tolist(), a[other].view(np.int64).tolist(), b[other].view(np.int64).tolist())]
+                    gone.append(out)
+                    rest.append(asked)
                 at += len(part)
-            yield pa.array(out, pa.list_(pa.int32()))
+            kind = pa.list_(pa.struct([("line", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.StructArray.from_arrays([pa.array(gone, pa.list_(pa.int32())), pa.array(rest, kind)], ["gone", "rest"])
+
+    return mark
 
-    return drop(F.coalesce(text, F.lit("")), F.col(doc_id))
+
+def prober(least: int):
+    """Probes one shard's arrays with the lines (row, line, doc_id, a, b) that are sent to it."""
+
+    def run(keys: tuple[pa.Scalar, ...], lines: pa.Table, arrays: pa.Table) -> pa.Table:
+        drop = np.zeros(len(lines), bool)
+        if len(lines) and len(arrays):
+            shard = Shard(*(arrays[c][0].as_py() for c in ("seed", "displacements", "prints", "counts", "most")))
+            a, b = (lines[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+            counts, most = shard.probe(a, b)
+            drop = (counts >= least) & (most != lines["doc_id"].to_numpy())
+        return lines.select(["row", "line"]).filter(pa.array(drop))
+
+    return run
 
 
 @common.arrow_function("struct<n_lines:bigint,n_dropped:bigint,text:string,sha256:string>")
@@ -190,34 +244,48 @@ def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_lines", "n_dropped", "text", "sha256"])
 
 
-def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length: int = LENGTH, head_bytes: int = HEAD_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with a struct: n_lines, n_dropped, text, sha256.
 
-    Null and empty texts are one empty line. Each row is a document; rows of one
-    doc_id that is a key's greatest all keep its lines; a null id is less than any.
+    Null and empty texts are one empty line. Rows of one doc_id are one document when
+    documents are counted and separate rows of the result; all those of the greatest
+    doc_id that holds a key keep its lines, so ties and repeated rows lose nothing. A null
+    id is less than any. Very long texts are split whole. An empty table gives an empty
+    one. Where ``docs`` has a column ``name``, the new one gets underscores. ``least`` is 2
+    or more.
     """
-    name, gone = common.free_name(docs, name), common.free_name(docs, "gone")
-    shards, n_shards = line_index(docs, least, length)
-    held = ["shard", "displacements", "prints", "most"]
-    cost = sum((F.octet_length(c) for c in held[1:]), F.lit(0))
-    size = shards.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    passes = []
-    for b in range(blocks):
-        block = shards.where(F.col("shard") % blocks == b).select(*held)
-        passes.append(probed(docs, "text", "doc_id", Index([tuple(r) for r in block.toLocalIterator()], n_shards), length))
-    if blocks == 1:
-        marked = docs.withColumn(gone, passes[0])
-    else:
-        # one block's arrays at a time: each pass is a run of its own over the documents
-        keyed = docs.withColumn(gone, F.array().cast("array<int>"))
-        for drop in passes:
-            keyed = common.stored(keyed.withColumn(gone, F.concat(gone, drop)), "marked")
-        marked = keyed.withColumn(gone, F.sort_array(gone))
-    return marked.withColumn(name, without(F.coalesce("text", F.lit("")), F.col(gone))).drop(gone)
+    name, spark = common.free_name(docs, name), docs.sparkSession
+    counted = line_counts(docs, length)
+    floor = common.floor_of(counted, max(0, head_bytes // KEY_BYTES))
+    often, rarer = counted.where(F.col("n") >= floor), counted.where(F.col("n") < floor)
+    n_often, n_rarer = (counted.agg(F.count(F.when(c, 1))).first()[0] for c in (F.col("n") >= floor, F.col("n") < floor))
+    n_shards = max(1, math.ceil(n_often / shard_keys))
+    head = spark.sparkContext.broadcast(Index([tuple(r) for r in shards_of(often, n_shards).toLocalIterator()], n_shards))
+    mark = marker(head, least, length, n_rarer > 0)
+    text, marked, doc = F.coalesce("text", F.lit("")), common.free_name(docs, "marked"), "doc"
+    if not n_rarer:
+        found = docs.withColumn(marked, mark(text, F.col("doc_id")))
+        return found.withColumn(name, without(text, F.col(f"{marked}.gone"))).drop(marked)
+    # what the head does not hold goes to the shards of the rest
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(doc), mark(text, F.col("doc_id")).alias("m"))
+    rows = common.stored(rows, "marked")
+    head.unpersist()
+    asked = rows.select("row", F.coalesce("doc.doc_id", F.lit(NO_ID)).alias("doc_id"), F.explode("m.rest").alias("x")).select("row", "doc_id", "x.line", "x.a", "x.b")
+    n_asked = rows.agg(F.coalesce(F.sum(F.size("m.rest")), F.lit(0))).first()[0]
+    n_shards = max(1, math.ceil(n_rarer / shard_keys), math.ceil(n_asked / SHARD_PROBES))
+    arrays = shards_of(rarer, n_shards)
+    drops = asked.withColumn("shard", shard_of(n_shards)).groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(prober(least), "row long, line int")
+    drops = common.stored(drops, "drops").groupBy("row").agg(F.collect_list("line").alias("lines"))
+    joined = rows.select("row", doc, "m.gone").join(drops, "row", "left").withColumn("gone", F.concat("gone", F.coalesce("lines", F.array().cast("array<int>"))))
+    made = without(F.coalesce("doc.text", F.lit("")), F.col("gone"))
+    return joined.select(doc, made.alias("made")).select("doc.*", F.col("made").alias(name))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document before and after; null or empty texts are one empty line.
+
+    See ``dedup_lines`` for ties, repeated rows, very long texts and empty tables.
+    """
     found = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.col("lines.sha256").alias("kept_sha256"))
 

@@ -101,29 +101,18 @@ def vocabulary(docs: DataFrame, text: str, model: str) -> DataFrame:
     return common.stored(words.select(key_column(F.col("word")).alias("key"), "n", counted("word").alias("pieces")), "pretokens")
 
 
-def floor_of(words: DataFrame, head: int) -> int:
-    """Smallest power of two so that at most ``head`` entries occur that often."""
-    size = F.char_length(F.bin("n"))
-    found, floor = 0, 1 << 62
-    for power, n in sorted(map(tuple, words.groupBy(size).count().collect()), reverse=True):
-        found += n
-        if found > head:
-            break
-        floor = 1 << (power - 1)
-    return floor
-
-
 def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = "piece_bpe_32k.model", head: int = HEAD) -> DataFrame:
     """The columns ``keep`` (all but ``text``; one at least), ``n_bytes`` and ``n_tokens`` of each row.
 
     ``model`` is the name of a vocabulary file, found on the machine that runs the task.
     ``docs`` is read twice and must give the same texts. Null counts as an empty text: no
-    bytes, no tokens. Repeated rows stay apart; an empty table gives an empty one. Where
+    bytes, no tokens. Repeated rows and ties stay apart, very long texts are counted whole; an empty
+    table gives an empty one. Where
     ``keep`` has a column of these names, underscores are added to the new ones.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     words = vocabulary(docs, text, model)
-    floor = floor_of(words, head)
+    floor = common.floor_of(words, head)
     often = words.where(F.col("n") >= floor).select("key", "pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(often["key"].to_pylist(), often["pieces"].to_pylist())))
 
@@ -159,5 +148,6 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document; null and empty texts have none, see ``count_tokens``."""
     docs = count_tokens(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
     return docs.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
