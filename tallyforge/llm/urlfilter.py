@@ -2,13 +2,17 @@
 
 Rules decide the urls that they fit, the longest rule first, and these urls are the
 labelled examples of the model. Host labels are segmented into words by a unigram
-Viterbi search over word frequencies of all page titles; a multinomial naive Bayes
+Viterbi search over the word frequencies of all page texts; a multinomial naive Bayes
 model with add-one smoothing scores the words of the host and the tokens of the path.
-Tokens are hashed into ``BUCKETS`` counters, so the model's size is fixed.
 
 Distinct hosts are segmented in blocks. Each block gets, by a shuffle join, the words
 that occur in its hosts, whatever their frequency; no task holds all words. A word of
 more than ``LONGEST`` letters is found by its first ``LONGEST``.
+
+Every token has its own counts and weight. A url's score is that of its host plus that of
+its path, so tokens are looked up for the distinct hosts and paths only: the weights of
+the most frequent tokens, ``HEAD_TOKENS`` at most, are sent to the tasks, and the others
+join by shuffle, where each is rare. Which tokens are sent changes no result.
 """
 
 from __future__ import annotations
@@ -16,11 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,11 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 LONGEST = 24
 #: Hosts of a block.
 BLOCK_HOSTS = 1024
-#: Host tables of at most this many rows are broadcast.
-BROADCAST_ROWS = 20_000
-BUCKETS = 1 << 16
+#: Host and path tables of at most this many rows, and as many weights, are broadcast if they are small.
+BROADCAST_ROWS, HEAD_TOKENS = 20_000, 65_536
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What of a page is not text: scripts, styles, comments, tags, entities.
+MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
 
 
 def host_of(url: Column) -> Column:
@@ -57,10 +59,10 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def title_words(pages: DataFrame) -> DataFrame:
-    """(word, n) over the titles of all pages, whole runs of ASCII letters, lower case."""
-    title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]+"), F.lit(0))).alias("word"))
+def page_words(pages: DataFrame) -> DataFrame:
+    """(word, n) over the whole texts of all pages: runs of ASCII letters, lower case."""
+    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), MARKUP, " "))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,13 +103,10 @@ class Segmenter:
         return out
 
 
-def path_tokens(path: str) -> list[str]:
+def path_tokens(path: Column) -> Column:
     """Tokens of the path, marked p; digits become 0."""
-    return ["p:" + re.sub(r"[0-9]+", "0", t) for t in re.findall(r"[^/._\-]+", path.lower())]
-
-
-def bucket(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) % BUCKETS
+    runs = F.split(F.regexp_replace(F.lower(path), "[0-9]+", "0"), r"[/._\-]+")
+    return F.transform(F.filter(runs, lambda t: t != ""), lambda t: F.concat(F.lit("p:"), t))
 
 
 def tokens_of_blocks(total: int):
@@ -125,8 +124,8 @@ def tokens_of_blocks(total: int):
                     continue
                 model = model or Segmenter(words, total)
                 hosts.append(host)
-                found.append([bucket(t) for t in model.tokens(host)])
-            yield pa.record_batch({"host": pa.array(hosts, pa.string()), "tokens": pa.array(found, pa.list_(pa.int32()))})
+                found.append(model.tokens(host))
+            yield pa.record_batch({"host": pa.array(hosts, pa.string()), "tokens": pa.array(found, pa.list_(pa.string()))})
 
     return run
 
@@ -142,64 +141,72 @@ def host_tokens(hosts: DataFrame, words: DataFrame, block_hosts: int = BLOCK_HOS
     known = parts.join(words.withColumn("part", F.left("word", F.lit(LONGEST))), "part").select("block", F.lit(None).cast("string").alias("host"), "word", "n")
     rows = known.union(placed.select("block", "host", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
     rows = rows.repartition(min(blocks, max(1, int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block").sortWithinPartitions("block", F.asc_nulls_first("host"))
-    return rows.mapInArrow(tokens_of_blocks(total), "host string, tokens array<int>")
-
+    return rows.mapInArrow(tokens_of_blocks(total), "host string, tokens array<string>")
 
-@common.arrow_function("array<int>")
-def path_buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for paths in batches:
-        yield pa.array([[bucket(t) for t in path_tokens(p)] for p in paths.to_pylist()], pa.list_(pa.int32()))
 
+def naive_bayes(tokens: DataFrame, urls: tuple[int, int]) -> tuple[DataFrame, float]:
+    """``tokens`` (token, blocked, allowed, ...) with the log odds ``w`` of blocking, and the prior's.
 
-def scorer(weights: np.ndarray, prior: float):
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([prior + float(weights[t].sum()) for t in batch.to_pylist()], pa.float64())
-
-    return score
+    Add-one smoothing over all tokens of the table; ``urls`` are the allowed and blocked examples.
+    """
+    n, blocked, allowed = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0))).first()
+    odds = F.log((F.col("blocked") + 1) / F.lit(float(blocked + n))) - F.log((F.col("allowed") + 1) / F.lit(float(allowed + n)))
+    return tokens.withColumn("w", odds), math.log(urls[1] + 1) - math.log(urls[0] + 1)
 
 
-def naive_bayes(counts: list[tuple[int, int, int]], examples: tuple[int, int]) -> tuple[np.ndarray, float]:
-    """Log odds of blocking for each bucket, and the prior log odds, both with add-one smoothing."""
-    table = np.ones((2, BUCKETS))
-    for at, blocked, n in counts:
-        table[blocked, at] += n
-    table /= table.sum(axis=1, keepdims=True)
-    return np.log(table[1]) - np.log(table[0]), math.log(examples[1] + 1) - math.log(examples[0] + 1)
+def scores(parts: DataFrame, weights: DataFrame, head: int = HEAD_TOKENS) -> DataFrame:
+    """(part, score): the sum of the weights (token, n, w) of each part's tokens."""
+    floor = common.floor_of(weights, head)
+    often = common.small(common.stored(weights.where(F.col("n") >= floor).select("token", "w"), "head"), head)
+    found = parts.select("part", F.explode("tokens").alias("token")).join(often, "token", "left")
+    near = found.where("w is not null").select("part", "w")
+    far = found.where("w is null").select("part", "token").join(weights.where(F.col("n") < floor).select("token", "w"), "token").select("part", "w")
+    return near.union(far).groupBy("part").agg(F.sum("w").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS, head: int = HEAD_TOKENS) -> DataFrame:
     """``pages`` (url, html, ...) with a struct ``judged``: host, path, rule, verdict, score.
 
     Null urls and urls without ``://`` have empty host and path, no rule and the
-    prior's verdict. A tie of the two classes is allowed.
+    prior's verdict; null and empty pages have no words. A tie of the two classes is
+    allowed. Repeated rows count and are judged each; very long urls and pages are read
+    whole. An empty table gives an empty one. Where ``pages`` has a column ``judged``, the
+    new one gets underscores.
     """
     name = common.free_name(pages, "judged")
-    parts = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-
-    urls = pages.select(parts.alias("u")).select("u.host", "u.path")
-    words = common.stored(title_words(pages), "words")
-    hosts = common.stored(urls.select("host").distinct(), "hosts")
-    split = common.small(common.stored(host_tokens(hosts, words, block_hosts), "host_tokens"), BROADCAST_ROWS)
-    labelled = urls.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).where("r is not null")
-    labelled = labelled.join(split, "host").select((F.col("r.verdict") == "block").cast("int").alias("blocked"), F.concat("tokens", path_buckets("path")).alias("tokens"))
-    pairs = labelled.select("blocked", F.explode(F.concat(F.array(F.lit(-1)), "tokens")).alias("at"))
-    # at most two rows a bucket; bucket -1 counts the urls
-    counts = [tuple(r) for r in pairs.groupBy("at", "blocked").agg(F.count(F.lit(1)).alias("n")).select("at", "blocked", "n").collect()]
-    examples = {b: n for at, b, n in counts if at == -1}
-    weights, prior = naive_bayes([c for c in counts if c[0] >= 0], (examples.get(0, 0), examples.get(1, 0)))
-
-    taken = pages.withColumn(name, parts)
-    host, path = F.col(f"{name}.host"), F.col(f"{name}.path")
-    odds, known, tokens = (common.free_name(taken, x) for x in ("odds", "known_host", "host_tokens"))
-    taken = taken.join(split.select(F.col("host").alias(known), F.col("tokens").alias(tokens)), host == F.col(known))
-    taken = taken.withColumn(odds, scorer(weights, prior)(F.concat(tokens, path_buckets(path)))).drop(known, tokens)
-    rule = ruled(host, path, rules)
-    verdict = F.coalesce(rule["verdict"], F.when(F.col(odds) > 0, F.lit("block")).otherwise(F.lit("allow")))
-    return taken.withColumn(name, F.struct(host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), verdict.alias("verdict"), F.col(odds).alias("score"))).drop(odds)
+    both = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    host_part, path_part = (F.concat(F.lit(mark), column) for mark, column in (("h:", F.col("u.host")), ("p:", F.col("u.path"))))
+
+    # hosts and paths are counted before anything is joined: a frequent one is one row
+    verdict = ruled(F.col("u.host"), F.col("u.path"), rules)["verdict"]
+    urls = pages.select(both.alias("u")).select(F.explode(F.array(host_part, path_part)).alias("part"), verdict.alias("verdict"))
+    parts = urls.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"))
+    parts = common.stored(parts, "parts")
+    examples = parts.where(F.col("part").startswith("h:")).agg(F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    hosts = common.stored(parts.where(F.col("part").startswith("h:")).select(F.substring("part", 3, 2**31 - 1).alias("host")), "hosts")
+    split = host_tokens(hosts, common.stored(page_words(pages), "words"), block_hosts)
+    split = split.select(F.concat(F.lit("h:"), "host").alias("part"), "tokens")
+    paths = parts.where(F.col("part").startswith("p:")).select("part", path_tokens(F.substring("part", 3, 2**31 - 1)).alias("tokens"))
+    named = common.stored(split.union(paths), "tokens")
+
+    counted = named.join(parts, "part").select(F.explode("tokens").alias("token"), "n", "blocked", "allowed")
+    counted = counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
+    weights, prior = naive_bayes(common.stored(counted, "counts"), tuple(examples))
+    scored = common.stored(scores(named, weights, head), "scores")
+    host_scores = common.stored(scored.where(F.col("part").startswith("h:")), "host-scores")
+    path_scores = common.stored(scored.where(F.col("part").startswith("p:")), "path-scores")
+
+    page = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), both.alias("u"))
+    for column, table, part in (("host_score", host_scores, host_part), ("path_score", path_scores, path_part)):
+        page = page.withColumn("part", part).join(common.small(table.withColumnRenamed("score", column), BROADCAST_ROWS), "part", "left")
+    # rounded, as the order of a sum is not fixed
+    odds = F.round(F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)), 9)
+    rule = ruled(F.col("u.host"), F.col("u.path"), rules)
+    final = F.coalesce(rule["verdict"], F.when(odds > 0, F.lit("block")).otherwise(F.lit("allow")))
+    return page.select("page.*", F.struct("u.host", "u.path", rule["rule"].alias("rule"), final.alias("verdict"), odds.alias("score")).alias(name))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page's url; see ``judge_urls`` for awkward rows."""
     judged = judge_urls(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
