@@ -45,6 +45,9 @@ REGISTERS = BANDS * ROWS
 LEAST = 57
 #: Texts, and bytes of texts, on either side of a block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+#: Members that meet one copy of a leader; leaders of more are copied. Tables of at most
+#: ``BROADCAST_ROWS`` such leaders are broadcast if they are small.
+GROUP_ROWS, BROADCAST_ROWS = 512, 100_000
 SKETCH = "struct<bands:array<bigint>,registers:binary>"
 
 
@@ -203,12 +206,31 @@ def text_node(text: F.Column) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def meet(rows: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``rows`` (leader, node, ...) joined with ``leaders`` (leader, ...), a large group in parts.
+
+    The rows of a leader with more than ``GROUP_ROWS`` of ``members`` are dealt by hash to
+    parts of about that number, each with a copy of the leader, so no task gets a group whole.
+    """
+    large = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+    large = common.stored(large.select("leader", F.ceil(F.col("n") / GROUP_ROWS).alias("parts")), "large")
+    parts = F.coalesce("parts", F.lit(1))
+    few = common.small(large, BROADCAST_ROWS)
+    rows = rows.join(few, "leader", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).drop("parts")
+    leaders = leaders.join(members.select("leader").distinct(), "leader", "left_semi").join(few, "leader", "left")
+    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return rows.join(leaders, ["leader", "part"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, leader) for each row of ``docs`` (doc_id, text).
 
     Equal texts have one class, empty and null ones too; texts without words are
     linked to nothing else. ``class_id`` is the least doc_id of the class, and
-    ``leader`` marks the rows with that doc_id and its first text. Rows may repeat.
+    ``leader`` marks the rows with that doc_id and its first text: ties of the least id
+    have the text of least key. Rows may repeat, and ids may be null, which is less than
+    any. Very long texts are read whole. An empty table gives an empty one. Other columns
+    are not looked at.
     """
     spark, text = docs.sparkSession, F.col("text")
     rows = common.stored(docs.select("doc_id", text_node(text).alias("node"), sketch(F.coalesce(text, F.lit(""))).alias("k"), (F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(common.BLANKS))) > 0).alias("full")).select("doc_id", "node", "full", "k.bands", "k.registers"), "sketch")
@@ -231,9 +253,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = common.stored(held.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i"), "texts")
 
     registers = filled.select("node", "registers")
-    stars = members.where("node <> leader").join(registers, "node").join(registers.select(F.col("node").alias("leader"), F.col("registers").alias("other")), "leader")
+    stars = meet(members.where("node <> leader").join(registers, "node"), members, registers.select(F.col("node").alias("leader"), F.col("registers").alias("other")))
     stars = common.stored(stars.where(agreement("registers", "other") >= LEAST).select("leader", "node"), "stars")
-    pairs = stars.join(held, "node").join(held.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
+    pairs = meet(stars.join(held, "node"), stars, held.select(F.col("node").alias("leader"), F.col("text").alias("other")))
     links = common.stored(pairs.where(jaccard("text", "other") >= THRESHOLD).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
     roots = components(links)
 
@@ -263,6 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document; null and empty texts are one class, see ``near_duplicates``."""
     found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "leader")
 
