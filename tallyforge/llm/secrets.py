@@ -9,8 +9,9 @@ and a digit. A window of ``WINDOW`` characters slides over each; the count of ea
 character and the sum of ``c * log2(c)`` are carried from window to window, changed
 by the character that enters and the one that leaves. The limit is that of the
 characters inside the window: windows within a run of hexadecimal digits have a lower
-one, whatever label stands before the run. A candidate is reported where a window
-reaches its limit, no allow-list pattern holds, and no base span overlaps it.
+one, whatever label stands before the run. Base spans are blanked first, so what is left
+of a longer token around them is a candidate too. A candidate is reported where a window
+reaches its limit and no allow-list pattern holds.
 """
 
 from __future__ import annotations
@@ -47,19 +48,48 @@ PATH, PATH_CHARS = r"^/|/.*/.*/", 12
 ODD = r"[0-9][A-Za-z]|[a-z][A-Z](?![a-z])|[A-Z][a-z][A-Z]"
 
 
+#: Matches that are summed in one go.
+RUN = 256
+SPANS = "array<struct<s:int,e:int,m:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s,e,m>>: code point start, end (exclusive) and text of each match."""
+    """array<struct<s,e,m>>: code point start, end (exclusive) and text of each match.
+
+    Running sums are made in runs of ``RUN`` matches, then over the runs, as every step of
+    an aggregate copies what it has so far.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(state, pair):
         s = state["at"] + F.length(pair["p"])
         e = s + F.length(pair["m"])
         return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m")))).alias("out"))
 
+    def runs(pairs):
+        return F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(RUN)), lambda i: F.aggregate(F.slice(pairs, i + 1, RUN), start, step))
+
+    def joined(parts):
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda ends, part: F.concat(ends, F.array(F.element_at(ends, -1) + part["at"])))
+        shifted = lambda part, at: F.transform(part["out"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["m"].alias("m")))
+        return common.bound(ends, lambda ends: F.flatten(F.zip_with(parts, F.slice(ends, 1, F.size(parts)), shifted)))
+
     pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda x: x["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), common.bound(common.bound(pairs, runs), joined)).otherwise(F.array().cast(SPANS))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` with blanks for the characters of ``spans`` (s, e), which are in order of ``s``."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state, x):
+        begin = F.greatest(state["at"], x["s"])
+        kept = F.substring(text, state["at"] + 1, begin - state["at"])
+        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], F.array(F.concat(kept, F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - begin))))).alias("out"))
+
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -110,7 +140,7 @@ def harmless(word: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates with a window that reaches its class's limit, beside the ``base`` spans."""
+    """Candidates with a window that reaches its class's limit, outside the ``base`` spans."""
     both = lambda word: word.rlike("[0-9]") & word.rlike("[A-Za-z]")
 
     def hex_run(word):
@@ -118,22 +148,25 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
     def holds(x):
         word = x["m"]
-        ok = both(word) & ~harmless(word)
-        free = ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return F.when(ok & free, hex_run(word) | (window_entropy(word) >= LIMITS["mixed"])).otherwise(F.lit(False))
+        return F.when(both(word) & ~harmless(word), hex_run(word) | (window_entropy(word) >= LIMITS["mixed"])).otherwise(F.lit(False))
 
-    return F.filter(matches(text, CANDIDATE), holds)
+    left = F.when(text.rlike(CANDIDATE), without_spans(text, base)).otherwise(F.lit(""))
+    return F.filter(common.bound(left, lambda t: matches(t, CANDIDATE)), holds)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
     """``docs`` with array column ``name``: the spans (s, k, e) of each text.
 
-    Any other columns pass through; empty and null texts have no spans.
+    Any other columns pass through; empty and null texts have no spans. Spans of one start
+    tie and are in the order of ``KINDS``. Repeated rows are searched each, very long texts
+    whole, and an empty table gives an empty one. Where ``docs`` has a column ``name``, the
+    new one gets underscores.
     """
+    name = common.free_name(docs, name)
     whole = F.coalesce(F.col(text), F.lit(""))
     base, spare = common.free_name(docs, "base_spans"), common.free_name(docs, "extra_spans")
     tag = lambda spans, k: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
-    found = docs.withColumn(base, F.concat(*[tag(spans, k) for k, spans in enumerate(base_spans(whole).values())]))
+    found = docs.withColumn(base, F.sort_array(F.concat(*[tag(spans, k) for k, spans in enumerate(base_spans(whole).values())])))
     found = found.withColumn(spare, tag(entropy_spans(whole, F.col(base)), len(KINDS) - 1))
     return found.withColumn(name, F.sort_array(F.concat(base, spare))).drop(base, spare)
 
@@ -144,6 +177,7 @@ def written(spans: Column) -> Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each whole text of ``documents``; null and empty ones have none, see ``find_secrets``."""
     found = find_secrets(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda k: F.size(F.filter("secrets", lambda x: x["k"] == k)).cast("long")
     return found.select(
