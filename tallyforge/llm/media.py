@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 FRAME, SIDE, FPS = 576, 24, 25
+#: Bytes of chunks, padding and index that 32-bit sizes can name; texts up to 1 GB stay below.
+MOST_BYTES = (1 << 32) - 4096
 #: Frames coded or decoded at once.
 TOGETHER = 4096
 BINS, NEAR, FACTOR, FLOOR = 16, 4, 2.0, 0.2
@@ -91,6 +93,8 @@ def write_avi(frames: list[bytes], side: int = 8 * SIDE, fps: int = FPS) -> byte
     stream = b"vidsMJPG" + struct.pack("<IHHIIIIIIiI4H", 0, 0, 0, 0, 1, fps, 0, len(frames), most, -1, 0, 0, 0, side, side)
     picture = struct.pack("<IiiHH4sIiiII", 40, side, side, 1, 24, b"MJPG", side * side * 3, 0, 0, 0, 0)
     header = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", picture)))
+    if sum(len(f) + 25 for f in frames) > MOST_BYTES:
+        raise ValueError("an AVI file holds 4 GB at most")
     body, index, at = [b"movi"], [], 4
     for frame in frames:
         body.append(chunk(b"00dc", frame))
@@ -342,7 +346,10 @@ def store_text(keep: bool):
 def with_media(docs: DataFrame, name: str = "media", keep: bool = True) -> DataFrame:
     """``docs`` with a struct of the stored file of each whole text and what reading it gives.
 
-    Null counts as empty; an empty text is one frame of padding.
+    Null counts as empty; an empty text is one frame of padding. Equal texts, repeated or
+    tied, have equal files. Very long texts are stored whole; beyond 1 GB, where a file
+    would pass the 4 GB that its sizes can name, that is an error. An empty table gives an
+    empty one. Where ``docs`` has a column ``name``, the new one gets underscores.
     """
     return docs.withColumn(common.free_name(docs, name), store_text(keep)(F.coalesce("text", F.lit(""))))
 
@@ -354,6 +361,7 @@ def clip_rows(docs: DataFrame) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, digests and clips of each text's file, read back; see ``with_media`` for awkward rows."""
     found = with_media(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
     timed = F.transform("media.clips", lambda c: F.format_string("%.2f-%.2f", c["first"] / F.col("media.fps"), c["end"] / F.col("media.fps")))
     return found.select("doc_id", *[f"media.{c}" for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")], F.array_join(timed, ";").alias("feature"))

@@ -170,23 +170,31 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """Fit on at most ``sample`` labelled documents outside the held-out fold.
 
-    Labels of one doc_id that differ count as 1; null ids and labels are left out.
+    Labels of one doc_id that differ count as 1; null ids and labels are left out. Where
+    rows of a doc_id repeat, the least statistics of them are learned from, once.
     """
     marked = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = marked.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").limit(2 * sample)  # bounded by the sample unless ids repeat
-    rows = found.select("quality", text_statistics("text").alias("s")).select("quality", "s.*").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # bounded by the sample
+    found = found.select("doc_id", "quality", text_statistics(F.coalesce("text", F.lit(""))).alias("s")).groupBy("doc_id", "quality").agg(F.min("s").alias("s"))
+    rows = found.select("quality", "s.*").collect()
     data = np.array(sorted(tuple(map(float, r)) for r in rows)).reshape(-1, len(STATS) + 1)
     return fit(data[:, 1:], (data[:, 0] > 0).astype(float))
 
 
 def with_score(docs: DataFrame, model: tuple, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of good quality of each whole text; null as empty."""
+    """``docs`` with the probability of good quality of each whole text.
+
+    Null and empty texts have the statistics of no words, all zero. Equal texts have equal
+    scores, repeated rows are scored each, very long texts whole, and an empty table gives
+    an empty one. Where ``docs`` has a column ``name``, the new one gets underscores.
+    """
     stats, name = common.free_name(docs, "stats"), common.free_name(docs, name)
     return docs.withColumn(stats, text_statistics(F.coalesce("text", F.lit("")))).withColumn(name, compiled(model, stats)).drop(stats)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each document; null and empty texts have one too, see ``with_score`` and ``learn``."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_score(docs, learn(docs, common.table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
