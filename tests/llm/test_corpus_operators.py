@@ -89,8 +89,15 @@ def test_mixing_meets_targets(spark, block):
 
 
 def test_mixing_tree_has_exact_shares_and_awkward_rows(spark):
-    units = spark.range(160).select(F.col("id").cast("string").alias("key"), F.lit(0).alias("block"), F.lit(0).alias("copy"))
-    assert Counter(r["shard"] for r in mixing.split_tree(units, 16).collect()) == {k: 10 for k in range(16)}
+    for shards in (16, 7, 1):
+        leaves = sorted(mixing.split_tree(spark.createDataFrame([([112, 0, 900, 108],)], "counts array<bigint>"), shards).collect())
+        assert [r["shard"] for r in leaves] == list(range(shards))
+        assert all(abs(sum(r["counts"]) - 1120 / shards) <= 2 for r in leaves)
+        at = [0, 0, 0, 0]
+        for r in leaves:  # disjoint ranges, one after the other, up to the quotas
+            assert r["starts"] == at and min(r["counts"]) >= 0
+            at = [a + n for a, n in zip(at, r["counts"])]
+        assert at == [112, 0, 900, 108]
     got = mixing.stage(spark, awkward(spark), "")
     assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").replace(" double", "").split(", ")
     assert got.count() > 0 and mixing.stage(spark, empty(spark), "").count() == 0
@@ -114,6 +121,30 @@ def test_secrets_match_the_patterns(spark):
     assert spark.range(1).select(secrets.window_entropy(F.lit(word))).first()[0] == pytest.approx(plain)
 
 
+def test_hypergeometric_draws_have_the_right_law(spark):
+    from math import comb
+
+    for total, marked, drawn in ((50, 20, 10), (30, 29, 15), (9, 4, 9), (7, 0, 3), (40, 40, 13)):
+        column = mixing.hypergeometric(*[F.lit(x).cast("long") for x in (total, marked, drawn)], mixing.uniform(F.col("id")))
+        found = Counter(r["k"] for r in spark.range(20_000).select(column.alias("k")).collect())
+        for k in range(drawn + 1):
+            p = comb(marked, k) * comb(total - marked, drawn - k) / comb(total, drawn) if k <= marked else 0
+            assert abs(found[k] - 20_000 * p) <= 5 * (20_000 * p * (1 - p)) ** 0.5 + 1e-6, (total, marked, drawn, k)
+    big = mixing.hypergeometric(F.lit(10**9), F.lit(4 * 10**8), F.lit(10**7), mixing.uniform(F.col("id")))
+    drawn = [r["k"] for r in spark.range(40).select(big.alias("k")).collect()]
+    assert all(abs(k - 4_000_000) < 6 * 1550 for k in drawn) and len(set(drawn)) > 30
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 1 + i % 9, f"s{i % 3}") for i in range(600)], "doc_id long, size long, source string")
+    run = lambda: mixing.mix(df, F.col("source"), F.col("size"), [F.col("doc_id")], block_words=50).select("mix.copies", "mix.shards").collect()
+    whole = sum(r["copies"] for r in run())
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: tree(*a).where("shard < 8"))
+    rows = run()
+    assert 0.4 * whole < sum(r["copies"] for r in rows) < 0.6 * whole and {s for r in rows for s in r["shards"]} == set(range(8))
+
+
 def found_by_entropy(spark, words):
     df = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(words)], "doc_id int, text string")
     rows = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secrets.find_secrets(df).collect()}
@@ -128,6 +159,17 @@ def test_labels_do_not_hide_hex_secrets(spark):
     assert not any(found_by_entropy(spark, ["k=" + "0" * 31 + "A", "KEY_" + "AB12" * 8, "deadbeef-cafe-" + "1" * 24]))
 
 
+def test_what_is_left_around_base_spans_is_scanned(spark):
+    text = "é sess_0123456789abcdef-Q7rkLxP9vTzW4mNc8Yb5Jd token=abcdefghijkl0123 end"
+    rows = secrets.find_secrets(spark.createDataFrame([(text,)], "text string")).first()["secrets"]
+    found = {(r["k"], text[r["s"] : r["e"]]) for r in rows}
+    assert found == {(2, "0123456789abcdef"), (3, "-Q7rkLxP9vTzW4mNc8Yb5Jd"), (0, "token=abcdefghijkl0123")}
+    many = "x " + "AKIA" + "A" * 14 + " é "
+    rows = secrets.find_secrets(spark.createDataFrame([(many * 1000,)], "text string")).first()["secrets"]
+    assert [(r["s"], r["e"]) for r in rows] == [(2 + len(many) * k, 20 + len(many) * k) for k in range(1000)]
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
 def test_slashes_and_labels_do_not_hide_base64_secrets(spark):
     rng = np.random.default_rng(2)
     draw = lambda n: "".join(rng.choice(list(secrets.ALPHABET[:64]), n))
@@ -238,50 +280,91 @@ def test_decontamination_equals_brute_force(spark):
     edited = item.replace("quick", "quikc").replace("owls", "owl")
     torn = item[:50]
     texts = [None, "", item, "x " + item.upper().replace(" ", "\n") + " y", "pre " + edited + " post", torn, "pre " + item[5:] + " z", "nothing here", LONG + " " + edited]
+    lost = "an item without a number is searched as well as all the others are"
+    texts += [f"({lost})", f"in{item}side", item + item[-6:], f"{lost}. {item}", f"x{edited}y"]
     docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
-    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "lost"), (4, "some other item that occurs nowhere in them")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, lost), (4, "some other item that occurs nowhere in them"), (5, "one"), (6, " ".join(f"zq{i}" for i in range(2000)))], "item_id long, text string")
 
     def distance(p, t):
-        row = [0] * (len(t) + 1)
-        for i, a in enumerate(p, 1):
+        t, row = f" {t} ", [0] * (len(t) + 3)
+        for i, a in enumerate(f"\0{p}\0", 1):  # an edge is any character but a letter or digit
             new = [i]
             for j, b in enumerate(t, 1):
-                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+                new.append(min(row[j - 1] + (b.isalnum() if a == "\0" else a != b), row[j] + 1, new[-1] + 1))
             row = new
         return min(row)
 
-    for block in (1 << 20, 10):
-        rows = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits_"]] for r in decontaminate.with_hits(docs, bench, block_bytes=block).collect()}
+    for block in (1 << 20, 6000):
+        got = decontaminate.with_hits(docs, bench, block_bytes=block).collect()
+        assert len(got) == len(texts)
+        rows = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits_"]] for r in got}
         for i, t in enumerate(texts):
-            d = distance(item, decontaminate.plain(t)[-400:]) if t else 999
-            assert rows[i] == ([(1, d)] if d <= decontaminate.budget(item) else []), i
+            wanted = [(n, distance(p, decontaminate.plain(t)[-400:]) if t else 999) for n, p in ((None, lost), (1, item))]
+            assert rows[i] == [(n, d) for n, d in wanted if d <= decontaminate.budget(item if n else lost)], (i, texts[i][-200:])
+        for r in got:
+            plain = decontaminate.plain(r["text"])
+            for h in r["hits_"]:
+                assert h["distance"] or plain[h["start"] : h["end"]] == (item if h["item_id"] else lost)
+                assert abs(h["end"] - h["start"] - len(item if h["item_id"] else lost)) <= 8
+    repeated = decontaminate.with_hits(docs.union(docs), bench, block_bytes=6000).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in repeated} == {2}
     assert decontaminate.with_hits(empty(spark), bench.limit(0)).count() == 0
+    assert decontaminate.with_hits(docs, spark.createDataFrame([(1, "a"), (2, "cat")], "item_id long, text string")).where("size(hits_) > 0").count() == 0
+
+
+def test_decontamination_at_word_edges():
+    find = lambda item, text: [h[1:] for h in decontaminate.Matcher([(1, item)], 1).find(text)]
+    assert find("cat", "concatenate a category") == [] and find("cat", "a (cat)!") == [(0, 3, 6)] and find("cat", "cat") == [(0, 0, 3)]
+    item = "a sentence of some thirty characters"
+    assert find(item, f"x{item}") == [(1, 1, len(item) + 1)] and find(item, f"x{item}y") == []
+    assert find(item, item.replace("some ", "some  ")) == [(0, 0, len(item))]
 
 
 def test_line_dedup_equals_plain(spark):
     line = "a repeated line of some length"
     texts = [None, "", line, "x\n  " + line.upper() + "\t\ny", line + "\n" + line, "é" * 19, "é" * 19, "é" * 19, "ß" * 20, "ß" * 20 + "\r", "ß" * 20, LONG, LONG, LONG]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, line, 1)], "doc_id long, text string, gone int")
-    ids, lines = defaultdict(list), {}
-    for i, t in [*enumerate(texts), (-1, line)]:
+    texts += [f"line number {k % 7} of those that some have\nand a line of only one, {k}" for k in range(20)]
+    two = "a line of two documents in three rows"
+    rows = [*enumerate(texts), (-1, line), (100, two), (100, two), (101, two)]
+    docs = spark.createDataFrame([(None if i < 0 else i, t, 1) for i, t in rows], "doc_id long, text string, gone int")
+    ids, lines = defaultdict(set), defaultdict(list)
+    for n, (i, t) in enumerate(rows):
         keys = [x.strip(common.BLANKS).translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
-        lines[i] = list(zip((t or "").split("\n"), keys))
+        lines[n] = list(zip((t or "").split("\n"), keys))
         for k in {k for k in keys if len(k) >= 20}:
-            ids[k].append(i)
-    for block in (1 << 20, 1):
-        for r in linededup.dedup_lines(docs, block_bytes=block).collect():
-            i = -1 if r["doc_id"] is None else r["doc_id"]
-            kept = [x for x, k in lines[i] if len(ids[k]) < 3 or i == max(ids[k])]
-            assert (r["lines"]["text"], r["lines"]["n_dropped"]) == ("\n".join(kept), len(lines[i]) - len(kept)), i
-            assert r["lines"]["sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
-    assert linededup.dedup_lines(empty(spark)).count() == 0
+            ids[k].add(i)
+    wanted = Counter()
+    for n, (i, t) in enumerate(rows):
+        kept = [x for x, k in lines[n] if len(ids[k]) < 3 or i == max(ids[k])]
+        wanted[(i, "\n".join(kept), len(lines[n]), len(lines[n]) - len(kept))] += 1
+    for head, keys in ((1 << 20, 20_000), (0, 3), (100, 20_000)):  # all hashes in the head, none, some
+        found = linededup.dedup_lines(docs, head_bytes=head, shard_keys=keys).collect()
+        assert Counter((-1 if r["doc_id"] is None else r["doc_id"], r["lines"]["text"], r["lines"]["n_lines"], r["lines"]["n_dropped"]) for r in found) == wanted, head
+        assert all(r["lines"]["sha256"] == hashlib.sha256(r["lines"]["text"].encode()).hexdigest() and r["gone"] == 1 for r in found)
+    for head in (1 << 20, 0):
+        assert linededup.dedup_lines(empty(spark), head_bytes=head).count() == 0
+    assert linededup.dedup_lines(awkward(spark).withColumn("lines", F.lit(1))).select("lines", "lines_.n_lines").count() == awkward(spark).count()
 
 
 def test_minimal_perfect_hash_fills_its_slots():
-    place = linededup.mixed(np.arange(5000, dtype=np.uint64))
-    d = linededup.build(place)
-    at = linededup.slots(place, d[(place % np.uint64(len(d))).astype(np.int64)], len(place))
-    assert sorted(at) == list(range(5000))
+    a = linededup.mixed(np.arange(5000, dtype=np.uint64))
+    for b in (a[::-1].copy(), a):
+        seed, d = linededup.build(a, b)
+        place = linededup.places(a, b, seed)
+        at = linededup.slots(place, d[(place % np.uint64(len(d))).astype(np.int64)], len(place))
+        assert sorted(at) == list(range(5000))
+
+
+def test_hashes_of_one_half_are_told_apart():
+    a, b = np.array([7, 7, 7, 9, 9], np.uint64), np.array([1, 2, 3, 1, 2], np.uint64)
+    seed, d = linededup.build(a, b)
+    place = linededup.places(a, b, seed)
+    at = linededup.slots(place, d[(place % np.uint64(len(d))).astype(np.int64)], 5)
+    prints, counts, most = np.zeros(5, np.uint64), np.zeros(5, np.uint32), np.zeros(5, np.int64)
+    prints[at], counts[at], most[at] = b, [2, 3, 4, 5, 6], [10, 20, 30, 40, 50]
+    shard = linededup.Shard(seed, d.tobytes(), prints.tobytes(), counts.tobytes(), most.tobytes())
+    assert [x.tolist() for x in shard.probe(a, b)] == [[2, 3, 4, 5, 6], [10, 20, 30, 40, 50]]
+    assert shard.probe(a, b + np.uint64(100))[0].tolist() == [1] * 5
 
 
 def test_media_round_trip(spark):
@@ -340,7 +423,7 @@ def test_rare_and_long_title_words_split_hosts(spark):
     rare, long = "zzyzx", "donaudampfschifffahrtsgesellschaft"
     titles = [" ".join(name(i) for i in range(k, 50_100, 30)) for k in range(30)] * 2 + [f"{rare} {long}"]
     pages = spark.createDataFrame([(f"http://{rare}{name(7)}.a{long}{rare}.{i % 7}q.com/", f"<title>{t}</title>") for i, t in enumerate(titles)], "url string, html string")
-    words = common.stored(urlfilter.title_words(pages), "words")
+    words = common.stored(urlfilter.page_words(pages), "words")
     counts = {r["word"]: r["n"] for r in words.collect()}
     assert len(counts) == 50_102 and counts[long] == 1
     hosts = common.stored(pages.select(urlfilter.host_of(F.col("url")).alias("host")).distinct(), "hosts")
@@ -348,10 +431,48 @@ def test_rare_and_long_title_words_split_hosts(spark):
     assert model.split(f"a{long}{rare}") == ["a", long, rare]
     for block in (2, 100):
         rows = {r["host"]: r["tokens"] for r in urlfilter.host_tokens(hosts, words, block).collect()}
-        assert rows == {r["host"]: [urlfilter.bucket(t) for t in model.tokens(r["host"])] for r in hosts.collect()}
+        assert rows == {r["host"]: model.tokens(r["host"]) for r in hosts.collect()}
     assert urlfilter.judge_urls(pages).count() == len(titles)
 
 
+def test_page_words_are_those_of_the_text(spark):
+    html = "<title>Free pills</title><script type=x>var hidden = '</p>';</script><!-- no > note --><p class='tag'>free &amp; <b>new</b>s</p><style>p{}</style>"
+    pages = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    assert {r["word"]: r["n"] for r in urlfilter.page_words(pages).collect()} == {"free": 2, "pills": 1, "new": 1, "s": 1}
+
+
+def test_url_scores_equal_plain_naive_bayes(spark):
+    urls = [f"http://{h}.{d}/{p}/{i}" for i, (h, d, p) in enumerate((h, d, p) for h in ("cheappills", "news", "m.blog") for d in ("net", "example.net", "b.org", "free.com") for p in ("en", "fr", "buy-now"))]
+    urls += ["http://cheappills.com/buy-now/1"] * 40 + [None, "x", "http://" + "pills" * 400 + ".com/" + "en/" * 2000]
+    pages = spark.createDataFrame([(i, u, "<p>cheap pills news blog free example</p>") for i, u in enumerate(urls)], "page_id int, url string, html string")
+    model = urlfilter.Segmenter({w: len(urls) for w in ("cheap", "pills", "news", "blog", "free", "example")})
+    split = lambda p: ["p:" + t for t in re.split(r"[/._\-]+", re.sub("[0-9]+", "0", p)) if t]
+    fits = lambda h, p: [(len(d + q), v) for v, d, q in urlfilter.RULES if (h == d or h.endswith("." + d)) and p.startswith(q)]
+    seen, counts, n = set(), {"block": Counter(), "allow": Counter()}, Counter()
+    rows = []
+    for u in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        h, p = (m[1].lower(), m[2]) if m else ("", "")
+        tokens = model.tokens(h) + split(p)
+        if not h:
+            tokens = split(p)
+        seen |= set(tokens)
+        fit = max(fits(h, p), default=None)
+        if fit:
+            counts[fit[1]].update(tokens)
+            n[fit[1]] += 1
+        rows.append(tokens)
+    odds = lambda t: np.log((counts["block"][t] + 1) / (counts["block"].total() + len(seen))) - np.log((counts["allow"][t] + 1) / (counts["allow"].total() + len(seen)))
+    for head in (1 << 16, 3, 0):
+        found = {r["page_id"]: r["judged"] for r in urlfilter.judge_urls(pages, block_hosts=2, head=head).collect()}
+        assert len(found) == len(urls)
+        for i, tokens in enumerate(rows):
+            wanted = np.log(n["block"] + 1) - np.log(n["allow"] + 1) + sum(map(odds, tokens))
+            assert found[i]["score"] == pytest.approx(wanted, abs=1e-6), urls[i]
+            if found[i]["rule"] is None:
+                assert found[i]["verdict"] == ("block" if found[i]["score"] > 0 else "allow")
+
+
 def test_quality_learns_rules_and_handles_awkward_rows(spark):
     good = [(i, " ".join(f"word{(i * 7 + j * j) % 60}" for j in range(40))) for i in range(300)]
     bad = [(1000 + i, " ".join(f"word{(i + j) % 60}***" for j in range(40))) for i in range(300)]
