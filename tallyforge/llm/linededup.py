@@ -181,30 +181,38 @@ def shards_of(counted: DataFrame, n_shards: int) -> DataFrame:
 
 
 MARKED = "struct<gone:array<int>,rest:array<struct<line:int,a:bigint,b:bigint>>>"
+MADE = "struct<n_lines:bigint,n_dropped:bigint,text:string,sha256:string>"
 
 
-def marker(index, least: int, length: int, ask: bool):
+def marks(values: list[bytes], ids: list[int | None], held: Index, least: int, length: int) -> tuple[list[np.ndarray], list[tuple]]:
+    """For each text the lines that ``held`` drops, and (lines, a, b) of those it has no slot for.
+
+    All lines of the texts are probed at once.
+    """
+    keys = [text_keys(value, length) for value in values]
+    lines = [np.array([k for k, x in enumerate(own) if x], np.int32) for own in keys]
+    ends = np.cumsum([0, *map(len, lines)])
+    if not ends[-1]:
+        return lines, [(x, x, x) for x in lines]
+    a, b = halves([x for own in keys for x in own if x])
+    counts, most = held.probe(a, b)
+    owner = np.repeat(np.array([NO_ID if i is None else i for i in ids], np.int64), np.diff(ends))
+    drop, other = (counts >= least) & (most != owner), counts < 2
+    spans = [slice(x, y) for x, y in zip(ends, ends[1:])]
+    return [x[drop[s]] for x, s in zip(lines, spans)], [(x[other[s]], a[s][other[s]], b[s][other[s]]) for x, s in zip(lines, spans)]
+
+
+def marker(index, least: int, length: int):
     """Arrow function of (text, doc_id): lines that the head drops, and those to ask the shards for."""
 
     @F.arrow_udf(MARKED)
     def mark(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held = index.value
         for values, ids in batches:
             gone, rest, at = [], [], 0
             for part in common.pieces(values):
-                for i, value in zip(ids.slice(at, len(part)).to_pylist(), common.texts(part)):
-                    keys = text_keys(value, length)
-                    where = np.array([k for k, x in enumerate(keys) if x], np.int32)
-                    out, asked = [], []
-                    if len(where):
-                        a, b = halves([keys[k] for k in where])
-                        counts, most = held.probe(a, b)
-                        out = where[(counts >= least) & (most != (NO_ID if i is None else i))].tolist()
-                        if ask:
-                            other = counts < 2
-                            asked = [{"line": x, "a": y, "b": z} for x, y, z in zip(where[other].tolist(), a[other].view(np.int64).tolist(), b[other].view(np.int64).tolist())]
-                    gone.append(out)
-                    rest.append(asked)
+                out, other = marks(common.texts(part), ids.slice(at, len(part)).to_pylist(), index.value, least, length)
+                gone += [x.tolist() for x in out]
+                rest += [[{"line": x, "a": y, "b": z} for x, y, z in zip(n.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist())] for n, a, b in other]
                 at += len(part)
             kind = pa.list_(pa.struct([("line", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
             yield pa.StructArray.from_arrays([pa.array(gone, pa.list_(pa.int32())), pa.array(rest, kind)], ["gone", "rest"])
@@ -212,6 +220,55 @@ def marker(index, least: int, length: int, ask: bool):
     return mark
 
 
+def without(values: list[bytes], gone: list, keep: bool) -> list[tuple]:
+    """(lines, dropped, text, digest) of each text without the lines of those numbers."""
+    rows = []
+    for value, away in zip(values, gone):
+        lines, n = value.count(b"\n") + 1, len(away)
+        if n:
+            away = set(away)
+            value = b"\n".join(x for k, x in enumerate(value.split(b"\n")) if k not in away)
+        rows.append((lines, n, value.decode() if keep else None, hashlib.sha256(value).hexdigest()))
+    return rows
+
+
+def made(rows: list[tuple]) -> pa.Array:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_lines", "n_dropped", "text", "sha256"])
+
+
+def probing(index, least: int, length: int, keep: bool):
+    """Arrow function of (text, doc_id): the text without the lines that the head drops."""
+
+    @F.arrow_udf(MADE)
+    def probe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for values, ids in batches:
+            rows, at = [], 0
+            for part in common.pieces(values):
+                texts = common.texts(part)
+                rows += without(texts, [x.tolist() for x in marks(texts, ids.slice(at, len(part)).to_pylist(), index.value, least, length)[0]], keep)
+                at += len(part)
+            yield made(rows)
+
+    return probe
+
+
+def dropping(keep: bool):
+    """Arrow function of (text, numbers of lines): the text without them."""
+
+    @F.arrow_udf(MADE)
+    def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for values, drops in batches:
+            rows, at = [], 0
+            for part in common.pieces(values):
+                rows += without(common.texts(part), drops.slice(at, len(part)).to_pylist(), keep)
+                at += len(part)
+            yield made(rows)
+
+    return drop
+
+
 def prober(least: int):
     """Probes one shard's arrays with the lines (row, line, doc_id, a, b) that are sent to it."""
 
@@ -227,26 +284,11 @@ def prober(least: int):
     return run
 
 
-@common.arrow_function("struct<n_lines:bigint,n_dropped:bigint,text:string,sha256:string>")
-def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for values, drops in batches:
-        rows, at = [], 0
-        for part in common.pieces(values):
-            for value, gone in zip(common.texts(part), drops.slice(at, len(part)).to_pylist()):
-                lines = value.split(b"\n")
-                if gone:
-                    away = set(gone)
-                    value = b"\n".join(x for k, x in enumerate(lines) if k not in away)
-                rows.append((len(lines), len(gone), value.decode(), hashlib.sha256(value).hexdigest()))
-            at += len(part)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_lines", "n_dropped", "text", "sha256"])
-
-
-def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length: int = LENGTH, head_bytes: int = HEAD_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length: int = LENGTH, head_bytes: int = HEAD_BYTES, shard_keys: int = SHARD_KEYS, keep: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with a struct: n_lines, n_dropped, text, sha256.
 
+    ``text`` is what is left of each text, null unless ``keep``; ``sha256`` its digest.
+
     Null and empty texts are one empty line. Rows of one doc_id are one document when
     documents are counted and separate rows of the result; all those of the greatest
     doc_id that holds a key keep its lines, so ties and repeated rows lose nothing. A null
@@ -261,13 +303,11 @@ def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length
     n_often, n_rarer = (counted.agg(F.count(F.when(c, 1))).first()[0] for c in (F.col("n") >= floor, F.col("n") < floor))
     n_shards = max(1, math.ceil(n_often / shard_keys))
     head = spark.sparkContext.broadcast(Index([tuple(r) for r in shards_of(often, n_shards).toLocalIterator()], n_shards))
-    mark = marker(head, least, length, n_rarer > 0)
-    text, marked, doc = F.coalesce("text", F.lit("")), common.free_name(docs, "marked"), "doc"
+    text, doc = F.coalesce("text", F.lit("")), "doc"
     if not n_rarer:
-        found = docs.withColumn(marked, mark(text, F.col("doc_id")))
-        return found.withColumn(name, without(text, F.col(f"{marked}.gone"))).drop(marked)
+        return docs.withColumn(name, probing(head, least, length, keep)(text, F.col("doc_id")))
     # what the head does not hold goes to the shards of the rest
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(doc), mark(text, F.col("doc_id")).alias("m"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(doc), marker(head, least, length)(text, F.col("doc_id")).alias("m"))
     rows = common.stored(rows, "marked")
     head.unpersist()
     asked = rows.select("row", F.coalesce("doc.doc_id", F.lit(NO_ID)).alias("doc_id"), F.explode("m.rest").alias("x")).select("row", "doc_id", "x.line", "x.a", "x.b")
@@ -277,8 +317,8 @@ def dedup_lines(docs: DataFrame, name: str = "lines", least: int = LEAST, length
     drops = asked.withColumn("shard", shard_of(n_shards)).groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(prober(least), "row long, line int")
     drops = common.stored(drops, "drops").groupBy("row").agg(F.collect_list("line").alias("lines"))
     joined = rows.select("row", doc, "m.gone").join(drops, "row", "left").withColumn("gone", F.concat("gone", F.coalesce("lines", F.array().cast("array<int>"))))
-    made = without(F.coalesce("doc.text", F.lit("")), F.col("gone"))
-    return joined.select(doc, made.alias("made")).select("doc.*", F.col("made").alias(name))
+    left = dropping(keep)(F.coalesce("doc.text", F.lit("")), F.col("gone"))
+    return joined.select(doc, left.alias("made")).select("doc.*", F.col("made").alias(name))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +326,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     See ``dedup_lines`` for ties, repeated rows, very long texts and empty tables.
     """
-    found = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.col("lines.sha256").alias("kept_sha256"))
 
 
