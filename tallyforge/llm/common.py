@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,21 +50,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that ``stored`` writes inside, at the end.
+def written() -> int:
+    """How many tables ``stored`` has written that still are there."""
+    return len(_written)
 
-    For callers that write their result elsewhere: what was read from these tables
-    cannot be computed any more.
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Delete the tables that were written after the first ``since``, all but the newest.
+
+    For callers that have stored their result: what was read from the others cannot be
+    computed any more.
     """
-    before = len(_written)
-    try:
-        yield
-    finally:
-        for path in _written[before:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        del _written[before:]
+    for path in _written[since:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since:-1]
 
 
 def small(df: DataFrame, rows: int, most_bytes: int = 32 << 20) -> DataFrame:

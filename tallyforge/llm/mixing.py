@@ -206,26 +206,26 @@ def mix(docs: DataFrame, source: F.Column, size: F.Column, identity: list[F.Colu
     goes. Null sources form one source, the last. Rows equal in ``identity`` are taken
     alike, repeated or not; documents of one hash tie. Sources without words and empty
     tables give no words. A very long text is one document, taken whole or not at all.
-    Only the struct is added; where ``docs`` has a column ``mix`` it is replaced.
+    Where ``docs`` has a column ``mix``, the struct gets underscores.
     """
-    keyed = docs.select("*", F.struct(source_key(source).alias("key"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *identity).alias("h")).alias("mix"))
-    slim = common.stored(keyed.select("mix.*"), "sizes")
+    name = common.free_name(docs, "mix")
+    facts = F.struct(source_key(source).alias("key"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *identity).alias("h"))
+    # the columns of ``docs`` are one struct here, so names cannot clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), facts.alias("own")).select("doc", "own.*")
+    slim = common.stored(keyed.select("key", "size", "h"), "sizes")
     quota = plan_blocks(slim, block_words, shards, seed)
     sources = common.stored(quota.groupBy("key").agg(F.first("n_blocks").alias("n_blocks")), "counts")
-    rows = keyed.withColumn("key", F.col("mix.key")).join(common.small(sources.withColumnRenamed("n_blocks", "mix_blocks"), BROADCAST_ROWS), "key")
-    rows = rows.withColumn("block", F.pmod("mix.h", "mix_blocks"))
-    # of the joined columns only the struct is passed on, so names cannot clash
-    facts = common.stored(quota.select("key", "block", F.struct("source_size", "target", "draws").alias("mix_plan")), "facts")
-    joined = rows.join(common.small(facts, BROADCAST_ROWS), ["key", "block"])
-    h = F.col("mix.h")
-    part = F.pmod(F.shiftrightunsigned(h, 32), F.lit(PARTS))
-    before = lambda d: (part < d["part"]) | ((part == d["part"]) & (h <= d["cut"]))
-    mine = F.filter("mix_plan.draws", lambda d: (d["whole"] == 1) | F.coalesce(before(d), F.lit(False)))
-    held = F.when(F.col("mix.size") > 0, F.coalesce(F.transform(mine, lambda d: d["shard"]), F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
-    joined = joined.withColumn("mix_shards", held)
-    copies = F.size("mix_shards")
-    made = F.struct(F.col("mix.size"), F.col("mix_plan.source_size"), F.col("mix_plan.target"), copies.alias("copies"), (F.col("mix.size") * copies).alias("taken"), F.col("mix_shards").alias("shards"))
-    return joined.withColumn("mix", made).drop("key", "block", "mix_blocks", "mix_plan", "mix_shards")
+    rows = keyed.join(common.small(sources, BROADCAST_ROWS), "key").withColumn("block", F.pmod("h", "n_blocks"))
+    plan = common.stored(quota.select("key", "block", "source_size", "target", "draws"), "facts")
+    joined = rows.join(common.small(plan, BROADCAST_ROWS), ["key", "block"])
+    part = F.pmod(F.shiftrightunsigned("h", 32), F.lit(PARTS))
+    before = lambda d: (part < d["part"]) | ((part == d["part"]) & (F.col("h") <= d["cut"]))
+    mine = F.filter("draws", lambda d: (d["whole"] == 1) | F.coalesce(before(d), F.lit(False)))
+    none = F.array().cast("array<int>")
+    joined = joined.withColumn("shards", F.when(F.col("size") > 0, F.coalesce(F.transform(mine, lambda d: d["shard"]), none)).otherwise(none))
+    copies = F.size("shards")
+    made = F.struct("size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "shards")
+    return joined.select("doc.*", made.alias(name))
 
 
 def words_of(text: F.Column) -> F.Column:

@@ -144,15 +144,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     path = f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, path)
-    schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    shard, slot = common.free_name(docs, "shard"), common.free_name(docs, "slot")
+    schema = T.StructType([*docs.schema.fields, T.StructField(slot, T.LongType()), T.StructField(shard, T.IntegerType())])
     text = F.coalesce("text", F.lit(""))
     return spark.read.schema(schema).parquet(path).select(
         "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
-        "slot",
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
