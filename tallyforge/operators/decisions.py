@@ -45,23 +45,29 @@ def transition(before: Column, after: Column) -> Column:
     )
 
 
-def policy(baseline: Column, challenger: Column, null: Column, switch_margin: float = 0.0, reject_margin: float = 0.0, recover: bool = False) -> Column:
-    """struct<action, reason> from three logits; null marks an absent candidate.
-
-    Ties go to the baseline, then to null. The reject margin is asked first and a miss
-    falls back to the baseline. Without a baseline the challenger needs ``recover``.
+def policy(baseline: Column, challenger: Column, null: Column, switch_margin: float = 0.0, reject_margin: float = 0.0, recover: bool = False, temperature: float = 1.0) -> Column:
+    """struct<action, reason, confidence, probabilities> from three logits; null marks an absent candidate.
+
+    The greatest logit wins; ties go to the baseline, then to null. Where null wins over a
+    baseline by less than the reject margin, measured from the better of both boxes, and
+    where a challenger wins over it by less than the switch margin, the baseline is kept.
+    Without a baseline the challenger takes part only if ``recover``. Probabilities
+    (baseline, challenger, null) are those of the candidates that take part, 0 for others.
     """
     low = F.lit(float("-inf"))
-    b, c, n = F.coalesce(baseline, low), challenger, null
-    c = F.coalesce(c, low) if recover else F.when(baseline.isNull(), low).otherwise(F.coalesce(c, low))
-    made = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    b, n, has = F.coalesce(baseline, low), null, baseline.isNotNull()
+    c = F.coalesce(challenger if recover else F.when(has, challenger), low)
     null_best, challenger_best = (n > b) & (n >= c), (c > b) & (c > n)
+    held_back = null_best & has & (n - F.greatest(b, c) < reject_margin)
+    too_close = challenger_best & has & (c - b < switch_margin)
+    p = softmax([b, c, n], temperature)
+    made = lambda action, reason, k: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"), p[k].alias("confidence"), p.alias("probabilities"))
     return (
-        F.when(null_best & baseline.isNotNull() & (n - b < reject_margin), made("keep", "reject_margin_not_met"))
-        .when(null_best, made("reject", "null_best"))
-        .when(challenger_best & baseline.isNotNull() & (c - b < switch_margin), made("keep", "switch_margin_not_met"))
-        .when(challenger_best, made("switch", "challenger_best"))
-        .otherwise(made("keep", "baseline_best"))
+        F.when(held_back, made("keep", "reject_margin_not_met", 0))
+        .when(too_close, made("keep", "switch_margin_not_met", 0))
+        .when(null_best, made("reject", "joint_argmax", 2))
+        .when(challenger_best, made("switch", "joint_argmax", 1))
+        .otherwise(made("keep", "joint_argmax", 0))
     )
 
 

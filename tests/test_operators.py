@@ -61,12 +61,19 @@ def test_selector_metrics_and_safe_threshold(spark):
 def test_policy(spark):
     def p(b, c, n, **more):
         v = lambda x: F.lit(x).cast("double")
-        return tuple(one(spark, decisions.policy(v(b), v(c), v(n), **more)))
+        return tuple(one(spark, decisions.policy(v(b), v(c), v(n), **more)))[:2]
 
     assert [p(3, 2, 1)[0], p(2, 3, 1)[0], p(2, 1, 3)[0]] == ["keep", "switch", "reject"]
     assert p(1, 1.2, 0, switch_margin=0.5) == ("keep", "switch_margin_not_met")
     assert p(1, 0, 1.2, reject_margin=0.5) == ("keep", "reject_margin_not_met")
     assert p(None, 5, 0)[0] == "reject" and p(None, 5, 0, recover=True)[0] == "switch"
+    # the reject margin is measured from the better box, and a miss keeps the baseline
+    assert p(0, 0.9, 1.0, reject_margin=0.5) == ("keep", "reject_margin_not_met") and p(0, 0.4, 1.0, reject_margin=0.5) == ("reject", "joint_argmax")
+    assert p(1, 1, 1) == ("keep", "joint_argmax") and p(0, 1, 1)[0] == "reject"
+    full = one(spark, decisions.policy(F.lit(1.0), F.lit(1.0), F.lit(1.0)))
+    assert full["probabilities"] == pytest.approx([1 / 3] * 3) and full["confidence"] == pytest.approx(1 / 3)
+    alone = one(spark, decisions.policy(F.lit(None).cast("double"), F.lit(9.0), F.lit(0.0)))
+    assert alone["probabilities"] == [0.0, 0.0, 1.0]
 
 
 def test_review_log_rules(spark):
@@ -93,6 +100,10 @@ def test_violations_raise(spark):
 def test_text(spark):
     assert one(spark, text.image_number(F.lit("COCO_train2014_000000445503.jpg"))) == 445503
     assert one(spark, text.yes_no(F.lit("<answer> Yes, it is</answer>"))) is True
+    assert one(spark, text.tokens(F.lit("ｃａｔ and ﬁre"))) == ["cat", "fire"] and one(spark, text.yes_no(F.lit("ＹＥＳ"))) is True
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    assert one(spark, text.bag_cosine(words("a", "b", "a"), words("a", "c"))) == pytest.approx(2 / 10**0.5)
+    assert one(spark, text.bag_cosine(words("a"), F.array().cast("array<string>"))) == 0.0
     assert one(spark, text.bag_cosine(text.tokens(F.lit("two cats")), text.tokens(F.lit("two cat")))) == pytest.approx(1.0)
 
 
@@ -101,15 +112,17 @@ def test_registered_sql_matches(spark, tmp_path):
 
     import duckdb
 
+    import __spark_entry__
     from tallyforge.plans import catalog
 
+    assert __spark_entry__.queries().keys() >= catalog.QUERIES.keys()
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no tables")
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
-    for name in ("selector_metrics", "safe_threshold", "log_review_winner", "top_competitors", "hash_split"):
+    for name in catalog.ORACLES:
         df = catalog.QUERIES[name](spark, sf)
         got = sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
         r = con.sql(catalog.ORACLES[name])
