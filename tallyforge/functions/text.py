@@ -52,13 +52,13 @@ def _synonym(word: Column) -> Column:
 
 def tokens(text: Column, stop: tuple = STOP_WORDS) -> Column:
     """Words of two letters or more without stop words; a plural s goes from longer ones, then synonyms."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(list(stop) or [""]))
+    words = F.filter(F.split(F.lower(canonical(text)), r"[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(list(stop) or [""]))
     return F.transform(words, lambda w: _synonym(F.when((F.length(w) > 3) & w.endswith("s"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)))
 
 
-def phrase_tokens(text: Column) -> Column:
-    """All words but articles, with synonyms."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: ~w.isin("", "a", "an", "the"))
+def phrase_tokens(text: Column, plain: bool = False) -> Column:
+    """All words but articles, with synonyms; ``plain`` texts have their canonical form already."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit("")) if plain else canonical(text)), r"[^a-z0-9]+"), lambda w: ~w.isin("", "a", "an", "the"))
     return F.transform(words, _synonym)
 
 
@@ -77,26 +77,45 @@ def stated_units(caption: Column, units: Column, default_kind: Column, head: Col
     An object is stated by its words; an attribute needs the object (else ``head``) too
     if there is one; a relation needs its three parts.
     """
-    said = phrase_tokens(caption)
-    has = lambda phrase: holds_phrase(said, phrase_tokens(phrase))
+    # a Python function cannot stand in a lambda; annotations are written in plain letters
+    has = lambda said, phrase: holds_phrase(said, phrase_tokens(phrase, plain=True))
     filled = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
 
-    def match(u: Column) -> Column:
+    def match(said: Column, u: Column) -> Column:
         kind, owner = F.coalesce(filled(u["type"], default_kind), F.lit("")), filled(u["object"], head)
         return (
-            F.when(kind.isin("object", "co_occurrence"), has(u["object"]))
-            .when(kind == "attribute", has(u["attribute"]) & (owner.isNull() | has(owner)))
-            .when(kind == "relation", has(u["subject"]) & has(u["relation"]) & has(u["target_object"]))
+            F.when(kind.isin("object", "co_occurrence"), has(said, u["object"]))
+            .when(kind == "attribute", has(said, u["attribute"]) & (owner.isNull() | has(said, owner)))
+            .when(kind == "relation", has(said, u["subject"]) & has(said, u["relation"]) & has(said, u["target_object"]))
             .otherwise(F.lit(False))
         )
 
-    return F.filter(F.coalesce(units, F.array().cast("array<struct<type:string,object:string,attribute:string,subject:string,relation:string,target_object:string>>")), match)
+    every = F.coalesce(units, F.array().cast("array<struct<type:string,object:string,attribute:string,subject:string,relation:string,target_object:string>>"))
+    return F.transform(F.array(phrase_tokens(caption)), lambda said: F.filter(every, lambda u: match(said, u)))[0]
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two bags of words; an empty bag gives 0."""
-    dot = lambda x, y: F.aggregate(x, F.lit(0.0), lambda s, w: s + F.size(F.filter(y, lambda v: v == w)))
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    """Cosine of two bags of words; an empty bag gives 0.
+
+    Sorted bags are cut into runs of one word, so words are counted once each and looked up
+    in a map: no word of one bag is compared with all of the other.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<w:string,n:int>>").alias("out"))
+
+    def step(s, w):
+        run = F.struct(s["w"].alias("w"), s["n"].alias("n"))
+        ended = F.when(s["n"] > 0, F.concat(s["out"], F.array(run))).otherwise(s["out"])
+        return F.when(s["w"] == w, F.struct(w.alias("w"), (s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(F.struct(w.alias("w"), F.lit(1).alias("n"), ended.alias("out")))
+
+    last = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["w"].alias("w"), s["n"].alias("n"))))).otherwise(s["out"])
+    counts = lambda bag: F.map_from_entries(F.aggregate(F.array_sort(bag), start, step, last))
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda t, n: t + n * n)
+
+    def cosine(m):
+        dot = F.aggregate(F.map_entries(m["a"]), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(m["b"], e["key"]), F.lit(0)))
+        return F.coalesce(F.try_divide(dot, F.sqrt(square(m["a"])) * F.sqrt(square(m["b"]))), F.lit(0.0))
+
+    return F.transform(F.array(F.struct(counts(a).alias("a"), counts(b).alias("b"))), cosine)[0]
 
 
 def holds_phrase(text_tokens: Column, phrase_tokens: Column) -> Column:
@@ -110,7 +129,7 @@ def answer_content(text: Column) -> Column:
 
 def yes_no_answer(text: Column) -> Column:
     """struct<exists, valid, method>: not found, yes or no in front, a lone yes or no, other words; else an invalid no."""
-    low = normalised(answer_content(F.coalesce(text, F.lit(""))))
+    low = normalised(answer_content(canonical(text)))
     lead = F.regexp_extract(low, r"^[\s\"']*(yes|no)\b", 1)
     said = F.regexp_extract_all(low, F.lit(r"\b(yes|no)\b"), F.lit(1))
     row = lambda exists, valid, method: F.struct(exists.alias("exists"), F.lit(valid).alias("valid"), F.lit(method).alias("method"))
