@@ -45,6 +45,24 @@ def best_match(df: DataFrame, others: DataFrame, group: list[str], key: str, sco
     return pairs.groupBy(key).agg(F.max_by(F.struct(F.col(other_key), F.col("_score").alias("score")), F.struct("_score", -F.col(other_key))).alias("m")).select(key, f"m.{other_key}", "m.score")
 
 
+def nearest_value(df: DataFrame, others: DataFrame, group: list[str], key: str, value: str, other_key: str, other_value: str) -> DataFrame:
+    """(key, other_key, distance): the other of the group whose number is nearest; the least key of equal ones.
+
+    Each group's numbers are put in order once and every row looks at the other before and
+    the one after it, so pairs are not made. Groups without others give no row.
+    """
+    marks = others.groupBy(*group, F.col(other_value).cast("double").alias("_v")).agg(F.min(other_key).alias("_o"))
+    both = df.select(*group, F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"), F.lit(None).cast(dict(marks.dtypes)["_o"]).alias("_o"))
+    both = both.unionByName(marks.withColumn("_k", F.lit(None).cast(dict(both.dtypes)["_k"])))
+    # of equal numbers the others come first, on the way up and on the way down
+    mark, isnt = F.when(F.col("_o").isNotNull(), F.struct("_v", "_o")), F.col("_o").isNull()
+    way = lambda *order: F.last(mark, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*order, isnt).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumns({"_a": way(F.asc("_v")), "_b": way(F.desc("_v"))}).where("_k is not null")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("distance"), F.col(f"{c}._o").alias("o")))
+    best = F.array_min(F.filter(F.array(near("_a"), near("_b")), lambda x: x.isNotNull()))
+    return found.withColumn("_m", best).where("_m is not null").select(F.col("_k").alias(key), F.col("_m.o").alias(other_key), "_m.distance")
+
+
 def closed_groups(df: DataFrame, group: list[str], relevant: Column) -> DataFrame:
     """All rows of a group when any of its rows is relevant."""
     return df.join(df.where(relevant).select(*group).distinct(), group, "left_semi")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .metrics import order_bucket
+
 from ..functions.hashing import digest
 
 
@@ -37,14 +41,13 @@ def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Shard by position in ``order``.
 
     Positions come from counts of ranges of rows, so no task sorts all: rows are placed in
-    buckets by approximate quantiles of ``order`` (a number), ranks start at the count before.
+    buckets by a formula of ``order`` (a number), and ranks start at the count before.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / 64 for i in range(1, 64)])).first()[0] or []
-    rows = df.withColumn("_b", sum((F.when(F.col(order) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    rows = df.withColumn("_b", order_bucket(F.col(order).cast("double")))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
     at = F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return rows.join(F.broadcast(starts), "_b").withColumn("shard", (at % shards).cast("int")).drop("_b", "_s")  # at most 64 rows
+    return rows.join(starts, "_b").withColumn("shard", (at % shards).cast("int")).drop("_b", "_s")
 
 
 def balanced_sample(df: DataFrame, stratum: str, key: str, total: int, strata: list[str], seed: str) -> DataFrame:
@@ -57,8 +60,13 @@ def balanced_sample(df: DataFrame, stratum: str, key: str, total: int, strata: l
 
 
 def representatives(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """``df`` with ``first_of_group``, true once a group."""
-    return df.withColumn("first_of_group", F.row_number().over(Window.partitionBy(*group).orderBy(order)) == 1)
+    """``df`` with ``first_of_group``, true at the least ``order`` (a key) of each group.
+
+    The least is a sum that tasks make before anything is shuffled; no group is sorted.
+    """
+    least = df.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(order).alias("_least"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+    return df.join(least, same).select(*df.columns, (F.col(order) == F.col("_least")).alias("first_of_group"))
 
 
 def compute_subset(df: DataFrame, quotas: dict[str, int], seed: str, source: str = "source", key: str = "query_id", image: str = "image_id", same: tuple[str, ...] = ("image_id", "ann_id", "query")) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluation, metrics, records, sampling
+from tallyforge.operators import evaluation, joins, metrics, records, sampling
 from tallyforge.sources import files
 
 
@@ -89,7 +89,7 @@ def test_joint_threshold_of_an_unscored_suite(spark):
 def test_sums_above_match_a_plain_sum(spark):
     df = spark.createDataFrame([("g", float(i % 50) + i, float(i)) for i in range(500)], "k string, p double, v double").groupBy("k", "p").agg(F.sum("v").alias("v"))
     plain = [(r["p"], r["v"]) for r in df.collect()]
-    got = {r["p"]: r["v"] for r in metrics.sums_above(df, "p", ["v"], ("k",), 8).collect()}
+    got = {r["p"]: r["v"] for r in metrics.sums_above(df, "p", ["v"], ("k",)).collect()}
     assert got == {p: sum(v for q, v in plain if q > p) for p, _ in plain}
 
 
@@ -164,3 +164,37 @@ def test_assembly(spark, tmp_path):
     assert one(spark, text.first_long_number(F.lit("x1234567890123"))) == 123456789012
     items = F.from_json(F.lit('[{"a":1,"b":2},{"a":null,"b":3}]'), "array<struct<a:int,b:int>>")
     assert one(spark, text.compact_items(items, ["a"])) == '[{"a":1},{}]'
+
+
+def test_buckets_keep_the_order(spark):
+    values = sorted([-1e9, -3.5, -1.0, -1e-7, 0.0, 1e-7, 0.3, 0.30001, 1.0, 2.0, 1e12, float("inf")])
+    found = [r["b"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", metrics.order_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert found == sorted(found) and len(set(found)) > 8
+
+
+def test_exact_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 501)) for v in rng.normal(0, 100, n).round(1)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in metrics.exact_percentiles(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}).collect():
+        own = [v for k, v in rows if k == r["k"] and v is not None]
+        assert [r["low"], r["mid"], r["high"], r["top"]] == pytest.approx(list(np.percentile(own, [0, 50, 95, 100])))
+
+
+def test_nearest_value_equals_all_pairs(spark):
+    a = [(i, i % 3, float(i * 37 % 50)) for i in range(60)]
+    b = [(100 + i, i % 2, float(i * 11 % 40 // 2)) for i in range(30)]
+    out = joins.nearest_value(spark.createDataFrame(a, "k int, g int, v double"), spark.createDataFrame(b, "o int, g int, w double"), ["g"], "k", "v", "o", "w")
+    wanted = {k: min((abs(v - w), o) for o, h, w in b if h == g) for k, g, v in a if g < 2}
+    assert {r["k"]: (r["distance"], r["o"]) for r in out.collect()} == wanted
+
+
+def test_splits_that_share_a_value_are_refused(spark):
+    from tallyforge.operators import isolation
+
+    df = spark.createDataFrame([("dev", 1, "x"), ("train", 2, "y"), ("train", None, "y")], "split string, image int, pair string")
+    assert isolation.assert_disjoint(df, "split", ["image", "pair"]) is df
+    with pytest.raises(ValueError, match="1 values"):
+        isolation.assert_disjoint(df.union(spark.createDataFrame([("dev", 2, "z")], df.schema)), "split", ["image", "pair"])
