@@ -79,6 +79,10 @@ def test_relations(spark):
     twice = relations.mentions(F.lit("a dog and a pup"), ["dog"], {"dog": ["dog", "pup"]})
     assert one(spark, relations.reference_categories(twice, F.lit("dog"))) == ["dog"]
     assert one(spark, relations.mentions(F.lit(None).cast("string"), ["dog"])) == []
+    equal = relations.mentions(F.lit("a big red cat, red dog"), ["y", "x", "z"], {"x": ["big red"], "y": ["red cat"], "z": ["red", "red dog"]})
+    assert [(m["category"], m["start"], m["end"]) for m in one(spark, equal)] == [("x", 2, 9), ("z", 15, 22)]
+    shared = relations.mentions(F.lit("cup cups"), ["b", "a"], {"a": ["cup"], "b": ["cup"]})
+    assert [(m["category"], m["alias"]) for m in one(spark, shared)] == [("b", "cup")]
 
 
 def test_caption_scores_and_units(spark):
@@ -107,6 +111,10 @@ BOXES = [
     ("[0.1, 0.2, 0.5, 0.6]", [10, 20, 50, 60], "auto_xyxy"),
     ("[50, 60, 20, 10]", [50, 60, 70, 70], "auto_xywh"),
     ("not found", None, "not_found"),
+    ('{"bbox_2d": [0.1, 0.2, 0.5, 0.6], "label": "x"}', [10, 20, 50, 60], "json_bbox"),
+    ('{"bbox": ["a", 2, 3, 4]} (1, 2) (3, 9)', [1, 2, 3, 9], "paren_bbox"),
+    ("<answer> None </answer>", None, "not_found"),
+    ("x 4, y 5, to 40 by 50", [4, 5, 40, 50], "auto_xyxy"),
     ("a cat", None, "no_bbox"),
     (None, None, "no_bbox"),
 ]
@@ -126,6 +134,9 @@ def test_readers(spark):
     d = parsing.described('{"description": "a cat", "exists": "yes", "bbox": [1,2,3,4]"}', 100, 100)
     assert d["parse_valid"] and d["pred_bbox_xyxy"] == [1, 2, 3, 4]
     assert parsing.described('{"description": "a", "exists": "no", "bbox": "not found"} tail', 9, 9)["parse_valid"]
+    o = parsing.lenient_object
+    assert o('see ```json\n[1, {"a": 1}]\n``` and {"b": 2}') == {"a": 1} and o("[1, 2]") is None and o("{") is None and o("") is None
+    assert o('so {"a": {"b": 1}} there') == {"a": {"b": 1}}
     assert parsing.described('{"description": "a", "exists": "no", "bbox": [1,2,3,4]}', 9, 9)["parse_method"] == "inconsistent_exists_bbox"
     k = parsing.captioned('{"exists": "no", "bbox": "not found", "description": "d"}', 9, 9)
     assert (k["pred_exists"], k["pred_found"], k["generated_description"]) == (False, False, "d")
