@@ -147,6 +147,12 @@ def detector_quality(spark, sf_dir):
     return rounded(evaluation.detector_metrics(box_rows(spark, sf_dir).withColumn("proposals", both), "gt", "proposals"))
 
 
+@query("SELECT round(median(c_acctbal / (c_custkey % 4 + 1)), 9) AS warm_latency FROM customer WHERE c_custkey > (SELECT min(c_custkey) FROM customer)")
+def warm_latency(spark, sf_dir):
+    batches = table(spark, sf_dir, "customer").withColumn("size", F.col("c_custkey") % 4 + 1)
+    return rounded(evaluation.warm_latency(batches, "c_custkey", "c_acctbal", "size"))
+
+
 @query(
     """SELECT user_id, [c for c in [CASE WHEN min(event_type) <> max(event_type) THEN 'event_type' END, CASE WHEN min(value) <> max(value) OR (count(value) > 0 AND count(value) < count(*)) THEN 'value' END] if c IS NOT NULL]::VARCHAR AS columns
 FROM events GROUP BY 1 HAVING min(event_type) <> max(event_type) OR min(value) <> max(value) OR (count(value) > 0 AND count(value) < count(*))"""

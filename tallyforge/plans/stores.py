@@ -58,7 +58,18 @@ def appended_log(spark, sf_dir):
     path, r = folder(spark, "log"), table(spark, sf_dir, "region").select("r_regionkey").coalesce(1).sortWithinPartitions("r_regionkey")
     for part in ("r_regionkey < 3", "r_regionkey >= 3"):
         files.append_json_lines(r.where(part), path)
-    return files.read_log(spark, path, "r_regionkey int").select("r_regionkey", F.col("position.line").cast("int").alias("line"))
+    ordered = files.read_log(spark, path, "r_regionkey int")
+    lines = files.numbered_lines(spark, path).select(F.from_json("value", "r_regionkey int")["r_regionkey"].alias("r_regionkey"), F.col("line").cast("int").alias("line"))
+    return lines.join(ordered.select("r_regionkey"), "r_regionkey")
+
+
+@query("SELECT c_custkey + 1 AS line FROM customer WHERE c_nationkey = 7")
+def broken_lines(spark, sf_dir):
+    """The numbers of the lines of one file that hold no object."""
+    path = folder(spark, "broken")
+    line = F.when(F.col("c_nationkey") == 7, F.lit("[1]")).otherwise(F.to_json(F.struct("c_custkey", "c_name")))
+    table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1).select(line.alias("value")).write.text(path)
+    return files.broken_lines(spark, path).select("line")
 
 
 @query("SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, round(c_acctbal / 2, 6) AS half FROM customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -18,14 +19,50 @@ def read_wrapped(spark: SparkSession, path: str, schema: T.StructType, field: st
     return spark.read.schema(outer).option("multiLine", True).json(path).select(F.inline(field))
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines with ``position``: file name, then line, the order that latest-wins needs.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value) of each line that is not blank; ``position`` sorts by file, then by line.
+
+    Files are read split by split, and a line's place is its split's and its number there,
+    so no task needs a file as a whole.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return scan.select(place.alias("position"), "value").where(F.length(F.btrim("value", F.lit(" \t\r"))) > 0)
 
-    A file is one row until it is split, so logs of moderate files are expected.
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of each line that is not blank; ``line`` counts all lines of the file from 0.
+
+    The lines of each split are counted first, and the few counts added up; that reads the
+    files twice. Use ``read_lines`` where the order is enough.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = whole.where(F.length(F.trim("value")) > 0)
-    return rows.select(F.struct("file", "line").alias("position"), F.from_json("value", schema).alias("r")).select("position", "r.*")
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    out = lines.where(F.length(F.btrim("value", F.lit(" \t\r"))) > 0).join(splits, ["file", "block"])
+    return out.select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that hold no JSON object; ``line`` counts from 1."""
+    parsed = F.try_parse_json("value")
+    whole = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    return numbered_lines(spark, path).where(~whole).select("file", (F.col("line") + 1).alias("line"), "value")
+
+
+def checked_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines whose every line is an object; else an error that names the first broken line."""
+    first = broken_lines(spark, path).orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}:{first[0]['line']}: no JSON object")
+    return read_json_lines(spark, path, schema)
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines with ``position``: file, then line, the order that latest-wins needs."""
+    return read_lines(spark, path).select("position", F.from_json("value", schema).alias("r")).select("position", "r.*")
 
 
 def read_table_csv(spark: SparkSession, path: str, boxes: tuple[str, ...] = (), **casts: str) -> DataFrame:

@@ -47,3 +47,29 @@ def test_tail_keeps_the_latest(spark, tmp_path):
         tail.follow(spark, str(folder), schema, ["k"], "pos", str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(60)
     last = spark.read.schema(schema).parquet(str(tmp_path / "state" / "epoch=1"))
     assert [tuple(r) for r in last.select("k", F.col("pos")).collect()] == [(1, 2)]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for name, n in (("b.jsonl", 300), ("a.jsonl", 200)):
+        (folder / name).write_text("".join("\n" if i % 7 == 3 else f'{{"f":"{name}","i":{i}}}\n' for i in range(n)))
+    wanted = [(name, i) for name, n in (("a.jsonl", 200), ("b.jsonl", 300)) for i in range(n) if i % 7 != 3]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert files.read_lines(spark, str(folder)).rdd.getNumPartitions() > 2
+        rows = files.numbered_lines(spark, str(folder)).select(F.from_json("value", "f string, i int").alias("r"), "line").orderBy("r.f", "line").collect()
+        assert [(r["r"]["f"], r["r"]["i"]) for r in rows] == wanted and all(r["r"]["i"] == r["line"] for r in rows)
+        assert [tuple(r) for r in files.read_log(spark, str(folder), "f string, i int").orderBy("position").select("f", "i").collect()] == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_checked_lines_name_the_first_broken_one(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"a":1}\n\n{"a":2}\n[3]\nbroken\n')
+    with pytest.raises(ValueError, match="x.jsonl:4: no JSON object"):
+        files.checked_json_lines(spark, str(path), "a int")
+    path.write_text('{"a":1}\n\n{"a":2}\n')
+    assert [r["a"] for r in files.checked_json_lines(spark, str(path), "a int").collect()] == [1, 2]
