@@ -1,6 +1,7 @@
 """An extension: follow a folder of log files and keep the latest row of each key.
 
-Order is arrival order, as in the batch rules, so there is no watermark.
+Order is arrival order, as in the batch rules, so there is no watermark. A batch writes
+only its own keys' latest rows; ``current`` takes the latest over all batches.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from ..operators.logs import latest
 
 
 def follow(spark: SparkSession, folder: str, schema: T.StructType, key: list[str], position: str, state: str, checkpoint: str):
-    """Start a query that keeps the current rows as Parquet versions under ``state``."""
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        try:
-            before = spark.read.schema(batch.schema).parquet(f"{state}/epoch={epoch - 1}") if epoch else None
-        except Exception as e:  # only a version that isn't there
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = None
-        rows = batch if before is None else before.unionByName(batch)
-        latest(rows, key, position).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-
-    return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start a query that adds each batch's latest rows as ``epoch=n`` under ``state``; a repeated batch replaces itself."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        latest(batch, key, position).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, schema: T.StructType, key: list[str], position: str, state: str) -> DataFrame:
+    """The latest row of each key over all batches."""
+    return latest(spark.read.schema(schema).parquet(state), key, position)
+
+
+def compacted(spark: SparkSession, schema: T.StructType, key: list[str], position: str, state: str, into: str) -> None:
+    """Write the current rows as the only epoch of a new state folder, while no query follows."""
+    current(spark, schema, key, position, state).write.mode("errorifexists").parquet(f"{into}/epoch=-1")

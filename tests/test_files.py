@@ -39,14 +39,17 @@ def test_log_positions_csv_and_digest(spark, tmp_path):
 
 
 def test_tail_keeps_the_latest(spark, tmp_path):
-    folder = tmp_path / "in"
+    folder, state = tmp_path / "in", str(tmp_path / "state")
     folder.mkdir()
     schema = spark.createDataFrame([], "k int, pos int").schema
-    for n, line in enumerate(['{"k":1,"pos":1}', '{"k":1,"pos":2}']):
+    for n, line in enumerate(['{"k":1,"pos":1}\n{"k":2,"pos":1}', '{"k":1,"pos":2}']):
         (folder / f"{n}.json").write_text(line + "\n")
-        tail.follow(spark, str(folder), schema, ["k"], "pos", str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(60)
-    last = spark.read.schema(schema).parquet(str(tmp_path / "state" / "epoch=1"))
-    assert [tuple(r) for r in last.select("k", F.col("pos")).collect()] == [(1, 2)]
+        tail.follow(spark, str(folder), schema, ["k"], "pos", state, str(tmp_path / "check")).awaitTermination(60)
+    assert spark.read.schema(schema).parquet(f"{state}/epoch=1").count() == 1  # a batch writes its own keys only
+    wanted = [(1, 2), (2, 1)]
+    assert sorted(tuple(r) for r in tail.current(spark, schema, ["k"], "pos", state).select("k", "pos").collect()) == wanted
+    tail.compacted(spark, schema, ["k"], "pos", state, str(tmp_path / "less"))
+    assert sorted(tuple(r) for r in tail.current(spark, schema, ["k"], "pos", str(tmp_path / "less")).select("k", "pos").collect()) == wanted
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):
