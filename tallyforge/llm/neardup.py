@@ -45,8 +45,8 @@ REGISTERS = BANDS * ROWS
 LEAST = 57
 #: Texts, and bytes of texts, on either side of a block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
-#: Members that meet one copy of a leader; leaders of more are copied. Tables of at most
-#: ``BROADCAST_ROWS`` such leaders are broadcast if they are small.
+#: Members that meet one copy of a leader; of leaders with more, at most ``BROADCAST_ROWS``
+#: are copied.
 GROUP_ROWS, BROADCAST_ROWS = 512, 100_000
 SKETCH = "struct<bands:array<bigint>,registers:binary>"
 
@@ -206,20 +206,28 @@ def text_node(text: F.Column) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def meet(rows: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``rows`` (leader, node, ...) joined with ``leaders`` (leader, ...), a large group in parts.
+def crowds(members: DataFrame) -> DataFrame:
+    """(leader, parts) of the leaders with more than ``GROUP_ROWS`` of ``members``, to be broadcast.
 
-    The rows of a leader with more than ``GROUP_ROWS`` of ``members`` are dealt by hash to
-    parts of about that number, each with a copy of the leader, so no task gets a group whole.
+    Where more than ``BROADCAST_ROWS`` leaders have as many, the largest of them are given,
+    down to a power of two. Of a leader left out there are then more than ``BROADCAST_ROWS``
+    with half as many members at least, so it has less than two in ``BROADCAST_ROWS`` of all rows.
+    """
+    counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+    counts = common.stored(counts, "crowds")
+    return F.broadcast(counts.where(F.col("n") >= common.floor_of(counts, BROADCAST_ROWS)).select("leader", F.ceil(F.col("n") / GROUP_ROWS).alias("parts")))
+
+
+def meet(rows: DataFrame, crowded: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``rows`` (leader, node, ...) joined with ``leaders`` (leader, ...), a crowded one in parts.
+
+    The rows of a leader in ``crowded`` are dealt by hash to its parts, each with a copy of
+    the leader, so no task gets a group whole.
     """
-    large = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
-    large = common.stored(large.select("leader", F.ceil(F.col("n") / GROUP_ROWS).alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
-    few = common.small(large, BROADCAST_ROWS)
-    rows = rows.join(few, "leader", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).drop("parts")
-    leaders = leaders.join(members.select("leader").distinct(), "leader", "left_semi").join(few, "leader", "left")
-    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    return rows.join(leaders, ["leader", "part"])
+    rows = rows.join(crowded, "leader", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).drop("parts")
+    leaders = leaders.join(crowded, "leader", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return rows.join(leaders, ["leader", "part"]).drop("part")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,23 +260,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = Window.partitionBy("node").orderBy(F.lit(0))
     held = common.stored(held.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i"), "texts")
 
+    crowded = crowds(members)
+    leading = lambda of, column, rows: of.select(F.col("node").alias("leader"), F.col(column).alias("other")).join(rows.select("leader").distinct(), "leader", "left_semi")
     registers = filled.select("node", "registers")
-    stars = meet(members.where("node <> leader").join(registers, "node"), members, registers.select(F.col("node").alias("leader"), F.col("registers").alias("other")))
+    stars = meet(members.where("node <> leader").join(registers, "node"), crowded, leading(registers, "registers", members))
     stars = common.stored(stars.where(agreement("registers", "other") >= LEAST).select("leader", "node"), "stars")
-    pairs = meet(stars.join(held, "node"), stars, held.select(F.col("node").alias("leader"), F.col("text").alias("other")))
+    pairs = meet(stars.join(held, "node"), crowded, leading(held, "text", stars))
     links = common.stored(pairs.where(jaccard("text", "other") >= THRESHOLD).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
     roots = components(links)
 
     placed = members.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
     heads = placed.where("node = leader").select("leader", F.col("root").alias("head"))
-    placed = common.stored(placed.join(heads, "leader").withColumn("apart", F.col("root") != F.col("head")), "placed")
+    placed = common.stored(meet(placed, crowded, heads).withColumn("apart", F.col("root") != F.col("head")), "placed")
     sizes = held.select("node", F.octet_length("text").cast("long").alias("size"))
     groups = placed.join(sizes, "node").groupBy("leader").agg(
         F.sum(F.col("apart").cast("long")).alias("m"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("m_size"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_size")
     ).where("m > 0")
     chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_BYTES))
     groups = groups.select("leader", chunks("m", "m_size").alias("m_chunks"), chunks("n", "n_size").alias("n_chunks"))
-    rest = placed.join(groups, "leader").select("*", F.xxhash64("node").alias("h"))
+    rest = meet(placed, crowded, groups).select("*", F.xxhash64("node").alias("h"))
     seeks = rest.where("apart").select("leader", F.pmod("h", "m_chunks").alias("x"), F.explode(F.expr("sequence(0, n_chunks - 1)")).alias("y"), F.lit(True).alias("seeks"), "node", "root")
     sought = rest.select("leader", F.explode(F.expr("sequence(0, m_chunks - 1)")).alias("x"), F.pmod("h", "n_chunks").alias("y"), F.lit(False).alias("seeks"), "node", "root")
     blocks = seeks.union(sought).join(held, "node").select(F.struct("leader", "x", "y").alias("block"), "seeks", "node", "root", "text")

@@ -220,7 +220,10 @@ def plain_classes(texts):
     return {frozenset(v) for v in out.values()}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("group_rows,most", [(512, 100_000), (4, 100_000), (4, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, group_rows, most):
+    monkeypatch.setattr(neardup, "GROUP_ROWS", group_rows)  # groups whole, in parts, and without a table of the crowded
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", most)
     rng = np.random.default_rng(3)
     texts = [None, "", "a", "a b", "A b", "one two three four", "one two three four", LONG, LONG + " end"]
     for n in (40, 80, 200):
