@@ -10,11 +10,12 @@ from .neardup import op7_near_duplicates
 from .quality import op2_quality
 from .secrets import op4_secrets
 from .sharding import op1_sharding
+from .spelling import op11_spelling
 from .tokencount import op5_tokens
 from .urlfilter import op10_urls
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_quality, op3_decontamination, op4_secrets, op5_tokens, op6_mixing, op7_near_duplicates, op8_line_dedup, op9_media, op10_urls)
+    for f in (op1_sharding, op2_quality, op3_decontamination, op4_secrets, op5_tokens, op6_mixing, op7_near_duplicates, op8_line_dedup, op9_media, op10_urls, op11_spelling)
 }
 ORACLES = {"op8_line_dedup": OP8_SQL}
