@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .decontaminate import op3_decontamination
 from .linededup import OP8_SQL, op8_line_dedup
 from .media import op9_media
@@ -16,6 +17,6 @@ from .urlfilter import op10_urls
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_quality, op3_decontamination, op4_secrets, op5_tokens, op6_mixing, op7_near_duplicates, op8_line_dedup, op9_media, op10_urls, op11_spelling)
+    for f in (op1_sharding, op2_quality, op3_decontamination, op4_secrets, op5_tokens, op6_mixing, op7_near_duplicates, op8_line_dedup, op9_media, op10_urls, op11_spelling, op13_alignment)
 }
 ORACLES = {"op8_line_dedup": OP8_SQL}
