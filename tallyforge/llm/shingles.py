@@ -25,22 +25,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (split at white space, A-Z lower-cased) and its text's index."""
+def words_of(values: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word (split at white space), its text's index, and its start and end.
+
+    ``fold`` lower-cases A-Z. Places count through all texts with a space after each.
+    """
     data = np.frombuffer(b" ".join([*values, b""]), np.uint8)
     ends_of = np.cumsum([len(v) + 1 for v in values]) if values else np.zeros(0, np.int64)
     inner = ~_SPACE[data]
     edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts, ends
     lengths = ends - starts
     longest = int(lengths.max())
     powers = np.cumprod(np.full(longest, _P, np.uint64))
     chars = np.flatnonzero(inner)
     offsets = np.cumsum(lengths) - lengths
-    terms = (_LOWER[data[chars]] + np.uint64(1)) * powers[chars - np.repeat(starts, lengths)]
-    return mixed(np.add.reduceat(terms, offsets)), np.searchsorted(ends_of, starts, "right")
+    codes = _LOWER[data[chars]] if fold else data[chars].astype(np.uint64)
+    terms = (codes + np.uint64(1)) * powers[chars - np.repeat(starts, lengths)]
+    return mixed(np.add.reduceat(terms, offsets)), np.searchsorted(ends_of, starts, "right"), starts, ends
+
+
+def word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (A-Z lower-cased) and its text's index."""
+    return words_of(values)[:2]
 
 
 def shingles(values: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
