@@ -24,27 +24,10 @@ def assert_clean(df: DataFrame) -> DataFrame:
     return df.drop("violations")
 
 
-def competitors(df: DataFrame, group: list[str], key: str, hardness: Column, keep: int, admissible: Column) -> DataFrame:
-    """For each target its ``keep`` hardest admissible others of the group, and how many there were.
-
-    ``hardness`` and ``admissible`` are written over aliases ``t`` (target) and ``o`` (other).
-    """
-    pairs = df.alias("t").join(df.alias("o"), group).where((F.col(f"t.{key}") != F.col(f"o.{key}")) & admissible)
-    pairs = pairs.select(F.col(f"t.{key}").alias("target"), F.col(f"o.{key}").alias("other"), hardness.alias("hardness"))
-    w = Window.partitionBy("target").orderBy(F.desc("hardness"), "other")
-    return pairs.withColumn("rank", F.row_number().over(w)).withColumn("available", F.count(F.lit(1)).over(Window.partitionBy("target"))).where(F.col("rank") <= keep)
-
-
 def group_size_without_self(group: list[str]) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(*group)) - 1
 
 
-def best_match(df: DataFrame, others: DataFrame, group: list[str], key: str, score: Column, other_key: str) -> DataFrame:
-    """The other of greatest positive score for each row; the least key of equal ones."""
-    pairs = df.join(others, group).withColumn("_score", score).where("_score > 0")
-    return pairs.groupBy(key).agg(F.max_by(F.struct(F.col(other_key), F.col("_score").alias("score")), F.struct("_score", -F.col(other_key))).alias("m")).select(key, f"m.{other_key}", "m.score")
-
-
 def nearest_value(df: DataFrame, others: DataFrame, group: list[str], key: str, value: str, other_key: str, other_value: str) -> DataFrame:
     """(key, other_key, distance): the other of the group whose number is nearest; the least key of equal ones.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import bucketed
+
 Z = 1.96
 
 
@@ -81,49 +85,46 @@ def with_gaps(means: DataFrame) -> DataFrame:
     )
 
 
-#: Steps of a bucket's edge for each factor of e, so a bucket holds 1/16,384 of evenly spread numbers at most.
-FINE = 16_384
-
-
-def order_bucket(value: Column) -> Column:
-    """A whole number that never falls where ``value`` rises; its steps are relative to the value's size."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value) * 65_536) * FINE).cast("double")).cast("long")
-
-
 def sums_above(steps: DataFrame, position: str, sums: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Replace each of ``sums`` by its total over the rows of greater ``position``.
 
-    Rows are cut into buckets of position by a formula, so no task sorts all of them and no
-    job looks for the cuts: sums of whole buckets are added first, then the rows within a
-    bucket. There are some 200,000 buckets a group at most, whatever the number of rows.
+    Rows are cut into ranges of position that hold few (see ``ranks.bucketed``, which counts
+    them first), so no task sorts all of them: sums of whole ranges are added, then the
+    rows within a range. Rows of a null position are above none and below all.
     """
-    parts = steps.withColumn("_b", order_bucket(F.col(position).cast("double")))
+    parts = bucketed(steps, by, position)
     later = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = parts.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     whole = whole.select(*by, "_b", *[F.coalesce(F.sum(f"_{c}").over(later), F.lit(0)).alias(f"_{c}") for c in sums])
     above = Window.partitionBy(*by, "_b").orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     within = parts.withColumns({c: F.coalesce(F.sum(c).over(above), F.lit(0)) for c in sums})
-    out = within.join(whole, [*by, "_b"])
+    mark = {c: f"_g{k}" for k, c in enumerate([*by, "_b"])}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(m)) for c, m in mark.items()])
+    out = within.join(whole.withColumnsRenamed(mark), same)
     return out.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else F.col(c) for c in steps.columns])
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles (name: share) of each group, linear between neighbours at ``(n - 1) * share``.
 
-    Values are counted in buckets first; only the buckets that hold a wanted rank are put
-    in order, so no task holds all values of a group. Null values are left out.
+    Equal values are counted first, then the ranges of values that ``ranks.bucketed`` finds;
+    only the ranges that hold a wanted rank are put in order, so no task holds all values of
+    a group. Null values, and groups of a null key, are left out.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_b", order_bucket(F.col("_v")))
-    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = bucketed(rows, by, "_v")
+    counts = rows.groupBy(*by, "_b").agg(F.sum("_n").alias("_c"))
     before, whole = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    counts = counts.withColumns({"_s": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(whole)})
+    counts = counts.withColumns({"_s": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_all": F.sum("_c").over(whole)})
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in shares.items()])
-    at = counts.withColumn("w", F.explode(wanted)).withColumn("_at", (F.col("_n") - 1) * F.col("w.p"))
+    at = counts.withColumn("w", F.explode(wanted)).withColumn("_at", (F.col("_all") - 1) * F.col("w.p"))
     at = at.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).where((F.col("_s") <= F.col("_r")) & (F.col("_r") < F.col("_s") + F.col("_c")))
-    at = at.select(*by, "_b", "w.name", "_at", "_r", (F.col("_r") - F.col("_s") + 1).alias("_k"))
+    at = at.select(*by, "_b", "w.name", "_at", "_r", (F.col("_r") - F.col("_s")).alias("_k"))
     held = rows.join(at.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-    ranked = held.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_v")).cast("long"))
-    found = at.join(ranked, [*by, "_b", "_k"]).groupBy(*by, "name", "_at").agg(F.min_by("_v", "_r").alias("low"), F.max_by("_v", "_r").alias("high"))
+    upto = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("_end", F.sum("_n").over(upto))
+    found = at.join(ranked, [*by, "_b"]).where((F.col("_end") - F.col("_n") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
+    found = found.groupBy(*by, "name", "_at").agg(F.min_by("_v", "_r").alias("low"), F.max_by("_v", "_r").alias("high"))
     found = found.withColumn("x", F.col("low") + (F.col("high") - F.col("low")) * (F.col("_at") - F.floor("_at")))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in shares])
 

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .metrics import order_bucket
-
 from ..functions.hashing import digest
+from .ranks import bucketed
 
 
 def best_of(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -40,10 +39,11 @@ def assert_full(df: DataFrame, by: list[str], n: int) -> DataFrame:
 def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Shard by position in ``order``.
 
-    Positions come from counts of ranges of rows, so no task sorts all: rows are placed in
-    buckets by a formula of ``order`` (a number), and ranks start at the count before.
+    Positions come from counts of ranges of rows, so no task sorts all: ``ranks.bucketed``
+    finds ranges of ``order`` (a number without nulls) that hold few, and ranks start at
+    the count before. Rows of equal ``order`` follow each other in any order.
     """
-    rows = df.withColumn("_b", order_bucket(F.col(order).cast("double")))
+    rows = bucketed(df, (), order)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
     at = F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1

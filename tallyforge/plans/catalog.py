@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import hashing, text
-from ..operators import decisions, isolation, joins, logs, metrics
+from ..operators import boxes, decisions, isolation, joins, logs, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -318,15 +318,84 @@ def checked_enrichment(spark, sf_dir):
     return out.groupBy("n_name").agg(F.count(F.lit(1)).alias("lines"), has("missing_order").alias("missing_order"), has("missing_customer").alias("missing_customer"))
 
 
+def placed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes in an image of 980 by 900, one image a supplier and category a flag; line 6 is a crowd, line 7 has no box."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y = (F.col("l_partkey") % 97 * 10).cast("double"), (F.col("l_orderkey") % 89 * 10).cast("double")
+    box = F.array(x, y, x + 5 + F.col("l_quantity") / 2, y + 5 + 100 * F.col("l_tax") + 200 * F.col("l_discount"))
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    return li.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("category"), line.alias("line"), "l_linenumber", F.when(F.col("l_linenumber") != 7, box).alias("box"))
+
+
+_PLACED = """
+WITH b AS (
+  SELECT l_suppkey AS image, l_returnflag AS category, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS line, l_linenumber, CAST(l_partkey % 97 * 10 AS DOUBLE) AS x1, CAST(l_orderkey % 89 * 10 AS DOUBLE) AS y1,
+    CAST(l_partkey % 97 * 10 AS DOUBLE) + 5 + l_quantity / 2 AS x2, CAST(l_orderkey % 89 * 10 AS DOUBLE) + 5 + 100 * l_tax + 200 * l_discount AS y2
+  FROM lineitem WHERE l_linenumber <> 7
+)
+"""
+
+
 @query(
-    """WITH p AS (SELECT t.p_partkey AS target, o.p_partkey AS other, round(1 / (1 + abs(t.p_retailprice - o.p_retailprice)), 9) AS hardness
-FROM part t JOIN part o USING (p_brand, p_size) WHERE t.p_partkey <> o.p_partkey AND abs(t.p_retailprice - o.p_retailprice) > 1)
-SELECT target, other, hardness, CAST(row_number() OVER (PARTITION BY target ORDER BY hardness DESC, other) AS INT) AS rank, count(*) OVER (PARTITION BY target) AS available
-FROM p QUALIFY rank <= 5"""
+    _PLACED
+    + """, p AS (
+  SELECT t.image, t.category, t.line AS target, o.line AS other, greatest(least(t.x2, o.x2) - greatest(t.x1, o.x1), 0.0) * greatest(least(t.y2, o.y2) - greatest(t.y1, o.y1), 0.0) AS shared,
+    (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (o.x2 - o.x1) * (o.y2 - o.y1) AS oa, sqrt(pow((t.x1 + t.x2 - o.x1 - o.x2) / 2, 2) + pow((t.y1 + t.y2 - o.y1 - o.y2) / 2, 2)) AS away
+  FROM b t JOIN b o USING (image, category) WHERE t.line <> o.line AND o.l_linenumber <> 6
+), h AS (
+  SELECT image, category, target, other, shared / (ta + oa - shared) AS iou, round(0.6 * exp(-abs(ln(oa / ta))) + 0.4 * greatest(0.0, 1 - away / sqrt(980.0 * 980 + 900 * 900)), 9) AS hardness FROM p
+)
+SELECT image, category, target, other, round(iou, 9) AS iou, hardness, CAST(row_number() OVER (PARTITION BY image, category, target ORDER BY hardness DESC, other) AS INT) AS rank, count(*) OVER (PARTITION BY image, category, target) AS available
+FROM h WHERE iou < 0.3 QUALIFY rank <= 5"""
 )
 def top_competitors(spark, sf_dir):
-    away = F.abs(F.col("t.p_retailprice") - F.col("o.p_retailprice"))
-    return joins.competitors(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), ["p_brand", "p_size"], "p_partkey", F.round(1 / (1 + away), 9), 5, away > 1)
+    """The five hardest other boxes of a box's image and category, crowds and overlaps of 0.3 left out."""
+    found = boxes.competitors(placed_boxes(spark, sf_dir), ["image", "category"], "line", "box", 980, 900, 5, 0.3, F.col("l_linenumber") == 6)
+    return rounded(found)
+
+
+@query(
+    _PLACED
+    + """, p AS (
+  SELECT image, t.line, o.line AS other, greatest(least(t.x2, o.x2) - greatest(t.x1, o.x1), 0.0) * greatest(least(t.y2, o.y2) - greatest(t.y1, o.y1), 0.0) AS shared,
+    (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (o.x2 - o.x1) * (o.y2 - o.y1) AS oa
+  FROM b t JOIN b o USING (image) WHERE t.l_linenumber % 2 = 1 AND o.l_linenumber % 2 = 0
+), u AS (SELECT image, line, other, shared / (ta + oa - shared) AS iou FROM p WHERE shared > 0)
+SELECT line, other, round(iou, 9) AS iou FROM u QUALIFY row_number() OVER (PARTITION BY image, line ORDER BY iou DESC, other) = 1"""
+)
+def best_annotations(spark, sf_dir):
+    """For each box of an odd line the box of an even line of its image that it overlaps most."""
+    b = placed_boxes(spark, sf_dir)
+    odd = F.col("l_linenumber") % 2 == 1
+    others = b.where(~odd).select("image", F.col("line").alias("other"), F.col("box").alias("other_box"))
+    return rounded(boxes.best_match(b.where(odd).select("image", "line", "box"), others, ["image"], "line", "box", "other", "other_box"))
+
+
+@query(
+    _PLACED
+    + """SELECT image, count(*) AS pairs, round(sum(shared / (ta + oa - shared)), 6) AS total FROM (
+  SELECT t.image, greatest(least(t.x2, o.x2) - greatest(t.x1, o.x1), 0.0) * greatest(least(t.y2, o.y2) - greatest(t.y1, o.y1), 0.0) AS shared, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (o.x2 - o.x1) * (o.y2 - o.y1) AS oa
+  FROM b t JOIN b o USING (image) WHERE t.category = 'R' AND o.category = 'A') WHERE shared > 0 GROUP BY 1"""
+)
+def overlapping_boxes(spark, sf_dir):
+    """Pairs of boxes of two categories that share an area, and the sum of their overlaps, by image."""
+    b = placed_boxes(spark, sf_dir)
+    side = lambda flag, name: b.where(F.col("category") == flag).select("image", F.col("box").alias(name))
+    pairs = boxes.overlapping(side("R", "p"), side("A", "q"), ["image"], "p", "q")
+    return pairs.groupBy("image").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("iou"), 6).alias("total"))
+
+
+@query(
+    """WITH t AS (SELECT CAST(epoch_us(o_orderdate::TIMESTAMP) AS BIGINT) * 1000 + o_orderkey AS place, o_totalprice, o_orderstatus FROM orders)
+SELECT o_orderstatus, count(*) AS n, round(quantile_cont(place, 0.5), 0) AS middle, round(quantile_cont(o_totalprice, 0.01), 9) AS low_price, round(quantile_cont(o_totalprice, 0.999), 9) AS high_price FROM t GROUP BY 1"""
+)
+def wide_percentiles(spark, sf_dir):
+    """Percentiles of large whole numbers that differ in their last digits only, and of prices."""
+    o = table(spark, sf_dir, "orders")
+    o = o.select("o_orderstatus", "o_totalprice", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000 + F.col("o_orderkey")).alias("place"))
+    middle = metrics.exact_percentiles(o, ["o_orderstatus"], "place", {"middle": 0.5}).withColumn("middle", F.round("middle", 0))
+    prices = metrics.exact_percentiles(o, ["o_orderstatus"], "o_totalprice", {"low_price": 0.01, "high_price": 0.999})
+    return rounded(o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).join(middle, "o_orderstatus").join(prices, "o_orderstatus"))
 
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS others FROM part")

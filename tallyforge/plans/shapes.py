@@ -454,17 +454,6 @@ def caption_cosine(spark, sf_dir):
     return rounded(c.select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.cosine", "s.penalised", "s.positive_cover", "s.negative_overlap"))
 
 
-@query(
-    """WITH c AS (SELECT o_orderkey, l_linenumber, o_custkey, s_nationkey, l_tax AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_tax > 0)
-SELECT o_orderkey, arg_max(l_linenumber, (score, -l_linenumber)) AS l_linenumber, round(max(score), 9) AS score FROM c GROUP BY 1"""
-)
-def best_annotations(spark, sf_dir):
-    """The line of greatest positive score of each order; the least line of equal ones."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("image"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), "l_linenumber", "l_tax")
-    return rounded(joins.best_match(o, lines, ["image"], "o_orderkey", F.col("l_tax"), "l_linenumber"))
-
-
 _CATEGORIES = ("dog", "hot dog", "cat", "person")
 
 
