@@ -312,7 +312,12 @@ def test_decontamination_equals_brute_force(spark):
     repeated = decontaminate.with_hits(docs.union(docs), bench, block_bytes=6000).groupBy("doc_id").count().collect()
     assert {r["count"] for r in repeated} == {2}
     assert decontaminate.with_hits(empty(spark), bench.limit(0)).count() == 0
-    assert decontaminate.with_hits(docs, spark.createDataFrame([(1, "a"), (2, "cat")], "item_id long, text string")).where("size(hits_) > 0").count() == 0
+    # items without an edit to spare are found as they are
+    short = decontaminate.with_hits(docs.union(spark.createDataFrame([(999, "well the answer is 42 ok", "h")], docs.schema)), spark.createDataFrame([(1, "the answer is 42"), (2, "cat"), (3, " \n")], "item_id long, text string")).collect()
+    edged = lambda item, t: re.search(rf"(?<!\w){item}(?!\w)", decontaminate.plain(t).replace("_", " "))
+    for r in short:
+        assert [h["item_id"] for h in r["hits_"]] == [n for n, item in ((1, "the answer is 42"), (2, "cat")) if edged(item, r["text"])]
+    assert [h["item_id"] for r in short if r["doc_id"] == 999 for h in r["hits_"]] == [1]
 
 
 def test_decontamination_at_word_edges():
