@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A failing match of these is a whole run and cannot hide another, so the length is asked for here.
+ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Characters that a candidate may hold; the first 16 are the hexadecimal class.
@@ -79,31 +81,38 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), common.bound(common.bound(pairs, runs), joined)).otherwise(F.array().cast(SPANS))
 
 
-def without_spans(text: Column, spans: Column) -> Column:
-    """``text`` with blanks for the characters of ``spans`` (s, e), which are in order of ``s``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def without(text: Column, pattern: str, holds=None) -> Column:
+    """``text`` with blanks for the characters of the pattern's matches (those that ``holds`` accepts).
 
-    def step(state, x):
-        begin = F.greatest(state["at"], x["s"])
-        kept = F.substring(text, state["at"] + 1, begin - state["at"])
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], F.array(F.concat(kept, F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - begin))))).alias("out"))
+    The pieces between the matches are put together again, so no place is looked up.
+    """
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    def blanked(piece, found):
+        blank = F.repeat(F.lit(" "), F.length(found))
+        return F.concat(piece, F.when(F.coalesce(holds(found), F.lit(False)), blank).otherwise(found) if holds else blank)
 
+    def joined(pieces):
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), found, blanked), ""), F.element_at(pieces, -1))
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """The matches of each base kind that hold.
+    return F.when(text.rlike(pattern), common.bound(F.split(text, pattern, -1), joined)).otherwise(text)
 
-    For ``access`` and ``hex`` a failing match is a whole run and cannot hide another,
-    so the length is asked for in the pattern.
-    """
-    value = lambda x: F.regexp_extract(x["m"], "^" + ASSIGN, 2)
-    return {
-        "assign": F.filter(matches(text, ASSIGN), lambda x: F.length(value(x)) >= 12),
-        "access": matches(text, "AKIA[A-Z0-9]{14,}"),
-        "hex": matches(text, "[0-9a-f]{16,}"),
-    }
+
+def without_base(text: Column) -> Column:
+    """``text`` with blanks for what the base kinds match, one kind after the other."""
+    text = common.bound(text, lambda t: without(t, ASSIGN, assigned))
+    text = common.bound(text, lambda t: without(t, ACCESS))
+    return common.bound(text, lambda t: without(t, HEX))
+
+
+def assigned(match: Column) -> Column:
+    """Whether the value of a match of ``ASSIGN`` is long enough."""
+    return F.length(F.regexp_extract(match, "^" + ASSIGN, 2)) >= 12
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """The matches of each base kind that hold."""
+    return {"assign": F.filter(matches(text, ASSIGN), lambda x: assigned(x["m"])), "access": matches(text, ACCESS), "hex": matches(text, HEX)}
 
 
 def window_entropy(word: Column) -> Column:
@@ -139,8 +148,8 @@ def harmless(word: Column) -> Column:
     return out | value.rlike(ALLOWED_WORDS) | path
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates with a window that reaches its class's limit, outside the ``base`` spans."""
+def entropy_spans(text: Column) -> Column:
+    """Candidates with a window that reaches its class's limit, where the base kinds match nothing."""
     both = lambda word: word.rlike("[0-9]") & word.rlike("[A-Za-z]")
 
     def hex_run(word):
@@ -150,7 +159,7 @@ def entropy_spans(text: Column, base: Column) -> Column:
         word = x["m"]
         return F.when(both(word) & ~harmless(word), hex_run(word) | (window_entropy(word) >= LIMITS["mixed"])).otherwise(F.lit(False))
 
-    left = F.when(text.rlike(CANDIDATE), without_spans(text, base)).otherwise(F.lit(""))
+    left = F.when(text.rlike(CANDIDATE), without_base(text)).otherwise(F.lit(""))
     return F.filter(common.bound(left, lambda t: matches(t, CANDIDATE)), holds)
 
 
@@ -167,7 +176,7 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") ->
     base, spare = common.free_name(docs, "base_spans"), common.free_name(docs, "extra_spans")
     tag = lambda spans, k: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     found = docs.withColumn(base, F.sort_array(F.concat(*[tag(spans, k) for k, spans in enumerate(base_spans(whole).values())])))
-    found = found.withColumn(spare, tag(entropy_spans(whole, F.col(base)), len(KINDS) - 1))
+    found = found.withColumn(spare, tag(entropy_spans(whole), len(KINDS) - 1))
     return found.withColumn(name, F.sort_array(F.concat(base, spare))).drop(base, spare)
 
 
