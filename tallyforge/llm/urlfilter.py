@@ -164,7 +164,28 @@ def scores(parts: DataFrame, weights: DataFrame, head: int = HEAD_TOKENS) -> Dat
     return near.union(far).groupBy("part").agg(F.sum("w").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS, head: int = HEAD_TOKENS) -> DataFrame:
+def with_score(page: DataFrame, table: DataFrame, parts: DataFrame, column: str, most: int) -> DataFrame:
+    """``page`` (part, ...) with the score of ``table`` (part, score) as ``column``, null where it has none.
+
+    A table of few rows is broadcast. Of a larger one the scores of its most frequent parts
+    (``parts``: part, n) are, and pages that have found theirs are spread over the tasks of
+    the join with the others, so the pages of one host never meet in one.
+    """
+    scores_of = table.withColumnRenamed("score", column)
+    if table.limit(most + 1).count() <= most:
+        return page.join(common.small(scores_of, most), "part", "left")
+    sized = common.stored(scores_of.join(parts.select("part", "n"), "part"), "sized-scores")
+    floor = common.floor_of(sized, most)
+    often = common.small(common.stored(sized.where(F.col("n") >= floor).select("part", F.col(column).alias("often")), "frequent"), most)
+    rest = sized.where(F.col("n") < floor).select("part", F.col(column).alias("rest"))
+    near = page.join(often, "part", "left")
+    # no part starts with a hyphen
+    key = F.when(F.col("often").isNull(), F.col("part")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    found = near.withColumn("part", key).join(rest, "part", "left")
+    return found.withColumn(column, F.coalesce("often", "rest")).drop("often", "rest")
+
+
+def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS, head: int = HEAD_TOKENS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``pages`` (url, html, ...) with a struct ``judged``: host, path, rule, verdict, score.
 
     Null urls and urls without ``://`` have empty host and path, no rule and the
@@ -198,7 +219,7 @@ def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS, he
 
     page = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), both.alias("u"))
     for column, table, part in (("host_score", host_scores, host_part), ("path_score", path_scores, path_part)):
-        page = page.withColumn("part", part).join(common.small(table.withColumnRenamed("score", column), BROADCAST_ROWS), "part", "left")
+        page = with_score(page.withColumn("part", part), table, parts, column, broadcast_rows)
     # rounded, as the order of a sum is not fixed
     odds = F.round(F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)), 9)
     rule = ruled(F.col("u.host"), F.col("u.path"), rules)
