@@ -191,10 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         # large star: larger neighbours of a node to the least of all its neighbours and itself
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = dealt(both, least, "a", "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a <> b").distinct()
+        small = dealt(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a <> b").distinct()
         now = common.stored(small.select("a", "b"), "edges")
         if (after := mark(now)) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -206,28 +206,33 @@ def text_node(text: F.Column) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def crowds(members: DataFrame) -> DataFrame:
-    """(leader, parts) of the leaders with more than ``GROUP_ROWS`` of ``members``, to be broadcast.
+def crowds(members: DataFrame, key: str = "leader") -> DataFrame:
+    """(key, parts) of the keys with more than ``GROUP_ROWS`` of ``members``, to be broadcast.
 
-    Where more than ``BROADCAST_ROWS`` leaders have as many, the largest of them are given,
-    down to a power of two. Of a leader left out there are then more than ``BROADCAST_ROWS``
+    Where more than ``BROADCAST_ROWS`` keys have as many, the largest of them are given,
+    down to a power of two. Of a key left out there are then more than ``BROADCAST_ROWS``
     with half as many members at least, so it has less than two in ``BROADCAST_ROWS`` of all rows.
     """
-    counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
     counts = common.stored(counts, "crowds")
-    return F.broadcast(counts.where(F.col("n") >= common.floor_of(counts, BROADCAST_ROWS)).select("leader", F.ceil(F.col("n") / GROUP_ROWS).alias("parts")))
+    return F.broadcast(counts.where(F.col("n") >= common.floor_of(counts, BROADCAST_ROWS)).select(key, F.ceil(F.col("n") / GROUP_ROWS).alias("parts")))
 
 
-def meet(rows: DataFrame, crowded: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``rows`` (leader, node, ...) joined with ``leaders`` (leader, ...), a crowded one in parts.
+def meet(rows: DataFrame, crowded: DataFrame, leaders: DataFrame, key: str = "leader", deal: str = "node") -> DataFrame:
+    """``rows`` (key, deal, ...) joined with ``leaders`` (key, ...), a crowded one in parts.
 
-    The rows of a leader in ``crowded`` are dealt by hash to its parts, each with a copy of
-    the leader, so no task gets a group whole.
+    The rows of a key in ``crowded`` are dealt by a hash of ``deal`` to its parts, each with
+    a copy of the leader, so no task gets a group whole.
     """
     parts = F.coalesce("parts", F.lit(1))
-    rows = rows.join(crowded, "leader", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).drop("parts")
-    leaders = leaders.join(crowded, "leader", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    return rows.join(leaders, ["leader", "part"]).drop("part")
+    rows = rows.join(crowded, key, "left").withColumn("part", F.pmod(F.xxhash64(deal), parts)).drop("parts")
+    leaders = leaders.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return rows.join(leaders, [key, "part"]).drop("part")
+
+
+def dealt(rows: DataFrame, leaders: DataFrame, key: str, deal: str) -> DataFrame:
+    """``rows`` joined with ``leaders`` on ``key``; the rows of a frequent key are dealt to parts."""
+    return meet(rows, crowds(rows, key), leaders, key, deal)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,10 +253,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     banded = filled.select("node", F.explode("bands").alias("band"))
     counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = common.stored(banded.join(counts, "band"), "buckets")
+    buckets = common.stored(dealt(banded, counts, "band", "node"), "buckets")
     shares = buckets.groupBy("node").agg(F.sum("n").alias("shares"))
     leaders = buckets.join(shares, "node").groupBy("band").agg(F.max(F.struct("shares", F.xxhash64("node").alias("order"), "node"))["node"].alias("leader"))
-    members = common.stored(buckets.join(leaders, "band").select("leader", "node").distinct(), "members")
+    members = common.stored(dealt(buckets, leaders, "band", "node").select("leader", "node").distinct(), "members")
 
     # the text of each member, once, from the row of its least doc_id
     wanted = members.select("node").distinct().join(nodes, "node")
@@ -290,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     head = classes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("head"))
     classes = common.stored(classes.join(head, "root").select("node", F.col("head.first").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head")), "classes")
-    found = rows.select("doc_id", "node").join(classes, "node")
+    found = dealt(rows.select("doc_id", "node", F.monotonically_increasing_id().alias("row")), classes, "node", "row")
     return found.select("doc_id", "node", "class_id", (F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leader"))
 
 
@@ -303,11 +308,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one of the least doc_id.
 
-    Where a row of it repeats, one of the repeats stays.
+    Of rows with its id and text the one stays whose columns as JSON have the least hash,
+    then come first, so reruns keep the same.
     """
     keep = near_duplicates(docs.select("doc_id", "text")).where("leader").select(F.col("doc_id").alias("i"), F.col("node").alias("n")).distinct()
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     doc = doc.select("doc", F.col("doc.doc_id").alias("id"), text_node(F.col("doc.text")).alias("node"))
     kept = doc.join(keep, (F.col("id").eqNullSafe(F.col("i"))) & (F.col("node") == F.col("n")), "left_semi")
-    one = Window.partitionBy("id", "node").orderBy(F.lit(0))
-    return kept.withColumn("k", F.row_number().over(one)).where("k = 1").select("doc.*")
+    as_json = F.to_json("doc", {"ignoreNullFields": "false"})
+    one = kept.groupBy("id", "node").agg(F.min_by("doc", F.struct(F.xxhash64(as_json).alias("h"), as_json.alias("j"))).alias("doc"))
+    return one.select("doc.*")
