@@ -108,12 +108,14 @@ def competitors(df: DataFrame, group: list[str], key: str, box: str, width: floa
         hard = lambda by: 0.6 * F.exp(-by("s")) + 0.4 * F.greatest(F.lit(0.0), 1 - F.hypot(by("x"), by("y")) / diagonal)
         return F.struct((-hard(farthest)).alias("least"), cell["n"].alias("n"), hard(nearest).alias("up"), cell["_cell"].alias("cell"))
 
-    seen = targets.drop("_cell").join(cells, group).withColumn("_cells", F.array_sort(F.transform("_cells", bounds)))
     # the target itself and others too close may be among those counted, from the hardest cells down
     wanted = F.lit(keep + 1) + F.col("_close")
     down = lambda acc, c: F.struct((acc["n"] + c["n"]).alias("n"), F.when(acc["n"] < wanted, F.when(acc["n"] + c["n"] >= wanted, -c["least"]).otherwise(-1.0)).otherwise(acc["bar"]).alias("bar"))
-    bar = F.aggregate("_cells", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("bar")), down)["bar"]
-    seen = seen.withColumn("_bar", bar).withColumn("_c", F.explode(F.transform(F.filter("_cells", lambda c: c["up"] >= F.col("_bar") - 1e-6), lambda c: c["cell"])))
+    bar = lambda cells: F.aggregate(cells, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("bar")), down)["bar"]
+    # a lambda's argument is computed once, however often it is used
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    opened = once(F.array_sort(F.transform("_cells", bounds)), lambda cells: once(bar(cells), lambda x: F.filter(cells, lambda c: c["up"] >= x - 1e-6)))
+    seen = targets.drop("_cell").join(cells, group).withColumn("_c", F.explode(opened)).withColumn("_c", F.col("_c.cell"))
     other = single.select(*group, F.col("_cell").alias("_c"), F.col("_key").alias("_other"), F.col("_box").alias("_other_box"))
     pairs = seen.select(*group, "_key", "_box", "available", "_c").join(other, [*group, "_c"]).where(F.col("_key") != F.col("_other"))
     pairs = pairs.withColumn("iou", g.iou(b, F.col("_other_box"))).where(F.col("iou") < most)
