@@ -117,26 +117,17 @@ def caption_metrics(records: DataFrame, by: tuple[str, ...] = (), threshold: flo
 
 
 def bootstrap_f1(df: DataFrame, truth: str, predicted: str, order: str, by: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """95 % bootstrap interval of F1 for each group; rows are resampled in ``order``, a group has to fit in a task."""
-    import numpy as np
-    import pandas as pd
-
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        t, p = (rows[c].fillna(False).to_numpy(bool) for c in (truth, predicted))
-        low = high = None
-        if len(t) >= 2:
-            draw, found = np.random.RandomState(seed), []
-            for _ in range(rounds):
-                i = draw.randint(0, len(t), size=len(t))
-                hit, wrong = (t[i] & p[i]).sum(), (t[i] ^ p[i]).sum()
-                found.append(2 * hit / (2 * hit + wrong) if hit or wrong else 0.0)
-            found.sort()
-            low, high = found[int(rounds * 0.025)], found[int(rounds * 0.975) - 1]
-        return pd.DataFrame({by: [rows[by].iloc[0]], "f1_ci_lower": [low], "f1_ci_upper": [high]})
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, order, truth, predicted).groupBy(by).applyInPandas(interval, f"{by} {kind}, f1_ci_lower double, f1_ci_upper double")
+    """95 % bootstrap interval of F1 for each group; a missing prediction counts as no.
+
+    Rows are resampled in ``order`` (a number); see ``resampling.bootstrap``.
+    """
+    from .resampling import bootstrap
+
+    t, p = (F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in (truth, predicted))
+    hit, wrong = (t & p).cast("double"), (t != p).cast("double")
+    f1 = F.coalesce(F.try_divide(2 * F.col("hit"), 2 * F.col("hit") + F.col("wrong")), F.lit(0.0))
+    out = bootstrap(df, [by], order, {"hit": hit, "wrong": wrong}, f1, rounds, seed)
+    return out.select(by, F.col("ci_lower").alias("f1_ci_lower"), F.col("ci_upper").alias("f1_ci_upper"))
 
 
 def _summary(value: str, found: str, prefix: str) -> list[Column]:

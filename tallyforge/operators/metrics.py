@@ -267,19 +267,11 @@ def metric_summary(df: DataFrame, overlap: str, found: Column, by: tuple[str, ..
 def bootstrap_mean(df: DataFrame, value: str, order: str, by: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
     """Mean of each group with its 95 % bootstrap interval; groups of fewer than two have none.
 
-    Values are resampled in ``order`` by one generator a group, so a group has to fit in a task.
+    Null values are left out. Values are resampled in ``order`` (a number); see
+    ``resampling.bootstrap``, which puts no group into one task.
     """
-    import numpy as np
-    import pandas as pd
-
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order)[value].dropna().to_numpy(float)
-        low = high = None
-        if len(x) >= 2:
-            draw = np.random.RandomState(seed)
-            means = np.sort([x[draw.randint(0, len(x), len(x))].mean() for _ in range(rounds)])
-            low, high = means[int(rounds * 0.025)], means[int(rounds * 0.975) - 1]
-        return pd.DataFrame({by: [rows[by].iloc[0]], "mean": [x.mean() if len(x) else None], "ci_lower": [low], "ci_upper": [high]})
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, order, value).groupBy(by).applyInPandas(interval, f"{by} {kind}, mean double, ci_lower double, ci_upper double")
+    from .resampling import bootstrap
+
+    known = df.where(F.col(value).isNotNull())
+    out = bootstrap(known, [by], order, {"x": F.col(value).cast("double")}, F.col("x") / F.col("n"), rounds, seed)
+    return df.select(by).distinct().join(out, by, "left").select(by, F.col("value").alias("mean"), "ci_lower", "ci_upper")

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows that a range may hold at any size of table, and the part of the table's rows beyond it.
 LEAST, SHARE = 10_000, 8_192
@@ -78,3 +79,19 @@ def bucketed(df: DataFrame, by: tuple[str, ...] | list[str], value: str, name: s
         part = refined.where("_full").select(*rows.columns)
         rows = refined.select(*rows.columns)
     return rows.select(*df.columns, name)
+
+
+def positions(df: DataFrame, by: tuple[str, ...] | list[str], order: str, name: str = "at") -> DataFrame:
+    """``df`` with the place of each row of its group in ``order`` (a number without nulls), from 0.
+
+    No task holds a group: rows are put in order within their range (see ``bucketed``), and
+    ranges start at the counts before them. Rows of equal ``order`` follow each other in any order.
+    """
+    rows = bucketed(df, by, order, "_b")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    mark = {c: f"_g{k}" for k, c in enumerate([*by, "_b"])}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(m)) for c, m in mark.items()])
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
+    placed = rows.withColumn("_r", within).join(starts.drop("_n").withColumnsRenamed(mark), same)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_s") + F.col("_r")).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import digest
-from .ranks import bucketed
+from .ranks import positions
 
 
 def best_of(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -39,15 +39,10 @@ def assert_full(df: DataFrame, by: list[str], n: int) -> DataFrame:
 def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Shard by position in ``order``.
 
-    Positions come from counts of ranges of rows, so no task sorts all: ``ranks.bucketed``
-    finds ranges of ``order`` (a number without nulls) that hold few, and ranks start at
-    the count before. Rows of equal ``order`` follow each other in any order.
+    ``order`` is a number without nulls; see ``ranks.positions``, which puts no table into
+    one task.
     """
-    rows = bucketed(df, (), order)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
-    at = F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return rows.join(starts, "_b").withColumn("shard", (at % shards).cast("int")).drop("_b", "_s")
+    return positions(df, (), order, "_at").withColumn("shard", (F.col("_at") % shards).cast("int")).drop("_at")
 
 
 def balanced_sample(df: DataFrame, stratum: str, key: str, total: int, strata: list[str], seed: str) -> DataFrame:
