@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import parsing, relations, text
-from ..operators import decisions, evaluation, isolation, joins, manifests, metrics, records
+from ..operators import decisions, evaluation, isolation, joins, manifests, mentions, metrics, records
 from .catalog import _BOXES, box_rows, labelled, query, rounded, split_rows, table
 
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -100,19 +100,19 @@ def box_overlaps(spark, sf_dir):
 
 @query(
     _BOXES
-    + """, t AS (SELECT gx1 AS x1, y1, gx2 AS x2, y2, gx2 - gx1 AS w, y2 - y1 AS h FROM i),
+    + """, t AS (SELECT l_orderkey, l_linenumber, l_partkey, gx1 AS x1, y1, gx2 AS x2, y2, gx2 - gx1 AS w, y2 - y1 AS h FROM i),
 j AS (SELECT *, least(greatest(CASE WHEN x1 + w * 0.35 + w > 300 THEN x1 - w * 0.35 ELSE x1 + w * 0.35 END, 0.0), 300.0 - w) AS sx,
   least(greatest(CASE WHEN y1 + h * 0.35 + h > 40 THEN y1 - h * 0.35 ELSE y1 + h * 0.35 END, 0.0), 40.0 - h) AS sy FROM t),
 p AS (SELECT 'partial_horizontal' AS kind, *, x1 AS a, y1 AS b, x1 + w * 0.55 AS c, y2 AS d FROM j UNION ALL SELECT 'partial_vertical', *, x1, y1, x2, y1 + h * 0.55 FROM j
   UNION ALL SELECT 'oversized_context', *, greatest(0.0, x1 - w * 0.4), greatest(0.0, y1 - h * 0.4), least(300.0, x2 + w * 0.4), least(40.0, y2 + h * 0.4) FROM j
   UNION ALL SELECT 'jitter_horizontal', *, sx, y1, sx + w, y2 FROM j UNION ALL SELECT 'jitter_vertical', *, x1, sy, x2, sy + h FROM j),
-o AS (SELECT kind, greatest(least(x2, c) - greatest(x1, a), 0) * greatest(least(y2, d) - greatest(y1, b), 0) AS shared, w * h AS ta, (c - a) * (d - b) AS pa FROM p)
-SELECT kind, count(*) AS n, round(avg(shared / (ta + pa - shared)), 9) AS mean_iou FROM o WHERE shared / (ta + pa - shared) < 0.95 GROUP BY 1"""
+o AS (SELECT l_orderkey, l_linenumber, l_partkey, kind, a, b, c, d, greatest(least(x2, c) - greatest(x1, a), 0) * greatest(least(y2, d) - greatest(y1, b), 0) AS shared, w * h AS ta, (c - a) * (d - b) AS pa FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, kind, round(a, 6) AS x1, round(b, 6) AS y1, round(c, 6) AS x2, round(d, 6) AS y2, round(shared / (ta + pa - shared), 9) AS iou FROM o WHERE shared / (ta + pa - shared) < 0.95"""
 )
 def perturbed_boxes(spark, sf_dir):
-    """Lower-overlap boxes of every line item in an image of 300 by 40."""
-    r = box_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", F.inline(g.perturbed(F.col("gt"), F.lit(300), F.lit(40))))
-    return r.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 9).alias("mean_iou"))
+    """Lower-overlap boxes of every line item in an image of 300 by 40, by their corners."""
+    r = box_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.inline(g.perturbed(F.col("gt"), F.lit(300), F.lit(40))))
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "kind", *[F.round(F.col("box")[k], 6).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))], F.round("iou", 9).alias("iou"))
 
 
 def _cases():
@@ -269,18 +269,6 @@ def disjoint_verdict(spark, sf_dir):
     return isolation.verdict(split_rows(spark, sf_dir), "split", ["id"])
 
 
-@query(
-    f"""SELECT {_KEYS}, round(CASE WHEN c IS NULL THEN 0 ELSE c END, 9) AS unscored_keeps, count(*) OVER () AS n FROM (SELECT *, CASE WHEN l_linenumber <> 4 THEN l_tax END AS c FROM lineitem)"""
-)
-def unscored_rows(spark, sf_dir):
-    """Rows without a score count as 0 under the policy that keeps the baseline; the number of rows is checked."""
-    r = table(spark, sf_dir, "lineitem")
-    n = r.count()
-    joins.assert_count(r, n)
-    scored = r.select(*_KEY, F.coalesce(F.when(F.col("l_linenumber") != 4, F.col("l_tax")), F.lit(0.0)).alias("unscored_keeps"), F.lit(n).cast("long").alias("n"))
-    return rounded(scored)
-
-
 @query(
     """WITH s AS (SELECT l_returnflag, CASE WHEN l_linenumber <> 7 THEN l_tax * 10 END AS v FROM lineitem)
 SELECT l_returnflag, count(*) AS n, round(coalesce(avg(coalesce(v, 0)), 0), 9) AS mean_iou, round(count(*) FILTER (coalesce(v, 0) = 0) / count(*), 9) AS zero_rate, round(count(*) FILTER (v >= 0.5) / count(*), 9) AS hit_rate, round(count(v) / count(*), 9) AS found_rate FROM s GROUP BY 1"""
@@ -328,19 +316,19 @@ def _relation_sql() -> str:
     words = ", ".join(f"'{w}'" for w in relations.RELATION_WORDS)
     mark = r'[.,;:!?()\[\]{}"]'
     counted = f"len(list_intersect(list_distinct([regexp_replace(regexp_replace(w, '^{mark}+', ''), '{mark}+$', '') FOR w IN regexp_split_to_array({low}, '\\s+')]), [{words}]))"
-    return f"""WITH t AS (SELECT 'the dog ' || CASE conv_id % 3 WHEN 0 THEN 'left of the ' WHEN 1 THEN 'next to (a) ' ELSE 'and, ' END || regexp_replace(text, '[À-ɏ]', 'x', 'g') AS text FROM conversations),
-r AS (SELECT CASE {first} END AS relation, {phrase} AS phrase, {counted} AS words FROM t)
-SELECT relation, count(*) AS n, CAST(sum(words) AS BIGINT) AS words, count(phrase) AS phrases FROM r GROUP BY 1"""
+    return f"""WITH t AS (SELECT conv_id, turn, 'the dog ' || CASE conv_id % 3 WHEN 0 THEN 'left of the ' WHEN 1 THEN 'next to (a) ' ELSE 'and, ' END || regexp_replace(text, '[À-ɏ]', 'x', 'g') AS text FROM conversations),
+r AS (SELECT conv_id, turn, CASE {first} END AS relation, {phrase} AS phrase, {counted} AS words FROM t)
+SELECT conv_id, turn, relation, CAST(words AS INT) AS words, phrase FROM r"""
 
 
 @query(_relation_sql())
 def relation_mentions(spark, sf_dir):
-    """Relations and their reference phrases in the turns of conversations, each behind a beginning with or without one."""
+    """Relation, relation words and reference phrase of every turn, each behind a beginning with or without one; accented letters as x."""
     k = F.col("conv_id") % 3
-    said = F.concat(F.lit("the dog "), F.when(k == 0, "left of the ").when(k == 1, "next to (a) ").otherwise("and, "), "text")
-    c = table(spark, sf_dir, "conversations").select(said.alias("text"))
-    c = c.select(relations.relation(F.col("text")).alias("relation"), relations.relation_score(F.col("text")).alias("words"), relations.reference_phrase(F.col("text")).alias("phrase"))
-    return c.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.count("phrase").alias("phrases"))
+    plain = F.regexp_replace("text", "[\u00c0-\u024f]", "x")
+    said = F.concat(F.lit("the dog "), F.when(k == 0, "left of the ").when(k == 1, "next to (a) ").otherwise("and, "), plain)
+    c = table(spark, sf_dir, "conversations").withColumn("text", said)
+    return c.select("conv_id", "turn", relations.relation(F.col("text")).alias("relation"), relations.relation_score(F.col("text")).alias("words"), relations.reference_phrase(F.col("text")).alias("phrase"))
 
 
 def _ten(p: str) -> str:
@@ -454,22 +442,28 @@ def caption_cosine(spark, sf_dir):
     return rounded(c.select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.cosine", "s.penalised", "s.positive_cover", "s.negative_overlap"))
 
 
-_CATEGORIES = ("dog", "hot dog", "cat", "person")
+#: Words and pairs of the texts as aliases; the first of a pair is no second of another.
+_NAMED = {"article": ("la", "le", "les", "die", "der"), "source": ("de", "de la", "de le"), "thing": ("thing", "things"), "denial": ("nicht", "ist nicht", "no")}
 
 
-@query(
-    """WITH k AS (SELECT conv_id, turn, conv_id % 4 AS c FROM conversations)
-SELECT conv_id, turn, CASE c WHEN 0 THEN 'hot dog:2-9,cat:17-20' WHEN 1 THEN 'dog:0-4,dog:9-12' WHEN 2 THEN '' ELSE 'person:2-5,person:22-27' END AS found,
-  CASE c WHEN 0 THEN 'hot dog,cat' WHEN 1 THEN 'dog' WHEN 2 THEN '' ELSE 'person' END AS categories FROM k"""
-)
+def _mention_sql() -> str:
+    owner = " ".join(f"WHEN word = '{a}' THEN '{c}'" for c, names in _NAMED.items() for a in names if " " not in a)
+    pairs = " ".join(f"WHEN word || gap || next = '{a}' THEN '{c}'" for c, names in _NAMED.items() for a in names if " " in a)
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(low, '[\\pL\\pN_]+') AS words, regexp_split_to_array(low, '[\\pL\\pN_]+') AS gaps FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS low FROM documents)),
+w AS (SELECT doc_id, length(gaps[1]) AS lead, unnest(words) AS word, unnest(gaps[2:]) AS gap, generate_subscripts(words, 1) AS k FROM d),
+p AS (SELECT *, lead(word) OVER o AS next, lead + coalesce(sum(length(word) + length(gap)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w WHERE word IS NOT NULL WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+m AS (SELECT *, CASE {pairs} END AS pair, CASE {owner} END AS single FROM p),
+n AS (SELECT *, lag(pair) OVER (PARTITION BY doc_id ORDER BY k) AS inside FROM m),
+f AS (SELECT doc_id, coalesce(pair, CASE WHEN inside IS NULL THEN single END) AS category, start, pair IS NOT NULL AS wide FROM n)
+SELECT doc_id, category, count(*) AS n, CAST(count(*) FILTER (wide) AS BIGINT) AS pairs, CAST(sum(start) AS BIGINT) AS places FROM f WHERE category IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(_mention_sql())
 def category_mentions(spark, sf_dir):
-    """Mentions of four categories in texts by kind: the longer alias wins, and the target counts only where it alone is named twice."""
-    k = F.col("conv_id") % 4
-    said = F.when(k == 0, "A HOT DOG near a cat!").when(k == 1, "dogs and dog").when(k == 2, "category of doggerel").otherwise("a man who stands near woman")
-    found = relations.mentions(F.col("said"), list(_CATEGORIES), {"person": ["person", "man", "woman"]})
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said")).withColumn("m", found)
-    shown = F.array_join(F.transform("m", lambda x: F.concat(x["category"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
-    return c.select("conv_id", "turn", shown.alias("found"), F.array_join(relations.reference_categories(F.col("m"), F.when(F.col("conv_id") % 4 == 3, "person").otherwise("dog")), ",").alias("categories"))
+    """Mentions of a table of aliases in whole documents: by category their number, those of two words, and the sum of their places."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = mentions.find_mentions(d, ["doc_id"], "text", mentions.alias_table(spark, list(_NAMED), _NAMED))
+    return found.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("alias").contains(" ")).alias("pairs"), F.sum("start").alias("places"))
 
 
 @query(
