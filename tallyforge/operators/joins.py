@@ -119,3 +119,23 @@ def resolved(df: DataFrame, files: DataFrame, candidates: list[Column]) -> DataF
     tries = df.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.array(*candidates)).alias("_n", "path"))
     found = tries.join(files.select("path").distinct(), "path", "left_semi")
     return found.groupBy("_id").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns], "path"), "_n").alias("r")).select("r.*")
+
+
+def checked_references(references: DataFrame, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """References (image_id, ann_id, category_id, ...) with ``violations``, see ``assert_clean``.
+
+    A reference names an image and an annotation that are there (image_id; ann_id), the
+    annotation is of that image and category, and the category is known (category_id).
+    """
+    there = lambda df, key, name: df.select(F.col(key).alias(f"_{name}"), F.lit(True).alias(f"_has_{name}")).distinct()
+    marks = annotations.select(F.col("ann_id").alias("_ann"), F.col("image_id").alias("_ann_image"), F.col("category_id").alias("_ann_category"))
+    out = references.join(there(images, "image_id", "image"), F.col("image_id") == F.col("_image"), "left")
+    out = out.join(marks, F.col("ann_id") == F.col("_ann"), "left").join(there(categories, "category_id", "category"), F.col("category_id") == F.col("_category"), "left")
+    found = F.array(
+        F.when(F.col("_has_image").isNull(), "missing_image"),
+        F.when(F.col("_ann").isNull(), "missing_annotation"),
+        F.when(F.col("_ann_image") != F.col("image_id"), "wrong_image"),
+        F.when(F.col("_ann_category") != F.col("category_id"), "wrong_category"),
+        F.when(F.col("_has_category").isNull(), "unknown_category"),
+    )
+    return out.select(*references.columns, F.filter(found, lambda v: v.isNotNull()).alias("violations"))

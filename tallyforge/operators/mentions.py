@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _WORD = re.compile(r"\w+")
+#: Aliases that go to every task; of a larger table the runs of words are joined as they are.
+FEW = 20_000
 #: The names of image categories and the words for them.
 CATEGORY_ALIASES = {
     "person": ("person", "people", "man", "men", "woman", "women", "boy", "boys", "girl", "girls", "child", "children", "lady", "guy", "player", "rider", "skier", "surfer", "batter", "catcher"),
@@ -121,7 +123,7 @@ def find_mentions(texts: DataFrame, key: list[str], text: str, aliases: DataFram
     right. Of those that overlap, in a chain, the longest is taken, of equal ones the first, and what overlaps it is left out, again and again.
     ``key`` tells texts apart. Null texts have no mentions.
 
-    The numbers of words of the aliases are read first (a job over that table).
+    The aliases' numbers of words, and up to ``FEW`` aliases, are read first (two jobs over that table).
     """
     fold = F.udf(str.casefold, "string")
     own = aliases.select("category", fold("alias").alias("alias"), "rank").where("alias is not null")
@@ -130,6 +132,9 @@ def find_mentions(texts: DataFrame, key: list[str], text: str, aliases: DataFram
         raise ValueError("an alias has to begin and end with a word character")
     sizes = sorted({r["n"] for r in counts})
     kinds = dict(texts.dtypes)
+    # the words of a table of few aliases are looked for while texts are read, and the rest is never sent
+    few = [r["alias"] for r in own.select("alias").distinct().limit(FEW + 1).collect()]
+    known = set(few) if len(few) <= FEW else None
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,6 +142,7 @@ def find_mentions(texts: DataFrame, key: list[str], text: str, aliases: DataFram
                 low = (batch.column(len(key))[at].as_py() or "").casefold()
                 spans = [m.span() for m in _WORD.finditer(low)]
                 found = [(low[s : spans[k + n - 1][1]], s, spans[k + n - 1][1]) for n in sizes for k, (s, _) in enumerate(spans[: len(spans) - n + 1])]
+                found = found if known is None else [f for f in found if f[0] in known]
                 if found:
                     held = [pa.array([batch.column(c)[at].as_py()] * len(found), batch.column(c).type) for c in range(len(key))]
                     yield pa.record_batch([*held, *(pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.int32(), pa.int32())))], [*key, "alias", "start", "end"])

@@ -102,6 +102,25 @@ def violations(required: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]]
     return F.filter(F.array(*checks), lambda v: v.isNotNull())
 
 
+def item_violations(items: Column, label: str, required: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]] | None = None, some: bool = False) -> Column:
+    """What is wrong with a list of structs and with each of its items, as ``label[i].field``.
+
+    A null list is wrong, with ``some`` an empty one too; so are null items, required texts
+    that are blank, and values outside their enumeration (a missing one is outside).
+    """
+    blank = lambda v: F.coalesce(F.trim(v.cast("string")) == "", F.lit(True))
+
+    def of(item: Column, at: Column) -> Column:
+        where = lambda text: F.concat(F.lit(f"{label}["), at.cast("string"), F.lit(f"]{text}"))
+        wrong = [F.when(blank(item[f]), where(f".{f} is empty")) for f in required]
+        wrong += [F.when(~F.coalesce(item[f].isin(list(v)), F.lit(False)), where(f".{f} is invalid")) for f, v in (enums or {}).items()]
+        return F.when(item.isNull(), F.array(where(" is no object"))).otherwise(F.filter(F.array(*wrong), lambda w: w.isNotNull()))
+
+    inside = F.flatten(F.transform(items, of))
+    short = F.when(F.size(items) == 0, F.array(F.lit(f"{label} is empty"))).otherwise(inside) if some else inside
+    return F.when(items.isNull(), F.array(F.lit(f"{label} is no list"))).otherwise(short)
+
+
 def unambiguous(df: DataFrame, key: list[str], output: str, order: str) -> DataFrame:
     """The first row of each key whose rows agree on ``output``; null outputs count as empty."""
     o = F.coalesce(F.col(output), F.lit(""))

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..operators import joins, manifests
 from ..sources import files
@@ -26,22 +27,33 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END AS price, TRUE AS refused FROM orders")
 def json_lines_round_trip(spark, sf_dir):
-    """Ordered, sorted keys, nulls kept, gzip; refuses to overwrite; read strictly."""
+    """Ordered, sorted keys, nulls kept, gzip; a second write to the place is refused; read strictly."""
     path = folder(spark, "lines")
-    n = table(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") != 2, F.col("n_regionkey")))
-    files.write_json_lines(n, path, ["n_nationkey"])
-    return files.read_json_lines(spark, path, n.schema).select("n_nationkey", "n_name", "n_regionkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("price"))
+    files.write_json_lines(o, path, ["o_orderkey"])
+    try:
+        files.write_json_lines(o.limit(1), path, ["o_orderkey"])
+        refused = False
+    except AnalysisException:
+        refused = True
+    return files.read_json_lines(spark, path, o.schema).select("o_orderkey", "o_custkey", "price", F.lit(refused).alias("refused"))
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 3")
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_nationkey = 3) AS broken, TRUE AS failed FROM customer WHERE c_nationkey <> 3")
 def lax_lines(spark, sf_dir):
-    """Blank and broken lines of a file are skipped."""
+    """Blank lines are skipped; a broken line fails the strict reader and is left out and counted by the tolerant one."""
     path = folder(spark, "lax")
-    line = F.when(F.col("r_regionkey") == 3, F.lit('{"broken"')).otherwise(F.concat(F.to_json(F.struct("r_regionkey", "r_name")), F.lit("\n")))
-    table(spark, sf_dir, "region").select(line.alias("value")).write.text(path)
-    return files.read_json_lines(spark, path, "r_regionkey int, r_name string", strict=False)
+    line = F.when(F.col("c_nationkey") == 3, F.lit('{"broken"')).otherwise(F.concat(F.to_json(F.struct("c_custkey", "c_name")), F.lit("\n")))
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
+    try:
+        files.read_json_lines(spark, path, "c_custkey bigint, c_name string").agg(F.max("c_custkey")).collect()
+        failed = False
+    except Exception:  # noqa: BLE001  the job's own class
+        failed = True
+    rows, broken = files.read_good_lines(spark, path, "c_custkey bigint, c_name string")
+    return rows.join(F.broadcast(broken.agg(F.count(F.lit(1)).alias("broken")))).withColumn("failed", F.lit(failed))  # one row
 
 
 @query("SELECT r_regionkey, r_name FROM region")
@@ -156,9 +168,14 @@ def markdown_report(spark, sf_dir):
     return spark.range(1).select(F.lit(files.markdown_table(r)).alias("report"))
 
 
-@query("SELECT count(DISTINCT o_orderstatus) AS values, count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT count(DISTINCT CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE 'one' END) AS values, count(*) AS n, TRUE AS refused FROM orders")
 def single_value(spark, sf_dir):
-    """A column with one value at most, and a key without repeats, are checked before use."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    checked = manifests.assert_unique(manifests.assert_single(o, "o_orderstatus", F.lit(True)), ["o_orderkey"])
-    return joins.assert_count(checked, o.count()).agg(F.count_distinct("o_orderstatus").alias("values"), F.count(F.lit(1)).alias("n"))
+    """Good rows have one setting at most and keys do not repeat, which is checked; all rows together are refused."""
+    o = table(spark, sf_dir, "orders").withColumn("setting", F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise("one"))
+    checked = manifests.assert_unique(manifests.assert_single(o, "setting", F.col("o_orderstatus") != "P"), ["o_orderkey"])
+    try:
+        manifests.assert_single(o, "setting", F.lit(True))
+        refused = False
+    except ValueError:
+        refused = True
+    return checked.agg(F.count_distinct("setting").alias("values"), F.count(F.lit(1)).alias("n"), F.lit(refused).alias("refused"))

@@ -8,9 +8,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines, plain or gzip by suffix; strict files fail at the first broken line."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines, plain or gzip by suffix; blank lines are skipped, and a broken one fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_good_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """The rows of JSON lines, and the lines (file, value) that hold none, for the caller to count or keep.
+
+    Each of the two reads the files when it is used.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.length(F.btrim("value", F.lit(" \t\r"))) > 0)
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return lines.where(whole).select(F.from_json("value", schema).alias("r")).select("r.*"), lines.where(~whole)
 
 
 def read_wrapped(spark: SparkSession, path: str, schema: T.StructType, field: str = "records") -> DataFrame:
