@@ -35,9 +35,10 @@ def slug(text: Column) -> Column:
 
 
 #: Words without meaning for caption scoring, and words counted as another.
-STOP_WORDS = tuple(
-    "a an the this that these those is are was were in on at of to with and or for from by as it its there here "
-    "image picture photo scene shows showing visible contains containing red box bounding".split()
+STOP_WORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "is", "are", "was", "were", "in", "on", "at", "of", "to", "with", "and", "or", "for", "from",
+    "by", "as", "it", "its", "there", "here", "image", "picture", "photo", "scene", "shows", "showing", "visible", "contains", "containing", "red",
+    "box", "bounding",
 )
 SYNONYMS = {
     "man": "person", "woman": "person", "boy": "person", "girl": "person", "people": "person", "men": "person", "women": "person", "child": "person", "children": "person",

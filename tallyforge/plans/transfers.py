@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calls, decisions, metrics, resampling
-from ..sources import files, members, records
+from ..sources import files, lineage, members, records
 from ..streaming import state
 from .catalog import _BOXES, box_rows, labelled, query, rounded, table
 from .stores import folder
@@ -172,3 +172,23 @@ def budgeted_threshold(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("score", F.when(F.col("l_orderkey") % 3 != 0, F.col("score")))
     out = metrics.joint_threshold(rows, "score", "l_returnflag", _BUDGETS)
     return out.select(F.round("threshold", 9).alias("threshold"), F.round("mean_capture", 6).alias("mean_capture"), F.round("selector_miou_sum", 6).alias("selector_miou_sum"), "lost", "moved")
+
+
+@query(
+    """SELECT o_orderstatus, count(*) AS orders, (SELECT count(*) FROM orders) AS read_rows, (SELECT count(*) FROM orders WHERE o_totalprice > 1000) AS kept_rows, TRUE AS refused, TRUE AS chained
+FROM orders WHERE o_totalprice > 1000 GROUP BY 1"""
+)
+def lineage_documents(spark, sf_dir):
+    """Two tables derived in turn, whose documents hold what was counted while they were written; a changed input is refused."""
+    path, source = folder(spark, "lineage"), f"{sf_dir}/orders.parquet"
+    first = lineage.derive(spark, {"orders": source}, lambda t: t["orders"].where("o_totalprice > 1000"), f"{path}/dear", {"total": F.sum("o_totalprice")})
+    second = lineage.derive(spark, {"dear": f"{path}/dear"}, lambda t: t["dear"].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")), f"{path}/counts")
+    chained = lineage.check_chain(spark, f"{path}/counts") == [] and second["inputs"]["dear"]["rows"] == first["rows"]
+    spark.read.parquet(f"{path}/dear").limit(1).write.mode("append").parquet(f"{path}/dear")
+    try:
+        lineage.derive(spark, {"dear": f"{path}/dear"}, lambda t: t["dear"], f"{path}/again")
+        refused = False
+    except ValueError:
+        refused = True
+    facts = {"read_rows": first["inputs"]["orders"]["rows"], "kept_rows": first["rows"], "refused": refused, "chained": chained}
+    return spark.read.parquet(f"{path}/counts").withColumns({k: F.lit(v) for k, v in facts.items()}).withColumns({k: F.col(k).cast("long") for k in ("read_rows", "kept_rows")})
