@@ -320,7 +320,8 @@ def checked_enrichment(spark, sf_dir):
 
 def placed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as boxes in an image of 980 by 900, one image a supplier and category a flag; line 6 is a crowd, line 7 has no box."""
-    li = table(spark, sf_dir, "lineitem")
+    key = ["l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]
+    li = table(spark, sf_dir, "lineitem").groupBy(*key).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
     x, y = (F.col("l_partkey") % 97 * 10).cast("double"), (F.col("l_orderkey") % 89 * 10).cast("double")
     box = F.array(x, y, x + 5 + F.col("l_quantity") / 2, y + 5 + 100 * F.col("l_tax") + 200 * F.col("l_discount"))
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
@@ -331,7 +332,7 @@ _PLACED = """
 WITH b AS (
   SELECT l_suppkey AS image, l_returnflag AS category, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS line, l_linenumber, CAST(l_partkey % 97 * 10 AS DOUBLE) AS x1, CAST(l_orderkey % 89 * 10 AS DOUBLE) AS y1,
     CAST(l_partkey % 97 * 10 AS DOUBLE) + 5 + l_quantity / 2 AS x2, CAST(l_orderkey % 89 * 10 AS DOUBLE) + 5 + 100 * l_tax + 200 * l_discount AS y2
-  FROM lineitem WHERE l_linenumber <> 7
+  FROM (SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber, l_partkey, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL) WHERE l_linenumber <> 7
 )
 """
 
