@@ -168,21 +168,18 @@ def with_score(page: DataFrame, table: DataFrame, parts: DataFrame, column: str,
     """``page`` (part, ...) with the score of ``table`` (part, score) as ``column``, null where it has none.
 
     A table of few rows is broadcast. Of a larger one the scores of its most frequent parts
-    (``parts``: part, n) are, and pages that have found theirs are spread over the tasks of
-    the join with the others, so the pages of one host never meet in one.
+    (``parts``: part, n) are, and only pages that do not find theirs join the others by
+    shuffle, so the pages of one host never meet in one task.
     """
     scores_of = table.withColumnRenamed("score", column)
     if table.limit(most + 1).count() <= most:
         return page.join(common.small(scores_of, most), "part", "left")
     sized = common.stored(scores_of.join(parts.select("part", "n"), "part"), "sized-scores")
     floor = common.floor_of(sized, most)
-    often = common.small(common.stored(sized.where(F.col("n") >= floor).select("part", F.col(column).alias("often")), "frequent"), most)
-    rest = sized.where(F.col("n") < floor).select("part", F.col(column).alias("rest"))
-    near = page.join(often, "part", "left")
-    # no part starts with a hyphen
-    key = F.when(F.col("often").isNull(), F.col("part")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    found = near.withColumn("part", key).join(rest, "part", "left")
-    return found.withColumn(column, F.coalesce("often", "rest")).drop("often", "rest")
+    often = common.small(common.stored(sized.where(F.col("n") >= floor).drop("n"), "frequent"), most)
+    rest = sized.where(F.col("n") < floor).drop("n")
+    near = page.join(often, "part")
+    return near.union(page.join(often, "part", "left_anti").join(rest, "part", "left").select(near.columns))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, block_hosts: int = BLOCK_HOSTS, head: int = HEAD_TOKENS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
