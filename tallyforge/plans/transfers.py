@@ -14,7 +14,7 @@ _MODULUS = {"first": 5, "second": 25}
 
 
 def _judge(turn: str):
-    """A stand-in for an outside service: keys of one modulus are refused, every 40th fails as a whole batch would."""
+    """A stand-in for an outside service, which refuses the keys of one modulus."""
     modulus = _MODULUS[turn]
 
     def call(rows: list[dict]) -> list:
