@@ -12,7 +12,7 @@ from .passages import OP12_SQL, op12_passages
 from .quality import op2_quality
 from .secrets import op4_secrets
 from .sharding import op1_sharding
-from .spelling import op11_spelling
+from .spelling import OP11_SQL, op11_spelling
 from .tokencount import op5_tokens
 from .urlfilter import op10_urls
 
@@ -20,4 +20,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_sharding, op2_quality, op3_decontamination, op4_secrets, op5_tokens, op6_mixing, op7_near_duplicates, op8_line_dedup, op9_media, op10_urls, op11_spelling, op12_passages, op13_alignment)
 }
-ORACLES = {"op8_line_dedup": OP8_SQL, "op12_passages": OP12_SQL}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op11_spelling": OP11_SQL, "op12_passages": OP12_SQL}

@@ -198,3 +198,38 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return variants(common.stored(word_counts(docs, EVERY), "words"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps FROM range(256) r(n)
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), own AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || [('0x' || bytes[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(length(bytes) // 2)],
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, crc
+), counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1
+), words AS (
+  SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3
+), less AS (
+  SELECT word, n, k, left(word, k::INT) || substr(word, k::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)
+), pairs AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS n_other FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON b.word = a.rest
+), near AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, max(n_other) AS top FROM pairs GROUP BY word
+), forms AS (
+  SELECT p.word, min(p.other) AS form, max(p.n_other) AS form_n FROM pairs p JOIN near t ON t.word = p.word AND p.n_other = t.top WHERE t.top >= 2 * t.n GROUP BY p.word
+), chains AS (
+  SELECT word, form AS root, 1 AS depth FROM forms
+  UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chains c JOIN forms f ON f.word = c.root
+), ends AS (
+  SELECT word, arg_max(root, depth) AS root FROM chains GROUP BY word
+)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(t.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN near t USING (word) LEFT JOIN forms f USING (word) LEFT JOIN ends e USING (word)
+"""
