@@ -8,6 +8,11 @@ the corner of what the two share.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,8 @@ from ..functions import geometry as g
 
 #: Cells of the image's diagonal, and of a factor of e of areas, when the hardest others are looked for.
 SIDE, FINE = 5, 1
+#: Boxes of a group that one task compares, and pairs of them that it looks at together.
+WHOLE, STRIP = 32_768, 1 << 15
 
 
 def _grid(box: Column) -> Column:
@@ -68,13 +75,94 @@ def best_match(df: DataFrame, others: DataFrame, group: list[str], key: str, box
     return df.select(key, *group, box).join(best, [*group, box]).select(key, f"m.{other_key}", "m.iou")
 
 
-def competitors(df: DataFrame, group: list[str], key: str, box: str, width: float, height: float, keep: int, most: float = 0.5, crowd: Column | None = None) -> DataFrame:
+def hardest(boxes: np.ndarray, code: np.ndarray, single: np.ndarray, diagonal: float, keep: int, most: float) -> tuple[np.ndarray, ...]:
+    """(target, other, iou, hardness, rank, available) of the rows of one group, by their places.
+
+    ``code`` is the place of the row's key in order, ``single`` marks those that may be others.
+    Rows are taken by size in strips, with the others that may overlap them by ``most``; all
+    others follow where one of another size may be as hard as the last that is kept.
+    """
+    area = np.maximum(boxes[:, 2] - boxes[:, 0], 0.0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0.0)
+    order, by_key = np.argsort(area, kind="stable"), np.argsort(code, kind="stable")
+    others = order[single[order]]
+    same, n, out = np.bincount(code[others], minlength=len(code)), len(others), []
+    low_bits = np.empty(len(code), np.int64)
+    low_bits[by_key] = np.arange(len(code), 0, -1)
+
+    def overlap(t: np.ndarray, o: np.ndarray, ta: np.ndarray, oa: np.ndarray) -> np.ndarray:
+        shared = np.maximum(np.minimum(t[2], o[2]) - np.maximum(t[0], o[0]), 0.0) * np.maximum(np.minimum(t[3], o[3]) - np.maximum(t[1], o[1]), 0.0)
+        return shared / (ta + oa - shared)
+
+    def strip(at: np.ndarray, to: np.ndarray):
+        t, o, ta, oa = boxes[at].T[:, :, None], boxes[to].T[:, None, :], area[at][:, None], area[to][None, :]
+        differ, apart = code[at][:, None] != code[to][None, :], overlap(t, o, ta, oa) < most
+        dx, dy = (t[0] + t[2] - o[0] - o[2]) / 2, (t[1] + t[3] - o[1] - o[3]) / 2
+        # the smaller area by the greater is exp(-|ln|) of their ratio
+        hard = 0.6 * (np.minimum(oa, ta) / np.maximum(oa, ta)) + 0.4 * np.maximum(0.0, 1 - np.sqrt(dx * dx + dy * dy) / diagonal)
+        # hardest first, then the least key; 0 for those that do not count
+        value = ((np.floor(hard * 1e9 + 0.5).astype(np.int64) << 31) + low_bits[to][None, :]) * (differ & apart)
+        k = min(keep, len(to))
+        best = -np.sort(-np.partition(value, len(to) - k, axis=1)[:, len(to) - k :], axis=1)
+        return best, np.count_nonzero(differ & ~apart, axis=1)
+
+    sizes, reach = area[others], min(most, 1.0) * (1 - 1e-9)
+    step = max(1, STRIP // max(n, 1))
+    for start in range(0, len(order) if n else 0, step):
+        at = order[start : start + step]
+        low, high = np.searchsorted(sizes, area[at[0]] * reach), np.searchsorted(sizes, area[at[-1]] / reach, "right") if reach > 0 else n
+        best, close = strip(at, others[low:high]) if low < high else (None, None)
+        if best is None or (high - low < n and (best.shape[1] < keep or best[:, -1].min() >> 31 <= (0.6 * most + 0.4) * 1e9 + 1)):
+            best, close = strip(at, others)
+        row, place = np.nonzero(best)
+        target, other = at[row], by_key[len(code) - (best[row, place] & (2**31 - 1))]
+        iou = overlap(boxes[target].T, boxes[other].T, area[target], area[other])
+        out.append((target, other, iou, (best[row, place] >> 31) / 1e9, place + 1, (n - same[code[at]] - close)[row]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 6
+
+
+def _whole(rows: DataFrame, group: list[str], diagonal: float, keep: int, most: float) -> DataFrame:
+    """``competitors`` of groups that fit a task each; only boxes are shuffled, and the rows kept are all that leaves it."""
+    sides = [f"_{k}" for k in range(4)]
+    kinds = dict(rows.dtypes)
+
+    def compare(table: pa.Table) -> pa.Table:
+        code = pc.rank(table["_key"], tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        shapes = np.column_stack([table[c].to_numpy() for c in sides])
+        target, other, iou, hardness, rank, available = hardest(shapes, code, ~table["_crowd"].to_numpy(), diagonal, keep, most)
+        keys = table["_key"].combine_chunks()
+        found = {c: pa.repeat(table[c][0], len(target)) for c in group} | {"target": keys.take(pa.array(target)), "other": keys.take(pa.array(other))}
+        return pa.table(found | {"iou": pa.array(iou, pa.float64()), "hardness": pa.array(hardness, pa.float64()), "rank": pa.array(rank, pa.int32()), "available": pa.array(available, pa.int64())})
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), f"target {kinds['_key']}, other {kinds['_key']}", "iou double, hardness double, rank int, available long"])
+    sent = rows.select(*group, "_key", "_crowd", *[F.col("_box")[k].alias(c) for k, c in enumerate(sides)])
+    return sent.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])).groupBy(*group).applyInArrow(compare, schema)
+
+
+def competitors(df: DataFrame, group: list[str], key: str, box: str, width: float, height: float, keep: int, most: float = 0.5, crowd: Column | None = None, whole: int = WHOLE) -> DataFrame:
     """(target, other, iou, hardness, rank, available): the hardest others of each row's group.
 
     Others that are crowds, or overlap the target by ``most`` or more, do not count; of
     equal hardness (nine places) the least key comes first. ``available`` is how many others
     count. Boxes that are not valid are neither targets nor others.
 
+    Rows are counted by group first, which is one job. A group of up to ``whole`` rows is
+    compared in one task (``hardest``), and its pairs are never written. Those of more rows,
+    at most one in ``whole`` rows of the table, go by cells (``_by_cells``).
+    """
+    rows = df.where(g.valid(F.col(box))).select(*group, F.col(key).alias("_key"), F.col(box).alias("_box"), F.coalesce(crowd, F.lit(False)).alias("_crowd") if crowd is not None else F.lit(False).alias("_crowd"))
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).drop("_n")
+    large = counts.collect()
+    diagonal = float((width**2 + height**2) ** 0.5)
+    if not large:
+        return _whole(rows, group, diagonal, keep, most)
+    marks = F.broadcast(df.sparkSession.createDataFrame(large, counts.schema))
+    small, full = rows.join(marks, group, "left_anti"), rows.join(marks, group, "left_semi")
+    return _whole(small, group, diagonal, keep, most).unionByName(_by_cells(full, group, width, height, keep, most))
+
+
+def _by_cells(rows: DataFrame, group: list[str], width: float, height: float, keep: int, most: float) -> DataFrame:
+    """``competitors`` of groups of any size.
+
     ``available`` is the size of the group less the pairs of ``overlapping``. Others are
     summed by cells of their place and area; of a target's cells only those are opened whose
     best hardness reaches what the ``keep`` hardest have at least, so a large group does not
@@ -82,7 +170,6 @@ def competitors(df: DataFrame, group: list[str], key: str, box: str, width: floa
     """
     diagonal = F.lit(float((width**2 + height**2) ** 0.5))
     b = F.col("_box")
-    rows = df.where(g.valid(F.col(box))).select(*group, F.col(key).alias("_key"), F.col(box).alias("_box"), F.coalesce(crowd, F.lit(False)).alias("_crowd") if crowd is not None else F.lit(False).alias("_crowd"))
     rows = rows.withColumns({"_s": F.ln(g.area(b)), "_x": (b[0] + b[2]) / 2, "_y": (b[1] + b[3]) / 2})
     step = F.lit((width**2 + height**2) ** 0.5 / SIDE)
     rows = rows.withColumn("_cell", F.struct(F.floor(F.col("_s") * FINE).alias("s"), F.floor(F.col("_x") / step).alias("x"), F.floor(F.col("_y") / step).alias("y")))

@@ -321,7 +321,8 @@ def checked_enrichment(spark, sf_dir):
 def placed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as boxes in an image of 980 by 900, one image a supplier and category a flag; line 6 is a crowd, line 7 has no box."""
     key = ["l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]
-    li = table(spark, sf_dir, "lineitem").groupBy(*key).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
+    # dealt by image and category at once, so that work by them needs no other shuffle
+    li = table(spark, sf_dir, "lineitem").repartition("l_suppkey", "l_returnflag").groupBy(*key).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
     x, y = (F.col("l_partkey") % 97 * 10).cast("double"), (F.col("l_orderkey") % 89 * 10).cast("double")
     box = F.array(x, y, x + 5 + F.col("l_quantity") / 2, y + 5 + 100 * F.col("l_tax") + 200 * F.col("l_discount"))
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")

@@ -73,6 +73,37 @@ def test_competitors_equal_all_pairs(spark, placed, keep):
     assert {(r["target"], r["other"], r["rank"], r["hardness"], r["available"]) for r in out} == wanted
 
 
+@pytest.mark.parametrize("whole", [0, 150, 32_768])
+def test_competitors_of_whole_groups_and_by_cells(spark, placed, whole):
+    """All groups by cells, the largest only, or none."""
+    df = spark.createDataFrame(placed, "k int, image int, box array<double>")
+    out = boxes.competitors(df, ["image"], "k", "box", 400, 300, 3, 0.4, F.col("k") % 9 == 0, whole=whole).collect()
+    good, wanted = [r for r in placed if fits(r[2])], set()
+    for k, i, b in good:
+        others = [(-hardness(b, c, 500), o) for o, j, c in good if o != k and j == i and o % 9 and iou(b, c) < 0.4]
+        wanted |= {(k, o, n, -h, len(others)) for n, (h, o) in enumerate(sorted(others)[:3], 1)}
+    assert {(r["target"], r["other"], r["rank"], r["hardness"], r["available"]) for r in out} == wanted
+
+
+@pytest.mark.parametrize("most", [0.0, 0.3, 0.9, 1.5])
+def test_strips_of_a_group(placed, most, monkeypatch):
+    """Strips of a few rows, which look at others of their size first, find what one strip of all finds."""
+    shapes = np.array([r[2] for r in placed if fits(r[2])])
+    code, single = np.random.default_rng(2).permutation(len(shapes)), np.arange(len(shapes)) % 7 > 0
+    found = []
+    for strip in (1 << 30, 2000):
+        monkeypatch.setattr(boxes, "STRIP", strip)
+        found.append(sorted(zip(*(v.tolist() for v in boxes.hardest(shapes, code, single, 500.0, 5, most)))))
+    assert found[0] == found[1] and (most == 0) == (not found[0])
+
+
+def test_competitors_write_no_pairs(spark, placed):
+    """The plan of groups that fit a task has no join, and shuffles boxes only."""
+    df = spark.createDataFrame(placed, "k int, image int, box array<double>")
+    plan = boxes.competitors(df, ["image"], "k", "box", 400, 300, 3, 0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_order_keys_are_the_bits_of_a_double(spark):
     rng = np.random.default_rng(6)
     bits = rng.integers(0, 2**63, 20_000)
