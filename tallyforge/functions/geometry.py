@@ -6,6 +6,11 @@ violation, ``zero`` counts 0.0 and ``null`` stays null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,21 +177,105 @@ def pair_features(b: Column, other: Column, width: Column, height: Column) -> Co
     return F.concat(own, edges, between)
 
 
+# The longer vectors are made in Arrow batches, as native forms compute an item again for each use of it.
+
+
+def _corners(column: pa.Array) -> np.ndarray:
+    """Boxes as rows of four numbers, NaN for null."""
+    four = pc.fill_null(pc.equal(pc.list_value_length(column), 4), False)
+    out = np.full((len(column), 4), np.nan)
+    out[four.to_numpy(zero_copy_only=False)] = column.filter(four).flatten().cast("float64").to_numpy(zero_copy_only=False).reshape(-1, 4)
+    return out
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    return column.cast("float64").to_numpy(zero_copy_only=False)
+
+
+def _logs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.log((a + 1e-6) / (b + 1e-6))
+
+
+def _ten(b: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """``box_features`` of each row."""
+    x1, y1, x2, y2 = b[:, 0] / width, b[:, 1] / height, b[:, 2] / width, b[:, 3] / height
+    return np.column_stack([x1, y1, x2, y2, x2 - x1, y2 - y1, (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) * (y2 - y1), _logs(x2 - x1, y2 - y1)])
+
+
+def _referred(own: np.ndarray, ref: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """``reference_features`` of each row."""
+    o, r = own.T, ref.T
+    dx, dy = o[6] - r[6], o[7] - r[7]
+    shared_x = np.maximum(0.0, np.minimum(o[2], r[2]) - np.maximum(o[0], r[0]))
+    shared_y = np.maximum(0.0, np.minimum(o[3], r[3]) - np.maximum(o[1], r[1]))
+    shared = shared_x * shared_y
+    part = lambda whole: np.divide(shared, whole, out=np.zeros_like(shared), where=whole != 0)
+    size = lambda v: np.maximum(v[4], 0.0) * np.maximum(v[5], 0.0)
+    across, down = np.minimum(o[4], r[4]), np.minimum(o[5], r[5])
+    if not (across.all() and down.all()):
+        raise ZeroDivisionError("a box without a side has no part that is shared")
+    offsets = [score, dx, dy, np.abs(dx), np.abs(dy), np.hypot(dx, dy), _logs(o[8], r[8]), part(size(o) + size(r) - shared)]
+    return np.column_stack([own, ref, *offsets, part(o[8]), part(r[8]), shared_x / across, shared_y / down])
+
+
+def _context(own: np.ndarray, proposals: pa.Array, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """``context_features`` without the one-hot part of each row, NaN without proposals."""
+    sizes = pc.fill_null(pc.list_value_length(proposals), 0).to_numpy(zero_copy_only=False)
+    held, items = sizes > 0, proposals.flatten()
+    out = np.full((len(sizes), 67), np.nan)
+    if not held.any():
+        return out
+    row, fields = np.repeat(np.arange(len(sizes)), sizes), items.flatten()
+    boxes, scores = (fields[items.type.get_field_index(name)] for name in ("box", "score"))
+    score = _doubles(scores)
+    rows = _referred(own[row], _ten(_corners(boxes), width[row], height[row]), score)
+    starts, n, weight = (np.cumsum(sizes) - sizes)[held], sizes[held], np.fmax(score, 0.0)
+    total = np.add.reduceat(weight, starts)
+    each, count = np.repeat(total, n), np.repeat(n, n)
+    share = np.where(each > 0, weight / np.where(each > 0, each, 1.0), 1.0 / count)
+    out[held, :32] = np.add.reduceat(rows * share[:, None], starts, axis=0)
+    out[held, 32:64] = np.fmax.reduceat(rows, starts, axis=0)
+    out[held, 64:] = np.column_stack([n / 5.0, np.maximum.reduceat(weight, starts), total / n])
+    return out
+
+
+def _vectors(make: Callable, *columns: Column) -> Column:
+    """array<double> by ``make`` over batches of box columns, then proposals or a score, width and height.
+
+    Its numbers that are NaN become null; a row of no other is null.
+    """
+
+    def batch(*given: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            values = make(*given[:-2], _doubles(given[-2]), _doubles(given[-1]))
+        none = np.isnan(values)
+        ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+        return pa.ListArray.from_arrays(ends, pa.array(values.ravel(), mask=none.ravel()), mask=pa.array(none.all(axis=1)))
+
+    return F.arrow_udf(batch, "array<double>")(*columns)  # made late: the type is parsed by a session
+
+
+def _reference(b, reference, score, width, height):
+    return _referred(_ten(_corners(b), width, height), _ten(_corners(reference), width, height), _doubles(score))
+
+
+def _about(b, proposals, width, height):
+    return _context(_ten(_corners(b), width, height), proposals, width, height)
+
+
+def _utility(b, proposals, width, height):
+    own = _ten(_corners(b), width, height)
+    context = _context(own, proposals, width, height)
+    return np.where(np.isnan(context).all(axis=1)[:, None], np.nan, np.column_stack([own, context]))
+
+
+def _compared(first, second, proposals, width, height):
+    return _utility(second, proposals, width, height) - _utility(first, proposals, width, height)
+
+
 def reference_features(b: Column, reference: Column, score: Column, width: Column, height: Column) -> Column:
     """32 numbers of a box and one reference: ten of each, the score, offsets and shared parts."""
-    own, ref = box_features(b, width, height), box_features(reference, width, height)
-    dx, dy = own[6] - ref[6], own[7] - ref[7]
-    shared_x = F.greatest(F.lit(0.0), F.least(own[2], ref[2]) - F.greatest(own[0], ref[0]))
-    shared_y = F.greatest(F.lit(0.0), F.least(own[3], ref[3]) - F.greatest(own[1], ref[1]))
-    shared = shared_x * shared_y
-    part = lambda whole: F.coalesce(F.try_divide(shared, whole), F.lit(0.0))
-    return F.concat(
-        own, ref,
-        F.array(
-            score.cast("double"), dx, dy, F.abs(dx), F.abs(dy), F.hypot(dx, dy), _log_ratio(own[8], ref[8]), iou(F.slice(own, 1, 4), F.slice(ref, 1, 4)),
-            part(own[8]), part(ref[8]), shared_x / F.least(own[4], ref[4]), shared_y / F.least(own[5], ref[5]),
-        ),
-    )
+    return _vectors(_reference, b, reference, score, width, height)
 
 
 def context_features(b: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
@@ -196,28 +285,18 @@ def context_features(b: Column, proposals: Column, relation: Column, relations:
     nothing; where all do, proposals weigh the same. With 18 relations, 85 numbers.
     """
     hot = F.array(*[(relation == r).cast("double") for r in relations])
-    rows = F.transform(proposals, lambda p: reference_features(b, p["box"], p["score"], width, height))
-    scores = F.transform(proposals, lambda p: F.greatest(F.lit(0.0), p["score"].cast("double")))
-    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
-    n, total = F.size(proposals), add(scores)
-    weights = F.transform(scores, lambda s: F.when(total > 0, s / total).otherwise(1.0 / n))
-    weighted = F.zip_with(weights, rows, lambda w, r: F.transform(r, lambda v: v * w))
-    mean = F.aggregate(weighted, F.array_repeat(F.lit(0.0), 32), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
-    most = F.aggregate(rows, F.array_repeat(F.lit(float("-inf")), 32), lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
-    return F.when(n > 0, F.concat(hot, mean, most, F.array(n / 5.0, F.array_max(scores), total / n)))
+    return F.concat(hot, _vectors(_about, b, proposals, width, height))
 
 
 def utility_features(b: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
     """Own features and context of a box without the relation's one-hot part."""
-    context = context_features(b, proposals, relation, relations, width, height)
-    return F.concat(box_features(b, width, height), F.slice(context, len(relations) + 1, 67))
+    return _vectors(_utility, b, proposals, width, height)
 
 
 def comparison_features(first: Column, second: Column, proposals: Column, relation: Column, relations: list[str], width: Column, height: Column) -> Column:
     """One-hot relation, then second minus first utility features: changing places changes their sign."""
     hot = F.array(*[(relation == r).cast("double") for r in relations])
-    a, b = (utility_features(x, proposals, relation, relations, width, height) for x in (first, second))
-    return F.concat(hot, F.zip_with(a, b, lambda x, y: y - x))
+    return F.concat(hot, _vectors(_compared, first, second, proposals, width, height))
 
 
 def best_index(truths: Column, b: Column, least: float = 0.5) -> Column:

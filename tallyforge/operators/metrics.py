@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -250,6 +254,33 @@ def most_common(df: DataFrame, value: str, position: str, limit: int) -> DataFra
     return counts.orderBy(F.desc("n"), "_seen").limit(limit).drop("_seen")
 
 
+def mean_by_place(df: DataFrame, vectors: list[str]) -> DataFrame:
+    """(vector, place, mean): the mean of each place, from 0, of columns of array<double>; nulls do not count.
+
+    Places are added up by partition, so a row for a place of each is shuffled, not one for each number.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {name: np.zeros((2, 0)) for name in vectors}
+        for batch in batches:
+            for name in vectors:
+                lists = batch[name]
+                sizes, items = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten()
+                place, known = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes), items.is_valid().to_numpy(zero_copy_only=False)
+                values = items.to_numpy(zero_copy_only=False)
+                if not known.all():
+                    place, values = place[known], values[known]
+                wide = max(found[name].shape[1], int(sizes.max(initial=0)))
+                now = np.stack([np.bincount(place, minlength=wide), np.bincount(place, values, wide)])
+                now[:, : found[name].shape[1]] += found[name]
+                found[name] = now
+        for name, (n, total) in found.items():
+            yield pa.record_batch([pa.array([name] * len(n)), pa.array(range(len(n)), pa.int32()), pa.array(total), pa.array(n.astype(np.int64))], ["vector", "place", "_total", "_n"])
+
+    parts = df.select(*vectors).mapInArrow(sums, "vector string, place int, _total double, _n long")
+    return parts.groupBy("vector", "place").agg((F.sum("_total") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"))
+
+
 def enumerated(df: DataFrame, value: str, values: list[str]) -> DataFrame:
     """Counts of fixed values, zeros kept."""
     fixed = df.sparkSession.createDataFrame([(v,) for v in values], f"{value} string")

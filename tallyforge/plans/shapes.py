@@ -381,8 +381,7 @@ def feature_vectors(spark, sf_dir):
     made["context"] = g.context_features(b, F.col("proposals"), F.col("relation"), names, w, h)
     made["comparison"] = g.comparison_features(b, F.col("gt"), F.col("proposals"), F.col("relation"), names, w, h)
     r = r.withColumns({"proposals": proposals, "relation": relation})
-    parts = [r.select(F.lit(n).alias("vector"), F.posexplode(v).alias("place", "value")) for n, v in made.items()]
-    out = parts[0].union(parts[1]).union(parts[2]).groupBy("vector", "place").agg(F.avg("value").alias("mean"))
+    out = metrics.mean_by_place(r.select(*[v.alias(n) for n, v in made.items()]), list(made))
     return out.select("vector", "place", (F.round("mean", 8) + 0.0).alias("mean"))
 
 
