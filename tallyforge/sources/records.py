@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .members import _inflate, local, offsets
 
 RANGE = 64 << 20
+#: Partitions of lines beyond which ranges grow, up to ``RANGE``, as each costs a start.
+PARTS = 1024
 #: Keys under which a document may hold its list, the first of them counts.
 LISTS = ("records", "data", "samples")
 SCHEMA = "file string, place long, value string, error string"
@@ -36,29 +38,41 @@ class Stretch(InputPartition):
 
 
 def stretches(path: str, range_bytes: int) -> list[Stretch]:
-    """Partitions of the files that a path or pattern names, in order of name."""
+    """Partitions of the files that a path or pattern names, in order of name; lines go in ranges of ``range_bytes`` at least."""
     found = sorted(glob.glob(local(path))) or [local(path)]
     names = [n for f in found for n in (sorted(os.path.join(f, x) for x in os.listdir(f) if x[0] not in "._") if os.path.isdir(f) else [f])]
-    out = []
-    for name in names:
-        size = os.path.getsize(name)  # a file that is not there is an error
+    sizes = {name: os.path.getsize(name) for name in names}  # a file that is not there is an error
+    of_lines = sum(size for name, size in sizes.items() if name.endswith((".jsonl", ".txt")))
+    out, step = [], max(range_bytes, min(RANGE, -(-of_lines // PARTS)))
+    for name, size in sizes.items():
         if name.endswith(".gz"):
             places = offsets(name)
             out += [Stretch(name, "gzip", a, n, len(places) == 1) for a, n in places]
         elif name.endswith((".jsonl", ".txt")):
-            out += [Stretch(name, "lines", a, min(range_bytes, size - a), True) for a in range(0, size, range_bytes)]
+            out += [Stretch(name, "lines", a, min(step, size - a), True) for a in range(0, size, step)]
         else:
             out.append(Stretch(name, "document", 0, size, True))
     return out
 
 
+#: Line ends before every ``MARK`` bytes of the files that this process has counted, by name, size and time.
+MARK = 1 << 20
+_marks: dict[tuple, list[int]] = {}
+
+
 def line_number(file: str, place: int) -> int:
-    """The number of the line that starts at a byte, from 1; read when a line is broken only."""
-    n, left = 1, place
+    """The number of the line that starts at a byte, from 1; read when a line is broken only.
+
+    What was counted is kept, so that a process reads a file once for all of its ranges.
+    """
+    state = os.stat(file)
+    marks = _marks.setdefault((file, state.st_size, state.st_mtime_ns), [0])
     with open(file, "rb") as f:
-        while left and (data := f.read(min(left, 4 << 20))):
-            n, left = n + data.count(b"\n"), left - len(data)
-    return n
+        f.seek((len(marks) - 1) * MARK)
+        while len(marks) <= place // MARK:
+            marks.append(marks[-1] + f.read(MARK).count(b"\n"))
+        f.seek(place // MARK * MARK)
+        return 1 + marks[place // MARK] + f.read(place % MARK).count(b"\n")
 
 
 def trouble(line: bytes) -> str | None:
@@ -107,10 +121,13 @@ def rows_of(part: Stretch) -> Iterator[tuple]:
                     where = f"{part.file}:{n}" if part.line else f"{part.file}: line {n} of the member at {part.start}"
                     yield part.file, part.start + n, line.decode("utf-8", "replace") if not wrong else None, f"{where}: {wrong}" if wrong else None
         return
-    for place, line in lines_of(part):
+    first = None
+    for n, (place, line) in enumerate(lines_of(part)):
         if line.strip():
             wrong = trouble(line)
-            yield part.file, place, line.decode("utf-8", "replace").rstrip("\r\n") if not wrong else None, f"{part.file}:{line_number(part.file, place)}: {wrong}" if wrong else None
+            if wrong and first is None:
+                first = line_number(part.file, place) - n  # lines that follow are counted on
+            yield part.file, place, line.decode("utf-8", "replace").rstrip("\r\n") if not wrong else None, f"{part.file}:{first + n}: {wrong}" if wrong else None
 
 
 class RecordReader(DataSourceReader):

@@ -135,3 +135,45 @@ def test_a_broken_record_is_named(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"rows": []}')
     with pytest.raises(Exception, match="expected a list"):
         records.read_records(spark, str(tmp_path / "d.json"), "a long").collect()
+
+
+def test_broken_lines_are_numbered_by_one_count(tmp_path, monkeypatch):
+    """A file is read once for the numbers of all of its broken lines, however many ranges it has."""
+    path, read = tmp_path / "y.txt", []
+    path.write_text("".join("[1]\n" if k % 3 == 0 else "\n" if k % 3 == 1 else '{"a": 1}\n' for k in range(3000)))
+    monkeypatch.setattr(records, "MARK", 512)
+
+    class Counted:
+        def __init__(self, *a):
+            self.file = open(*a)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n):
+            read.append(n)
+            return self.file.read(n)
+
+    monkeypatch.setattr(records, "open", Counted, raising=False)
+    for size in (100, 5000):
+        rows = [r for part in records.stretches(str(path), size) for r in records.rows_of(part)]
+        assert [r[3] for r in rows if r[3]] == [f"{path}:{k + 1}: expected a JSON object" for k in range(0, 3000, 3)] and len(rows) == 2000
+    # the file once, and less than a mark for each range
+    assert sum(read) <= path.stat().st_size + 512 * (2 + path.stat().st_size // 100 + path.stat().st_size // 5000)
+
+
+def test_small_ranges_grow_with_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "PARTS", 10)
+    for n in "ab":
+        (tmp_path / f"{n}.txt").write_text("".join(f'{{"a": {k}}}\n' for k in range(1000)))
+    parts = records.stretches(str(tmp_path / "*.txt"), 50)
+    assert len(parts) <= 12 and sum(p.size for p in parts) == sum(f.stat().st_size for f in tmp_path.iterdir())
+    assert sorted(json.loads(r[2])["a"] for p in parts for r in records.rows_of(p)) == sorted([*range(1000)] * 2)
+    monkeypatch.setattr(records, "RANGE", 100)  # a range does not outgrow it
+    assert {p.size for p in records.stretches(str(tmp_path / "*.txt"), 50)} >= {100}
