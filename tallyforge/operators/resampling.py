@@ -9,28 +9,83 @@ from pyspark.sql import functions as F
 
 from .ranks import positions
 
-#: Values of a group that a task holds, and draws that it makes before another shares its replicates.
-BLOCK, DRAWS = 500_000, 200_000_000
-#: Draws that are looked at together.
-STEP = 1 << 20
+#: Values of a group that a task holds, those that are sent together, and draws that it makes before another shares its replicates.
+BLOCK, CHUNK, DRAWS = 8_000_000, 100_000, 1_000_000_000
+#: Words of the generator that are looked at together.
+STEP = 1 << 18
 
 
-def replicate_sums(values: np.ndarray, low: int, n: int, first: int, last: int, seed: int) -> np.ndarray:
-    """Sums of the drawn ``values`` (places low, low + 1, ... of n) for replicates first to last - 1.
+class Draws:
+    """The numbers that ``RandomState(seed).randint(0, n, n)`` gives again and again, as the words they are taken from.
 
-    The generator's stream is that of ``n`` draws a replicate from 0 on: those of earlier
-    replicates are drawn and left, and of the others only the block's places are read.
+    A number is a word of 32 bits (64 beyond that) under a mask, and the next one where it is not
+    below ``n``. Words are made in steps; ``state`` is the generator's at a step's start, and how many are used since.
     """
-    draw, out = np.random.RandomState(seed), np.zeros((last - first, values.shape[1]))
-    for r in range(last):
-        left = n
+
+    def __init__(self, n: int, seed: int, state: bytes | None = None):
+        self.n, self.draw, self.words, self.used = n, np.random.RandomState(seed), (), 0
+        if state:
+            place, used = np.frombuffer(state[-16:], np.int64).tolist()
+            self.draw.set_state(("MT19937", np.frombuffer(state[:-16], np.uint32), place))
+            self._step()
+            self._use(used)
+
+    def _step(self):
+        _, key, place, *_ = self.draw.get_state()
+        self.start, self.used = (key.tobytes(), place), 0
+        wide = self.n > 2**32
+        words = self.draw.randint(0, 2**32, STEP * (1 + wide), dtype=np.uint32)
+        if wide:
+            words = (words[0::2].astype(np.uint64) << np.uint64(32)) | words[1::2]
+        self.words = words & words.dtype.type((1 << (self.n - 1).bit_length()) - 1)
+
+    def _use(self, count: int):
+        self.words, self.used = self.words[count:], self.used + count
+
+    def state(self) -> bytes:
+        if not len(self.words):
+            self._step()
+        return self.start[0] + np.array([self.start[1], self.used], np.int64).tobytes()
+
+    def replicate(self):
+        """Words with the next ``n`` numbers, those that are not below ``n`` among them."""
+        left = self.n
         while left:
-            at = draw.randint(0, n, min(left, STEP))
-            left -= len(at)
-            if r >= first:
-                at = at[(at >= low) & (at < low + len(values))] - low
-                times = np.bincount(at, minlength=len(values))
-                out[r - first] += times @ values
+            if not len(self.words):
+                self._step()
+            words, good = self.words, np.count_nonzero(self.words < self.n)
+            if good > left:
+                words, good = words[: np.flatnonzero(words < self.n)[left - 1] + 1], left
+            self._use(len(words))
+            left -= good
+            yield words
+
+
+def states(n: int, starts: list[int], seed: int) -> list[bytes]:
+    """The state before each of the replicates ``starts`` (rising), by drawing once up to the last."""
+    draws, out, r = Draws(n, seed), [], 0
+    for start in starts:
+        for _ in range(start - r):
+            for _ in draws.replicate():
+                pass
+        r = start
+        out.append(draws.state())
+    return out
+
+
+def replicate_sums(values: np.ndarray, low: int, n: int, first: int, last: int, seed: int, state: bytes | None = None) -> np.ndarray:
+    """Sums of the drawn ``values`` (places low, low + 1, ... of n) for replicates first to last - 1.
+
+    The generator's stream is that of ``n`` draws a replicate from 0 on. It begins with
+    ``state``, that before ``first``; without one, earlier replicates are drawn and left.
+    """
+    draws, out = Draws(n, seed, state or states(n, [first], seed)[0]), np.zeros((last - first, values.shape[1]))
+    columns = [np.ascontiguousarray(c) for c in values.T]
+    for r in range(last - first):
+        for words in draws.replicate():
+            at = words - words.dtype.type(low)  # below ``low`` an unsigned number turns to a great one
+            at = np.compress(at < len(values), at)
+            out[r] += [column.take(at).sum() for column in columns]
     return out
 
 
@@ -41,36 +96,55 @@ def bootstrap(df: DataFrame, by: list[str], order: str, sums: dict[str, Column],
     It is resampled by one generator a group, seeded with ``seed``, over the rows in
     ``order`` (a number without nulls). Groups of fewer than two rows have no interval.
 
-    A group's values are dealt to blocks and its replicates to stretches. A task has one of
-    each, draws the whole stream up to the end of its stretch, as a generator can't be set
-    forward, and adds up what falls into its block; the blocks' sums meet by replicate. So
-    the draws of a group of n rows are made once for each block of ``block`` rows, and half
-    as often again as there are stretches of ``draws`` draws.
+    A group's values are packed in order and dealt to blocks, and its replicates to
+    stretches. The stream is drawn once to keep the generator's state where a stretch starts.
+    A task has a block and a stretch, draws the stretch's part of the stream, and adds up what
+    falls into its block; the blocks' sums meet by replicate. So the draws of a group of n
+    rows are made once for each block of ``block`` rows, and once more for the states where a
+    task would have more than ``draws`` of them for each block.
     """
     names = list(sums)
     # of the row's columns only the order, the group and the numbers are carried
     rows = df.select(*by, F.col(order).alias("_o"), *[c.cast("double").alias(name) for name, c in sums.items()])
-    placed = positions(rows, by, "_o", "_at")
+    kinds = dict(rows.dtypes)
+    groups = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    chunk = min(CHUNK, block)
+    placed = positions(rows, by, "_o", "_at").select(*by, "_at", *names, F.floor(F.col("_at") / block).alias("_block"))
+    placed = placed.withColumn("_chunk", F.floor(F.col("_at") % block / chunk))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        values = np.column_stack([table[c].to_numpy() for c in names])
+        row = {c: table[c][:1] for c in (*by, "_block", "_chunk")}
+        return pa.table(row | {"_at": table["_at"][:1], "_values": pa.array([values.tobytes()], pa.binary())})
+
+    packed = placed.groupBy(*by, "_block", "_chunk").applyInArrow(pack, f"{groups}_block long, _chunk long, _at long, _values binary")
     totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
     keys = [f"_k{i}" for i in range(len(by))]
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
-    sizes = totals.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("n").alias("_n"))
-    held = placed.join(sizes, same).where("_n > 1").drop(*keys)
-    stretch = F.least(F.lit(rounds), F.ceil(F.col("_n") * rounds / F.lit(draws))).cast("int")
-    held = held.withColumn("_stretches", stretch).withColumn("_stretch", F.explode(F.sequence(F.lit(0), F.col("_stretches") - 1)))
-    held = held.withColumn("_block", F.floor(F.col("_at") / block))
+
+    def stretched(table: pa.Table) -> pa.Table:
+        n = table["n"][0].as_py()
+        parts = min(rounds, -(-n * rounds // (draws * -(-n // block))))
+        ends = [rounds * part // parts for part in range(parts + 1)]
+        found = {k: pa.repeat(table[c][0], parts) for c, k in zip(by, keys)}
+        return pa.table(found | {"_n": pa.repeat(pa.scalar(n, pa.int64()), parts), "_first": pa.array(ends[:-1], pa.int32()), "_last": pa.array(ends[1:], pa.int32()), "_state": pa.array(states(n, ends[:-1], seed), pa.binary())})
+
+    dealt = "".join(f"{k} {kinds[c]}, " for c, k in zip(by, keys))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    stretches = sizes.groupBy(*by).applyInArrow(stretched, f"{dealt}_n long, _first int, _last int, _state binary")
+    held = packed.join(stretches, same).drop(*keys)
 
     def resample(table: pa.Table) -> pa.Table:
         table = table.sort_by("_at")
-        n, parts, part, low = (table[c][0].as_py() for c in ("_n", "_stretches", "_stretch", "_at"))
-        first, last = rounds * part // parts, rounds * (part + 1) // parts
-        found = replicate_sums(np.column_stack([table[c].to_numpy() for c in names]), low, n, first, last, seed)
-        group = {c: pa.array([table[c][0].as_py()] * (last - first), table[c].type) for c in by}
+        n, first, last, low, state = (table[c][0].as_py() for c in ("_n", "_first", "_last", "_at", "_state"))
+        values = np.concatenate([np.frombuffer(v.as_buffer()) for v in table["_values"]]).reshape(-1, len(names))
+        found = replicate_sums(values, low, n, first, last, seed, state)
+        group = {c: pa.repeat(table[c][0], last - first) for c in by}
         return pa.table(group | {"_r": pa.array(range(first, last), pa.int32()), "n": pa.array([n] * (last - first), pa.int64())} | {c: pa.array(found[:, k]) for k, c in enumerate(names)})
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "_r int, n long", *(f"`{c}` double" for c in names)])
-    parts = held.groupBy(*by, "_block", "_stretch").applyInArrow(resample, schema)
+    schema = ", ".join([f"{groups}_r int, n long", *(f"`{c}` double" for c in names)])
+    parts = held.groupBy(*by, "_block", "_first").applyInArrow(resample, schema)
     means = parts.groupBy(*by, "_r", "n").agg(*[F.sum(c).alias(c) for c in names]).select(*by, statistic.alias("_value"))
     # one number a replicate
     ordered = means.groupBy(*by).agg(F.sort_array(F.collect_list("_value")).alias("_values"))

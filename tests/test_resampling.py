@@ -57,6 +57,39 @@ def test_the_stream_of_draws_is_read_in_steps(monkeypatch):
     assert np.allclose(sum(parts), whole)
 
 
+@pytest.mark.parametrize("n", [2, 5, 64, 1000, 2**32 + 3])
+def test_draws_go_on_from_a_state(n, monkeypatch):
+    """Words give the generator's own numbers, from the start and from a state within a step."""
+    monkeypatch.setattr(resampling, "STEP", 37)
+    if n > 2**32:  # no whole replicate of these is drawn
+        draws = resampling.Draws(n, 3)
+        draws._step()
+        own = [int(w) for w in draws.words if w < n]
+        assert own == np.random.RandomState(3).randint(0, n, len(own)).tolist()
+        return
+    own, draws = np.random.RandomState(3), resampling.Draws(n, 3)
+    wanted = [own.randint(0, n, n).tolist() for _ in range(6)]
+    below = lambda d: [int(w) for words in d.replicate() for w in words if w < n]
+    assert [below(draws) for _ in range(6)] == wanted
+    for k, state in zip((0, 2, 5), resampling.states(n, [0, 2, 5], 3)):
+        assert below(resampling.Draws(n, 3, state)) == wanted[k]
+
+
+def test_stretches_draw_no_earlier_replicates(monkeypatch):
+    """A stretch that has its state makes the words of its own replicates only."""
+    made, step = [], resampling.Draws._step
+    monkeypatch.setattr(resampling, "STEP", 1024)
+    monkeypatch.setattr(resampling.Draws, "_step", lambda self: (made.append(1), step(self)))
+    state = resampling.states(5000, [90], 1)[0]
+    made.clear()
+    values = np.arange(5000.0)[:, None]
+    found = resampling.replicate_sums(values, 0, 5000, 90, 92, 1, state)
+    assert len(made) < 25
+    draw = np.random.RandomState(1)
+    wanted = [values[draw.randint(0, 5000, 5000), 0].sum() for _ in range(92)][90:]
+    assert found[:, 0] == pytest.approx(wanted)
+
+
 def test_weighted_draws_are_exact_in_size_and_near_in_rate(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") == 5, 1500.0).when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, 1.0).otherwise(2.5).alias("w"))
     size = 100_000
