@@ -397,13 +397,13 @@ l AS (SELECT 'box' AS reader, CASE WHEN bs IS NULL THEN 'not_found' WHEN l_linen
 SELECT reader, method, found, count(*) AS n, round(avg(xs), 6) AS mean_sides FROM l GROUP BY ALL"""
 )
 def parsed_boxes(spark, sf_dir):
-    """Boxes written as model output in the known forms and read back in an image of 100 by 100."""
-    r = box_rows(spark, sf_dir)
-    box, none, line = F.to_json("baseline"), F.col("baseline").isNull(), F.col("l_linenumber")
+    """Boxes written as model output in the known forms and read back in an image of 100 by 100; each different text is read once."""
+    r = box_rows(spark, sf_dir).groupBy("baseline", "challenger", (F.col("l_linenumber") % 2).alias("odd")).agg(F.count(F.lit(1)).alias("n"))
+    box, none, line = F.to_json("baseline"), F.col("baseline").isNull(), F.col("odd")
     keyed = F.to_json(F.struct(F.col("baseline").alias("bbox")))
     whole = F.lit(100)
     said = {
-        "box": F.when(none, "Not found.").when(line % 2 == 0, keyed).otherwise(F.concat(F.lit("it is at "), box)),
+        "box": F.when(none, "Not found.").when(line == 0, keyed).otherwise(F.concat(F.lit("it is at "), box)),
         "baseline": F.when(none, "not found").otherwise(F.concat(F.lit("here:\n```json\n"), keyed, F.lit("\n```"))),
         "challenger": F.concat(F.lit("first, second: ["), F.concat_ws(", ", box, F.to_json("challenger")), F.lit("]")),
         "described": F.concat(F.lit('{"description": "a dog", "exists": "'), F.when(none, "no").otherwise("yes"), F.lit('", "bbox": '), F.when(none, '"not found"').otherwise(box), F.lit("} as asked")),
@@ -413,10 +413,12 @@ def parsed_boxes(spark, sf_dir):
     parts = []
     for name, words in said.items():
         read = getattr(parsing, f"read_{name}")
-        p, (method, found) = r.select(read(words, whole, whole).alias("p")), fields[name]
-        parts.append(p.select(F.lit(name).alias("reader"), F.col(f"p.{method}").alias("method"), F.col(f"p.{found}").alias("b")))
+        texts = r.select(words.alias("text"), "n").groupBy("text").agg(F.sum("n").alias("n"))
+        p, (method, found) = texts.select(read(F.col("text"), whole, whole).alias("p"), "n"), fields[name]
+        parts.append(p.select(F.lit(name).alias("reader"), F.col(f"p.{method}").alias("method"), F.col(f"p.{found}").alias("b"), "n"))
     out = evaluation.union_all(parts).groupBy("reader", "method", F.col("b").isNotNull().alias("found"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("b")[0] + F.col("b")[2]), 6).alias("mean_sides"))
+    total = F.sum((F.col("b")[0] + F.col("b")[2]) * F.col("n"))
+    return out.agg(F.sum("n").alias("n"), F.round(total / F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), 6).alias("mean_sides"))
 
 
 def _bag(words: str) -> str:

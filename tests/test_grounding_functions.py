@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import geometry as g
 from tallyforge.functions import parsing, relations, text
 from tallyforge.operators import metrics
+from tallyforge.plans import shapes
 
 
 def one(spark, column):
@@ -200,3 +201,24 @@ def test_readers(spark):
     assert got == [[1, 2, 3, 4], None]
     assert one(spark, parsing.json_object(F.lit('```json\n{"a":1}\n```'))) == '{"a":1}'
     assert one(spark, parsing.json_object(F.lit('so {"a":1} ok'))) == '{"a":1}' and one(spark, parsing.json_object(F.lit("no"))) is None
+
+
+def test_equal_texts_are_read_once(spark, tmp_path, monkeypatch):
+    """Ten copies of the line items are read as often as one of them, and counted ten times."""
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey < 100")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text, width, height):
+        calls.add(1)
+        return parsing.captioned(text, width, height)
+
+    schema = "generated_description:string,pred_exists:boolean,pred_bbox_xyxy:array<double>,pred_found:boolean,bbox_parse_valid:boolean,bbox_parse_method:string"
+    monkeypatch.setattr(parsing, "read_captioned", parsing._reader(counted, schema))
+    found, read = [], []
+    for copies in (1, 10):
+        place = tmp_path / str(copies)
+        li.crossJoin(spark.range(copies).drop("id")).write.parquet(f"{place}/lineitem.parquet")
+        before = calls.value
+        found.append({tuple(r)[:3]: (r["n"] * 10 // copies, r["mean_sides"]) for r in shapes.parsed_boxes(spark, str(place)).collect()})
+        read.append(calls.value - before)
+    assert 0 < read[0] == read[1] and found[0] == found[1] and len(found[0]) > 8
